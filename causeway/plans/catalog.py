@@ -38,4 +38,5 @@ def rnd(df: DataFrame, digits: int = 4) -> DataFrame:
 
 # importing the modules registers their queries
 from causeway.plans import queries_basic  # noqa: E402,F401
+from causeway.plans import queries_eda  # noqa: E402,F401
 from causeway.plans import queries_models  # noqa: E402,F401
