@@ -41,3 +41,4 @@ from causeway.plans import queries_basic  # noqa: E402,F401
 from causeway.plans import queries_eda  # noqa: E402,F401
 from causeway.plans import queries_models  # noqa: E402,F401
 from causeway.plans import queries_effects  # noqa: E402,F401
+from causeway.plans import queries_learners  # noqa: E402,F401
