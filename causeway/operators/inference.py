@@ -138,7 +138,7 @@ def summarize(boot: DataFrame) -> tuple[int, float, float, float]:
 
 
 def estimate_record(df: DataFrame, spec: CausalSpec, method: str = "ols", B: int | None = DEFAULT_B,
-                    rng: str = "md5") -> DataFrame:
+                    rng: str = "md5", return_boot: bool = False):
     """The ``estimate`` row; bootstrap se and percentile interval when B is given, else the
     analytic ones (U5). ``se_source`` says which."""
     spark = df.sparkSession
@@ -159,9 +159,12 @@ def estimate_record(df: DataFrame, spec: CausalSpec, method: str = "ols", B: int
     else:
         raise ValueError(f"use the method's own module for {method!r}")
     if not B:
-        return R.estimate_df(spark, [(method, estimand, n, value, a_se, a_lo, a_hi, "analytic")])
-    _, se, lo, hi = summarize(boot())
-    return R.estimate_df(spark, [(method, estimand, n, value, se, lo, hi, "bootstrap")])
+        est = R.estimate_df(spark, [(method, estimand, n, value, a_se, a_lo, a_hi, "analytic")])
+        return (est, None) if return_boot else est
+    reps = boot()
+    _, se, lo, hi = summarize(reps)
+    est = R.estimate_df(spark, [(method, estimand, n, value, se, lo, hi, "bootstrap")])
+    return (est, reps) if return_boot else est
 
 
 def analytic_inference(df: DataFrame, spec: CausalSpec) -> DataFrame:

@@ -46,10 +46,13 @@ class CellMean:
 
 @dataclass(frozen=True)
 class Forest:
+    """Spark ML forest settings. Regressors consider every feature at each split and classifiers
+    the square root of them (the published sklearn defaults the reference's learners use)."""
     num_trees: int = 100
     max_depth: int = 10
     seed: int = 42
     min_instances_per_node: int = 1
+    max_bins: int = 64
 
 
 def _is_binary_outcome(df: DataFrame, col: str) -> bool:
@@ -71,7 +74,8 @@ def _check_features(df: DataFrame, feats: list[str]) -> None:
 def _forest(lr: Forest, label: str, features: str, pred: str, classifier: bool, weight: str | None = None):
     cls = RandomForestClassifier if classifier else RandomForestRegressor
     kw = dict(numTrees=lr.num_trees, maxDepth=lr.max_depth, seed=lr.seed, labelCol=label, featuresCol=features,
-              minInstancesPerNode=lr.min_instances_per_node, predictionCol=pred)
+              minInstancesPerNode=lr.min_instances_per_node, predictionCol=pred, maxBins=lr.max_bins,
+              featureSubsetStrategy="sqrt" if classifier else "all")
     if classifier:
         kw.update(probabilityCol=f"{pred}_prob", rawPredictionCol=f"{pred}_raw")
     est = cls(**kw)
@@ -229,6 +233,38 @@ def dml_final_stage(res: DataFrame, spec: CausalSpec, constant_effect: bool = Fa
     return dict(theta=theta, terms=["const"] + mods, ate=float(g @ theta), se=float(np.sqrt(max(g @ V @ g, 0.0))), n=int(n))
 
 
+def bootstrap_dml_final(res: DataFrame, spec: CausalSpec, B: int = 50, constant_effect: bool = False,
+                        rng: str = "md5") -> DataFrame:
+    """U1 for LinearDML: the final stage re-solved per Poisson replicate, all replicates in one
+    grouped aggregate over the (checkpointed) residual table; nuisances are held fixed."""
+    from causeway import spec as S
+    from causeway.operators.inference import with_replicates
+    yr, tr = F.col("_y_res"), F.col("_t_res")
+    mods = [] if constant_effect else list(spec.confounders)
+    z = [tr] + [tr * _q(c).cast("double") for c in mods]
+    p = len(z)
+    ex = with_replicates(res, spec.id_col, B, rng)
+    w = F.col("w").cast("double")
+    aggs = [F.sum(w).alias("sw")] + [F.sum(w * _q(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(mods)]
+    aggs += [F.sum(w * z[a] * z[b]).alias(f"zz{a}_{b}") for a in range(p) for b in range(a, p)]
+    aggs += [F.sum(w * z[a] * yr).alias(f"zy{a}") for a in range(p)]
+    rows = []
+    got = {r["rep"]: r for r in ex.groupBy("rep").agg(*aggs).collect()}
+    for rep in range(B):
+        r = got.get(rep)
+        if r is None:
+            rows.append((rep, None))
+            continue
+        ZZ = np.zeros((p, p))
+        for a in range(p):
+            for b in range(a, p):
+                ZZ[a, b] = ZZ[b, a] = r[f"zz{a}_{b}"]
+        theta = np.linalg.pinv(ZZ) @ np.array([r[f"zy{a}"] for a in range(p)])
+        g = np.array([1.0] + [r[f"mx{i}"] / r["sw"] for i in range(len(mods))])
+        rows.append((rep, float(g @ theta)))
+    return res.sparkSession.createDataFrame(rows, S.BOOTSTRAP)
+
+
 def cate_column(spec_terms: list[str], theta: np.ndarray) -> Column:
     expr = F.lit(float(theta[0]))
     for i, c in enumerate(spec_terms[1:], start=1):
@@ -271,7 +307,8 @@ def causal_forest(df: DataFrame, spec: CausalSpec, nuisance: CellMean | Forest =
                .withColumn("_lab", F.col("_y_res") / F.col("_t_res")).withColumn("_w", F.col("_t_res") * F.col("_t_res")))
     rf = RandomForestRegressor(numTrees=forest.num_trees, maxDepth=forest.max_depth, seed=forest.seed,
                                featuresCol="_cf", labelCol="_lab", weightCol="_w", predictionCol="_cfp",
-                               minInstancesPerNode=forest.min_instances_per_node)
+                               minInstancesPerNode=forest.min_instances_per_node, maxBins=forest.max_bins,
+                               featureSubsetStrategy="all")
     model = rf.fit(grow)
     m = model.copy()
     m.setLeafCol("_leaves")

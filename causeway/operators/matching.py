@@ -31,9 +31,11 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def score_groups(df: DataFrame, spec: CausalSpec, ps: str = "ps") -> DataFrame:
+def score_groups(df: DataFrame, spec: CausalSpec, ps: str = "ps", weight_col: str | None = None) -> DataFrame:
+    """(score, arm) -> unit count and outcome sum; a weight column (bootstrap counts) scales both."""
+    w = _q(weight_col).cast("double") if weight_col else F.lit(1.0)
     return (df.groupBy(F.col(ps).alias("s"), _q(spec.treatment).cast("int").alias("arm"))
-              .agg(F.count(F.lit(1)).alias("n"), F.sum(_q(spec.outcome).cast("double")).alias("sy")))
+              .agg(F.sum(w).alias("n"), F.sum(w * _q(spec.outcome).cast("double")).alias("sy")))
 
 
 def _buckets(groups: DataFrame) -> DataFrame:
@@ -77,13 +79,14 @@ def matched_effect(groups: DataFrame, from_arm: int) -> tuple[float, int]:
     if not r["cnt"]:
         raise ValueError("no units to match (one arm is empty)")
     sign = 1.0 if from_arm == 1 else -1.0
-    return sign * r["num"] / r["cnt"], int(r["cnt"])
+    return sign * r["num"] / r["cnt"], float(r["cnt"])
 
 
 def psm_effects(df: DataFrame, spec: CausalSpec, provider: str = "stratified", cells: list[str] | None = None,
-                ps: str = "ps") -> dict:
-    scored = propensity_scores(df, spec, provider, cells, out=ps) if ps not in df.columns else df
-    groups = score_groups(scored, spec, ps).cache()
+                ps: str = "ps", weight_col: str | None = None) -> dict:
+    scored = (propensity_scores(df, spec, provider, cells, out=ps, weight_col=weight_col)
+              if ps not in df.columns else df)
+    groups = score_groups(scored, spec, ps, weight_col).cache()
     try:
         att, n1 = matched_effect(groups, 1)
         atc, n0 = matched_effect(groups, 0)
@@ -96,4 +99,4 @@ def estimate_psm(df: DataFrame, spec: CausalSpec, provider: str = "stratified",
                  target: str = "ate") -> DataFrame:
     """The ``estimate`` row for ATE (default), ATT or ATC."""
     r = psm_effects(df, spec, provider, cells)
-    return estimate_df(df.sparkSession, [("psm", target, r["n1"] + r["n0"], r[target], None, None, None, "none")])
+    return estimate_df(df.sparkSession, [("psm", target, int(r["n1"] + r["n0"]), r[target], None, None, None, "none")])

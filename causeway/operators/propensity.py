@@ -73,6 +73,12 @@ def iptw_value(s: dict, weighting: str = "ht") -> float:
     raise ValueError("weighting must be 'ht' or 'hajek'")
 
 
+def iptw_effect(df: DataFrame, spec: CausalSpec, provider: str = "stratified", cells: list[str] | None = None,
+                weighting: str = "ht", clip=None, weight_col: str | None = None) -> float:
+    scored = propensity_scores(df, spec, provider, cells, clip, weight_col=weight_col)
+    return iptw_value(iptw_sums(scored, spec, weight_col=weight_col), weighting)
+
+
 def estimate_iptw(df: DataFrame, spec: CausalSpec, provider: str = "stratified", cells: list[str] | None = None,
                   weighting: str = "ht", clip=None) -> DataFrame:
     """Weighted contrast with w = T/e + (1-T)/(1-e); Horvitz-Thompson or Hajek."""
