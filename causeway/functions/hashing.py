@@ -47,6 +47,21 @@ def uniform_sql(id_expr: str, salt: str, rep_expr: str | int = 0) -> str:
     return f"(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
+def explode_draws(df, id_col: str, n: int, salt: str, rng: str = "md5", idx: str = "rep", u: str = "u",
+                  normal: bool = False):
+    """Rows x n: adds ``idx`` (0..n-1) and its draw ``u`` (uniform, or N(0,1) with ``normal``).
+
+    The input is first spread over the cluster's cores (no-op for a large table). The draw is a
+    projection over the exploded rows, computed once per (row, idx); callers must not filter on it
+    (a pushed-down filter would re-inline the hash) -- zero bootstrap weights simply add nothing.
+    """
+    from causeway.session import spread
+    df = spread(df)
+    ex = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(idx))
+    draw = standard_normal(id_col, F.col(idx), rng) if normal else uniform(id_col, salt, F.col(idx), rng)
+    return ex.withColumn(u, draw)
+
+
 def poisson1_thresholds(kmax: int = 12) -> list[float]:
     """Cumulative Poisson(1) probabilities P(K <= k), k = 0..kmax-1."""
     out, acc = [], 0.0

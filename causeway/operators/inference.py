@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from causeway import spec as S
 from causeway.functions import stats
-from causeway.functions.hashing import SALT_BOOTSTRAP, poisson1_weight, uniform
+from causeway.functions.hashing import (SALT_BOOTSTRAP, explode_draws, poisson1_thresholds, poisson1_weight,
+                                        uniform)
 from causeway.operators import regression as R
 from causeway.operators.moments import complete_case, moments, solve_ols, weighted_moments_by
 from causeway.spec import CausalSpec
@@ -31,10 +32,9 @@ def _q(c: str) -> Column:
 
 
 def with_replicates(df: DataFrame, id_col: str, B: int, rng: str = "md5") -> DataFrame:
-    """Adds ``rep`` (0..B-1) and its Poisson(1) weight ``w``; rows with weight 0 are dropped early."""
-    ex = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("rep"))
-    ex = ex.withColumn("w", poisson1_weight(uniform(id_col, SALT_BOOTSTRAP, F.col("rep"), rng)))
-    return ex.where(F.col("w") > 0)
+    """Adds ``rep`` (0..B-1) and its Poisson(1) weight ``w`` (rows of weight 0 stay: they add nothing)."""
+    ex = explode_draws(df, id_col, B, SALT_BOOTSTRAP, rng, "rep", "_u")
+    return ex.withColumn("w", poisson1_weight(F.col("_u"))).drop("_u")
 
 
 def _moment_cols(spec: CausalSpec, did: bool) -> tuple[dict[str, Column], str]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from causeway import spec as S
 from causeway.functions import stats
-from causeway.functions.hashing import SALT_PLACEBO, standard_normal, uniform
+from causeway.functions.hashing import SALT_PLACEBO, explode_draws, standard_normal, uniform
 from causeway.functions.quantiles import _kth
 from causeway.operators import regression as R
 from causeway.operators.moments import moments, solve_ols, weighted_moments_by
@@ -46,13 +46,13 @@ def random_common_cause_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100,
     """R1 simulations: (sim, estimate) of the OLS effect with one extra N(0,1) confounder."""
     cols = R.model_columns(spec)
     y = cols.pop(spec.outcome)
-    cols[W_COL] = standard_normal(spec.id_col, F.col("sim"), rng)
+    cols[W_COL] = F.col("_draw_w")
     cols[spec.outcome] = y
-    d = df.select("*", F.lit(0).alias("sim"))  # for the base moments the draw of simulation 0 is used as centre
-    names = list(cols)
-    base = moments(d, cols)
-    ex = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim"))
+    # centre: the unweighted means, with 0 for the N(0,1) column
+    base = moments(df.select("*", F.lit(0.0).alias("_draw_w")), cols)
+    ex = explode_draws(df, spec.id_col, n_sims, "", rng, "sim", "_draw_w", normal=True)
     per = weighted_moments_by(ex, cols, F.lit(1.0), "sim", base.mean)
+    names = list(cols)
     rows = []
     for s in range(n_sims):
         m = per.get(s)
@@ -74,12 +74,12 @@ def placebo_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, exact: bool
     the cut is the n1-th order statistic of the draws, found without sorting the table.
     """
     share = placebo_share(df, spec)
-    u = uniform(spec.id_col, SALT_PLACEBO, F.col("sim"), rng)
+    u = F.col("_draw_u")
     if exact:
         n1 = int(round(share * df.count()))
         cuts = []
         for s in range(n_sims):
-            one = df.select(_q(spec.id_col), F.lit(s).alias("sim"))
+            one = df.select(uniform(spec.id_col, SALT_PLACEBO, s, rng).alias("_draw_u"))
             cuts.append(_kth(one, u, n1 - 1, 0.0, 1.0) if n1 > 0 else -1.0)
         cut = F.element_at(F.array(*[F.lit(float(c)) for c in cuts]), F.col("sim") + 1)
         placebo = (u <= cut).cast("int")
@@ -90,8 +90,8 @@ def placebo_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, exact: bool
         cols[c] = _q(c)
     cols[spec.outcome] = _q(spec.outcome)
     names = list(cols)
-    base = moments(df.select("*", F.lit(0).alias("sim")), cols)
-    ex = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim"))
+    base = moments(df.select("*", uniform(spec.id_col, SALT_PLACEBO, 0, rng).alias("_draw_u"), F.lit(0).alias("sim")), cols)
+    ex = explode_draws(df, spec.id_col, n_sims, SALT_PLACEBO, rng, "sim", "_draw_u")
     per = weighted_moments_by(ex, cols, F.lit(1.0), "sim", base.mean)
     rows = []
     for s in range(n_sims):

@@ -63,3 +63,13 @@ def materialize(df: DataFrame) -> DataFrame:
 def cached(df: DataFrame) -> DataFrame:
     """Cache a small, cheaply recomputed frame that several aggregates read (lost blocks recompute)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Before row-multiplying work (bootstrap replicates, simulations), make sure the input has at
+    least as many partitions as the cluster has cores; a round-robin shuffle of the projected
+    columns. A large table already has more partitions than cores, so this is then a no-op."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
