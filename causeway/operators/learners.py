@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from causeway.functions.hashing import SALT_SPLIT, fold, uniform
 from causeway.operators.regression import check_binary, estimate_df
-from causeway.session import materialize
+from causeway.session import cached, materialize, spread
 from causeway.spec import CausalSpec
 
 ITE = "Estimated_ITE"
@@ -121,7 +121,7 @@ def s_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Fore
     binary = _is_binary_outcome(df, spec.outcome)
     d = df.withColumn("_label", _q(spec.outcome).cast("double"))
     fit_va = VectorAssembler(inputCols=feats + [spec.treatment], outputCol="_f", handleInvalid="error")
-    model = _forest(learner, "_label", "_f", "_p", binary, weight).fit(fit_va.transform(d))
+    model = _forest(learner, "_label", "_f", "_p", binary, weight).fit(spread(fit_va.transform(d)))
     d = d.withColumn("_t1", F.lit(1.0)).withColumn("_t0", F.lit(0.0))
     d = VectorAssembler(inputCols=feats + ["_t1"], outputCol="_f1").transform(d)
     d = VectorAssembler(inputCols=feats + ["_t0"], outputCol="_f0").transform(d)
@@ -140,8 +140,8 @@ def t_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Fore
     d = VectorAssembler(inputCols=feats, outputCol="_f", handleInvalid="error").transform(
         df.withColumn("_label", _q(spec.outcome).cast("double")))
     t = _q(spec.treatment)
-    m1 = _forest(learner, "_label", "_f", "_p", binary, weight).fit(d.where(t == 1))
-    m0 = _forest(learner, "_label", "_f", "_p", binary, weight).fit(d.where(t == 0))
+    m1 = _forest(learner, "_label", "_f", "_p", binary, weight).fit(spread(d.where(t == 1)))
+    m0 = _forest(learner, "_label", "_f", "_p", binary, weight).fit(spread(d.where(t == 0)))
     d = _score(m1, d, "_f", "_mu1", binary)
     d = _score(m0, d, "_f", "_mu0", binary)
     return d.withColumn(ITE, F.col("_mu1") - F.col("_mu0")).drop("_label", "_f", "_mu1", "_mu0")
@@ -197,8 +197,10 @@ def dml_residuals(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest =
     pred_y, pred_t = F.lit(None).cast("double"), F.lit(None).cast("double")
     for k in range(folds):
         train = d.where(F.col("_fold") != k)
+        train = cached(spread(train.select("_f", "_ly", "_lt")))
         my = _forest(learner, "_ly", "_f", "_p", False).fit(train)
         mt = _forest(learner, "_lt", "_f", "_p", True).fit(train)
+        train.unpersist()
         d = _score(my, d, "_f", f"_py{k}", False)
         d = _score(mt, d, "_f", f"_pt{k}", True)
         pred_y = F.when(F.col("_fold") == k, F.col(f"_py{k}")).otherwise(pred_y)
@@ -309,7 +311,7 @@ def causal_forest(df: DataFrame, spec: CausalSpec, nuisance: CellMean | Forest =
                                featuresCol="_cf", labelCol="_lab", weightCol="_w", predictionCol="_cfp",
                                minInstancesPerNode=forest.min_instances_per_node, maxBins=forest.max_bins,
                                featureSubsetStrategy="all")
-    model = rf.fit(grow)
+    model = rf.fit(spread(grow))
     m = model.copy()
     m.setLeafCol("_leaves")
     leaves = m.transform(res).withColumn("_lv", vector_to_array(F.col("_leaves")))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.operators.regression import estimate_df
+from causeway.session import spread
 from causeway.spec import CausalSpec
 
 
@@ -43,7 +44,7 @@ def propensity_scores(df: DataFrame, spec: CausalSpec, provider: str = "logistic
         if weight_col:
             lr = lr.setWeightCol(weight_col)
         train = va.transform(df.withColumn("_ps_label", t.cast("double")))
-        model = lr.fit(train)
+        model = lr.fit(spread(train))  # L-BFGS passes over the input; LogisticRegression persists it itself
         scored = model.transform(train).withColumn(out, vector_to_array(F.col("_ps_prob"))[1])
         scored = scored.drop("_ps_features", "_ps_label", "_ps_prob", "_ps_raw", "_ps_pred")
     else:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from causeway import spec as S
 from causeway.functions import stats
 from causeway.operators.moments import Moments, OLSFit, moments, solve_ols
+from causeway.session import cached, spread
 from causeway.spec import CausalSpec
 
 Z975 = stats.norm_ppf(0.975)
@@ -162,13 +163,19 @@ def logit_fit(df: DataFrame, y: str, cols: dict[str, Column], max_iter: int = 10
     va = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features", handleInvalid="error")
     glr = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, tol=tol,
                                       regParam=0.0, fitIntercept=True, labelCol="label", featuresCol="features")
-    model = glr.fit(va.transform(proj))
-    sm = model.summary
-    se = list(sm.coefficientStandardErrors)
+    # IRLS reads the input once per iteration: keep the small assembled projection (lost blocks recompute)
+    train = cached(spread(va.transform(proj)))
+    try:
+        model = glr.fit(train)
+        sm = model.summary
+        se = list(sm.coefficientStandardErrors)
+        n_inst, dev, null_dev, aic, iters = (int(sm.numInstances), float(sm.deviance), float(sm.nullDeviance),
+                                             float(sm.aic), int(sm.numIterations))
+    finally:
+        train.unpersist()
     coef = [float(model.intercept)] + [float(v) for v in model.coefficients]
     se = [se[-1]] + se[:-1]
-    return LogitFit(["const", *names], coef, se, int(sm.numInstances), float(sm.deviance),
-                    float(sm.nullDeviance), float(sm.aic), int(sm.numIterations))
+    return LogitFit(["const", *names], coef, se, n_inst, dev, null_dev, aic, iters)
 
 
 def baseline_risk(df: DataFrame, spec: CausalSpec) -> float:
