@@ -121,3 +121,24 @@ def column_bind(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
 def drop_missing(df: DataFrame, subset: list[str]) -> DataFrame:
     """B11."""
     return df.dropna(subset=subset)
+
+
+def one_hot(df: DataFrame, cols: list[str], drop_last: bool = True, max_levels: int = 1000) -> tuple[DataFrame, list[str]]:
+    """Text confounders as 0/1 columns ``<col>_<level>``, levels sorted, the last one the reference.
+
+    Levels come from one distinct aggregate; a column with more than ``max_levels`` levels is an
+    error (an id-like column is not a confounder), never silently truncated. A missing value gets 0
+    in every column. Returns the frame and the names of the new columns.
+    """
+    new, names = [], []
+    for c in cols:
+        levels = sorted(r[0] for r in df.select(_q(c).cast("string")).where(_q(c).isNotNull()).distinct()
+                        .limit(max_levels + 1).collect())
+        if len(levels) > max_levels:
+            raise ValueError(f"column {c!r} has more than {max_levels} levels")
+        keep = levels[:-1] if drop_last else levels
+        for lv in keep:
+            name = f"{c}_{lv}".replace(" ", "_").replace("-", "_")
+            new.append(F.when(_q(c).cast("string") == F.lit(lv), 1).otherwise(0).alias(name))
+            names.append(name)
+    return df.select("*", *new), names

@@ -262,3 +262,22 @@ SELECT 'ols' AS method, 'ate' AS estimand, (SELECT n FROM r) AS n, round((SELECT
 FROM bo""", _OLS2_CTE, _REPS_CTE, _BOOT_OLS))
 def u6_estimate_record(spark, sf_dir):
     return rnd(U.estimate_record(orders_causal(spark, sf_dir), SPEC_PLANTED, "ols", B_ORACLE), 6)
+
+
+@register("b_one_hot_segment", with_oc("""
+SELECT id, CASE WHEN seg = 'AUTOMOBILE' THEN 1 ELSE 0 END AS seg_AUTOMOBILE,
+       CASE WHEN seg = 'BUILDING' THEN 1 ELSE 0 END AS seg_BUILDING,
+       CASE WHEN seg = 'FURNITURE' THEN 1 ELSE 0 END AS seg_FURNITURE,
+       CASE WHEN seg = 'HOUSEHOLD' THEN 1 ELSE 0 END AS seg_HOUSEHOLD FROM oc"""))
+def b_one_hot_segment(spark, sf_dir):
+    from causeway.operators.coerce import one_hot
+    out, names = one_hot(orders_causal(spark, sf_dir).select("id", "seg"), ["seg"])
+    return out.select("id", *names)
+
+
+@register("e1_ols_text_confounder")
+def e1_ols_text_confounder(spark, sf_dir):
+    """A text confounder (segment) enters the Gram job as 0/1 columns."""
+    from causeway.operators.coerce import one_hot
+    oc, names = one_hot(orders_causal(spark, sf_dir), ["seg"])
+    return R.ols_coefficients(oc, CausalSpec("tc", "y_planted", ("x1", *names), id_col="id"))

@@ -69,7 +69,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Before row-multiplying work (bootstrap replicates, simulations), make sure the input has at
     least as many partitions as the cluster has cores; a round-robin shuffle of the projected
     columns. A large table already has more partitions than cores, so this is then a no-op."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  sessions without RDD access: leave the plan as it is
+        return df
+    return df.repartition(target) if current < target else df
