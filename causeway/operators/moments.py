@@ -43,13 +43,20 @@ def complete_case(cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [_q(c).isNotNull() for c in cols], F.lit(True))
 
 
+WIDE_LIMIT = 20
+
+
 def moments(df: DataFrame, cols: list[str] | dict[str, Column]) -> Moments:
     """Unweighted Gram job over complete rows; also returns the total row count.
 
     ``cols`` may map names to expressions (interaction terms are built here, never materialised).
+    Above ``WIDE_LIMIT`` columns the cross-products come from ``moments_wide`` instead of
+    p*(p+1)/2 aggregate expressions.
     """
     exprs = cols if isinstance(cols, dict) else {c: _q(c) for c in cols}
     names = list(exprs)
+    if len(names) > WIDE_LIMIT:
+        return moments_wide(df, exprs)
     proj = df.select(*[e.cast("double").alias(f"m{i}") for i, e in enumerate(exprs.values())])
     ok = complete_case([f"m{i}" for i in range(len(names))])
     v = [F.when(ok, F.col(f"m{i}")) for i in range(len(names))]
@@ -60,6 +67,42 @@ def moments(df: DataFrame, cols: list[str] | dict[str, Column]) -> Moments:
     return _to_moments(names, row)
 
 
+def moments_wide(df: DataFrame, exprs: dict[str, Column]) -> Moments:
+    """Gram job for many columns: pass 1 gives counts and means (p aggregates); pass 2 is a
+    ``mapInArrow`` that multiplies each Arrow batch of centred, complete rows into one p x p partial
+    matrix per partition (numpy), emitted as (i, j, value) rows and summed by ``groupBy(i, j)``.
+    Only p*(p+1)/2 numbers per partition shuffle."""
+    import pyarrow as pa
+
+    names = list(exprs)
+    p = len(names)
+    proj = df.select(*[e.cast("double").alias(f"m{i}") for i, e in enumerate(exprs.values())])
+    ok = complete_case([f"m{i}" for i in range(p)])
+    head = proj.agg(F.count(F.lit(1)).alias("n_total"), F.sum(ok.cast("long")).alias("n"),
+                    *[F.avg(F.when(ok, F.col(f"m{i}"))).alias(f"a{i}") for i in range(p)]).collect()[0]
+    n = float(head["n"] or 0)
+    mean = np.array([head[f"a{i}"] if head[f"a{i}"] is not None else np.nan for i in range(p)], dtype=float)
+    if n == 0:
+        return Moments(names, 0.0, mean, np.full((p, p), np.nan), float(head["n_total"]))
+    centred = proj.where(ok).select(*[(F.col(f"m{i}") - F.lit(float(mean[i]))).alias(f"m{i}") for i in range(p)])
+    iu, ju = np.triu_indices(p)
+
+    def block(batches):
+        acc = np.zeros((p, p))
+        for b in batches:
+            if b.num_rows:
+                X = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(p)])
+                acc += X.T @ X
+        yield pa.RecordBatch.from_arrays([pa.array(iu.astype(np.int32)), pa.array(ju.astype(np.int32)),
+                                          pa.array(acc[iu, ju])], names=["i", "j", "v"])
+
+    parts = centred.mapInArrow(block, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    C = np.zeros((p, p))
+    for r in parts.collect():
+        C[r["i"], r["j"]] = C[r["j"], r["i"]] = r["v"]
+    return Moments(names, n, mean, C, float(head["n_total"]))
+
+
 def _to_moments(names: list[str], row) -> Moments:
     p = len(names)
     n = float(row["n"] or 0)

@@ -57,10 +57,15 @@ def propensity_scores(df: DataFrame, spec: CausalSpec, provider: str = "logistic
 def iptw_sums(df: DataFrame, spec: CausalSpec, ps: str = "ps", weight_col: str | None = None) -> dict:
     t, y, e = _q(spec.treatment).cast("double"), _q(spec.outcome).cast("double"), F.col(ps)
     w = _q(weight_col) if weight_col else F.lit(1.0)
+    inside = (e > 0) & (e < 1)  # outside (0, 1) the weights are undefined: counted, never divided by
+
+    def s(x):
+        return F.sum(F.when(inside, x))
+
     r = df.agg(F.sum(w).alias("n"),
-               F.sum(w * t * y / e).alias("a1"), F.sum(w * t / e).alias("w1"),
-               F.sum(w * (1 - t) * y / (1 - e)).alias("a0"), F.sum(w * (1 - t) / (1 - e)).alias("w0"),
-               F.sum(F.when((e <= 0) | (e >= 1), 1).otherwise(0)).alias("bad")).collect()[0]
+               s(w * t * y / e).alias("a1"), s(w * t / e).alias("w1"),
+               s(w * (1 - t) * y / (1 - e)).alias("a0"), s(w * (1 - t) / (1 - e)).alias("w0"),
+               F.sum(F.when(inside, 0).otherwise(1)).alias("bad")).collect()[0]
     return r.asDict()
 
 

@@ -20,6 +20,7 @@ from causeway.operators import propensity as P
 from causeway.operators import refute as RF
 from causeway.operators import regression as R
 from causeway.operators.prep import apply_steps
+from causeway.session import cached
 from causeway.sources.io import write_csv
 from causeway.spec import CausalSpec, Method
 
@@ -38,15 +39,24 @@ class Analysis:
     importance: DataFrame | None = None
     extras: dict = field(default_factory=dict)
 
+    def release(self) -> None:
+        d = self.extras.get("persisted")
+        if d is not None:
+            d.unpersist()
+
 
 def analyze(df: DataFrame, spec: CausalSpec, method: str | Method = "ols", *, steps: list = (),
             bootstrap: int | None = 50, heterogeneity: bool = True, refutation: bool = True, n_sims: int = 100,
             learner=None, provider: str = "logistic", cells: list[str] | None = None, weighting: str = "hajek",
-            export_path: str | None = None, rng: str = "md5") -> Analysis:
+            export_path: str | None = None, rng: str = "md5", persist: bool = True) -> Analysis:
+    """``persist``: keep the prepared table (MEMORY_AND_DISK) while the ~10 jobs of the analysis read
+    it; lost blocks are recomputed from the source, and it is released by ``Analysis.release()``."""
     method = Method(method)
     spark = df.sparkSession
     d = apply_steps(df, list(steps)) if steps else df
     spec.validate(d)
+    if persist:
+        d = cached(d)
     out: dict = {"table": d}
     if method in (Method.OLS, Method.DID):
         did = method is Method.DID
@@ -118,6 +128,7 @@ def analyze(df: DataFrame, spec: CausalSpec, method: str | Method = "ols", *, st
     if refutation and method in (Method.OLS,):
         out["refutation"] = RF.refute(d, spec, "ols", n_sims, rng=rng)
     result = Analysis(**out)
+    result.extras["persisted"] = d if persist else None
     if export_path:
         write_csv(result.table, export_path)
     return result

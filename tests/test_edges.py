@@ -68,3 +68,11 @@ def test_duplicate_qcut_edges_dropped(spark):
 def test_treatment_encoding_rejects_equal_values(oc_small):
     with pytest.raises(ValueError):
         B.encode_treatment(oc_small, "prio", "1-URGENT", "1-URGENT")
+
+
+def test_iptw_without_overlap_is_a_clear_error(oc_small):
+    from causeway.operators import propensity as P
+    spec = CausalSpec("tc", "y_planted", ("x1",))
+    d = oc_small.withColumn("cell", F.col("tc"))  # the cell is the treatment: propensities 0 and 1
+    with pytest.raises(ValueError, match="no overlap"):
+        P.iptw_effect(d, spec, "stratified", ["cell"])

@@ -109,3 +109,17 @@ def test_hte_shared_gram_equals_separate_fits(oc_small):
         beta, se = _ols(X, p.y_hte.to_numpy(float))
         assert np.isclose(rows[f]["coef"], beta[3], rtol=1e-7)
         assert np.isclose(rows[f]["se"], se[3], rtol=1e-6)
+
+
+def test_wide_gram_equals_aggregate_gram(oc_small, monkeypatch):
+    from causeway.operators import moments as MM
+    cols = {"tc": F.col("tc"), "x1": F.col("x1"), "x2": F.col("x2"), "post": F.col("post"),
+            "tx1": F.col("tc") * F.col("x1"), "y": F.col("y_hte")}
+    a = MM.moments(oc_small, cols)
+    monkeypatch.setattr(MM, "WIDE_LIMIT", 2)
+    b = MM.moments(oc_small, cols)
+    assert a.n == b.n and a.n_total == b.n_total
+    assert np.allclose(a.mean, b.mean, rtol=1e-12)
+    assert np.allclose(a.C, b.C, rtol=1e-9)
+    fa, fb = MM.solve_ols(a, "y", ["tc", "x1", "x2", "post", "tx1"]), MM.solve_ols(b, "y", ["tc", "x1", "x2", "post", "tx1"])
+    assert np.allclose(fa.coef, fb.coef, rtol=1e-8)
