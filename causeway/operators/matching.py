@@ -6,7 +6,7 @@
    so buckets hold similar numbers of distinct scores.
 3. Within a bucket, a window ordered by score finds the nearest opposite-arm score below and
    above (``last`` / ``first`` with ``ignorenulls`` over range frames; equal scores are peers).
-4. A per-bucket edge table (one row per bucket, bounded by the bucket count) carries the nearest
+4. A per-bucket edge table (one row per bucket, at most MAX_BUCKETS) carries the nearest
    opposite-arm score across empty bucket ends; it is broadcast back.
 5. The nearer side wins; on an exact tie both sides are pooled (mean of all equally near
    units). Matched outcome means come from an equi-join on the score.
@@ -23,7 +23,7 @@ from causeway.operators.propensity import propensity_scores
 from causeway.operators.regression import estimate_df
 from causeway.spec import CausalSpec
 
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 100_000  # edge table <= 100k rows (a few MB): broadcastable, one small window
 SCORES_PER_BUCKET = 2048
 
 
@@ -44,42 +44,56 @@ def _buckets(groups: DataFrame) -> DataFrame:
     if k == 1:
         return groups.withColumn("b", F.lit(0.0))
     qs = [i / k for i in range(1, k)]
-    edges = groups.select("s").distinct().agg(F.percentile_approx("s", qs, 10000).alias("e")).collect()[0]["e"]
+    accuracy = max(10000, 10 * k)
+    edges = groups.select("s").distinct().agg(F.percentile_approx("s", qs, accuracy).alias("e")).collect()[0]["e"]
     splits = [float("-inf")] + sorted(set(float(e) for e in edges)) + [float("inf")]
     return Bucketizer(splits=splits, inputCol="s", outputCol="b").transform(groups)
 
 
-def matched_effect(groups: DataFrame, from_arm: int) -> tuple[float, int]:
-    """Mean over from-arm units of (own outcome - matched opposite-arm mean outcome), and the unit count."""
-    to_arm = 1 - from_arm
-    g = _buckets(groups)
-    to_s = F.when(F.col("arm") == to_arm, F.col("s"))
+def matched_effects(groups: DataFrame, bucketed: DataFrame | None = None) -> dict[int, tuple[float, float]]:
+    """Both directions in one pass: {1: (ATT, n1), 0: (ATC, n0)}.
+
+    Per unit of the from-arm: own outcome minus the mean outcome of the nearest opposite-arm
+    units. One window pass gives the nearest score of each arm below and above every row; one
+    edge table carries them across buckets; one join fetches the matched outcomes.
+    """
+    g = bucketed if bucketed is not None else _buckets(groups)
+    arm_s = {a: F.when(F.col("arm") == a, F.col("s")) for a in (0, 1)}
     w = Window.partitionBy("b").orderBy("s")
-    g = g.select("*",
-                 F.last(to_s, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("prev_in"),
-                 F.first(to_s, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("next_in"))
-    edges = g.groupBy("b").agg(F.max(to_s).alias("hi"), F.min(to_s).alias("lo"))
+    below, above = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
+    g = g.select("*", *[F.last(arm_s[a], ignorenulls=True).over(below).alias(f"prev{a}") for a in (0, 1)],
+                 *[F.first(arm_s[a], ignorenulls=True).over(above).alias(f"next{a}") for a in (0, 1)])
+    edges = g.groupBy("b").agg(*[F.max(arm_s[a]).alias(f"hi{a}") for a in (0, 1)],
+                               *[F.min(arm_s[a]).alias(f"lo{a}") for a in (0, 1)])
     we = Window.orderBy("b")  # one row per bucket: at most MAX_BUCKETS rows, so one partition is fine
-    edges = edges.select("b",
-                         F.max("hi").over(we.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_prev"),
-                         F.min("lo").over(we.rowsBetween(1, Window.unboundedFollowing)).alias("carry_next"))
-    src = g.where(F.col("arm") == from_arm).join(F.broadcast(edges), "b")
-    prev = F.coalesce(F.col("prev_in"), F.col("carry_prev"))
-    nxt = F.coalesce(F.col("next_in"), F.col("carry_next"))
+    edges = edges.select("b", *[F.max(f"hi{a}").over(we.rowsBetween(Window.unboundedPreceding, -1)).alias(f"cprev{a}")
+                                for a in (0, 1)],
+                         *[F.min(f"lo{a}").over(we.rowsBetween(1, Window.unboundedFollowing)).alias(f"cnext{a}")
+                           for a in (0, 1)])
+    src = g.join(F.broadcast(edges), "b")
+    from_treated = F.col("arm") == 1  # treated rows look for controls (arm 0), controls for treated
+    prev = F.when(from_treated, F.coalesce("prev0", "cprev0")).otherwise(F.coalesce("prev1", "cprev1"))
+    nxt = F.when(from_treated, F.coalesce("next0", "cnext0")).otherwise(F.coalesce("next1", "cnext1"))
     dp, dn = F.col("s") - prev, nxt - F.col("s")
     use_prev = prev.isNotNull() & (nxt.isNull() | (dp <= dn))
     use_next = nxt.isNotNull() & (prev.isNull() | (dn <= dp))
     matched = F.array_distinct(F.array_compact(F.array(F.when(use_prev, prev), F.when(use_next, nxt))))
-    src = src.select(F.col("s").alias("fs"), F.col("n").alias("fn"), F.col("sy").alias("fsy"),
-                     F.explode(matched).alias("ms"))
-    to = groups.where(F.col("arm") == to_arm).select(F.col("s").alias("ms"), F.col("n").alias("mn"), F.col("sy").alias("msy"))
-    per = (src.join(to, "ms").groupBy("fs", "fn", "fsy")
+    src = src.select(F.col("arm"), F.col("s").alias("fs"), F.col("n").alias("fn"), F.col("sy").alias("fsy"),
+                     (F.lit(1) - F.col("arm")).alias("to_arm"), F.explode(matched).alias("ms"))
+    to = groups.select(F.col("arm").alias("to_arm"), F.col("s").alias("ms"), F.col("n").alias("mn"),
+                       F.col("sy").alias("msy"))
+    per = (src.join(to, ["to_arm", "ms"]).groupBy("arm", "fs", "fn", "fsy")
               .agg((F.sum("msy") / F.sum("mn")).alias("ym")))
-    r = per.agg(F.sum(F.col("fsy") - F.col("fn") * F.col("ym")).alias("num"), F.sum("fn").alias("cnt")).collect()[0]
-    if not r["cnt"]:
+    res = {r["arm"]: r for r in per.groupBy("arm").agg(F.sum(F.col("fsy") - F.col("fn") * F.col("ym")).alias("num"),
+                                                       F.sum("fn").alias("cnt")).collect()}
+    if set(res) != {0, 1}:
         raise ValueError("no units to match (one arm is empty)")
-    sign = 1.0 if from_arm == 1 else -1.0
-    return sign * r["num"] / r["cnt"], float(r["cnt"])
+    return {a: ((1.0 if a == 1 else -1.0) * res[a]["num"] / res[a]["cnt"], float(res[a]["cnt"])) for a in (0, 1)}
+
+
+def matched_effect(groups: DataFrame, from_arm: int, bucketed: DataFrame | None = None) -> tuple[float, float]:
+    """One direction: ATT for ``from_arm=1``, ATC for 0 (see ``matched_effects``)."""
+    return matched_effects(groups, bucketed)[from_arm]
 
 
 def psm_effects(df: DataFrame, spec: CausalSpec, provider: str = "stratified", cells: list[str] | None = None,
@@ -87,10 +101,12 @@ def psm_effects(df: DataFrame, spec: CausalSpec, provider: str = "stratified", c
     scored = (propensity_scores(df, spec, provider, cells, out=ps, weight_col=weight_col)
               if ps not in df.columns else df)
     groups = score_groups(scored, spec, ps, weight_col).cache()
+    bucketed = _buckets(groups).cache()
     try:
-        att, n1 = matched_effect(groups, 1)
-        atc, n0 = matched_effect(groups, 0)
+        both = matched_effects(groups, bucketed)
+        (att, n1), (atc, n0) = both[1], both[0]
     finally:
+        bucketed.unpersist()
         groups.unpersist()
     return dict(att=att, atc=atc, ate=(n1 * att + n0 * atc) / (n1 + n0), n1=n1, n0=n0)
 

@@ -1,21 +1,20 @@
 """Propensity scores and inverse-propensity weighting.
 
-``logistic``: Spark ML ``LogisticRegression`` (distributed L-BFGS), P(T=1 | X) from the
-probability vector. ``stratified``: the treated share per confounder cell, a grouped aggregate
+``logistic``: unregularised logistic regression fitted by Spark ML's distributed IRLS
+(``GeneralizedLinearRegression``, binomial family, logit link); its prediction is P(T=1 | X). ``stratified``: the treated share per confounder cell, a grouped aggregate
 joined back (AQE broadcasts the cell table only when its measured size allows; a skewed cell is
 split by the skew-join rule). IPTW is one aggregate of weighted sums.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.operators.regression import estimate_df
-from causeway.session import spread
+from causeway.session import cached, spread
 from causeway.spec import CausalSpec
 
 
@@ -38,15 +37,20 @@ def propensity_scores(df: DataFrame, spec: CausalSpec, provider: str = "logistic
     elif provider == "logistic":
         if not spec.confounders:
             raise ValueError("a logistic propensity model needs confounders")
+        # unregularised logistic MLE by IRLS (GLM binomial / logit): one aggregate pass per iteration,
+        # a handful of passes instead of the many of a quasi-Newton solver
         va = VectorAssembler(inputCols=list(spec.confounders), outputCol="_ps_features", handleInvalid="error")
-        lr = LogisticRegression(featuresCol="_ps_features", labelCol="_ps_label", probabilityCol="_ps_prob",
-                                rawPredictionCol="_ps_raw", predictionCol="_ps_pred", regParam=0.0, maxIter=100, tol=1e-8)
+        glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_ps_features",
+                                          labelCol="_ps_label", predictionCol=out, maxIter=100, tol=1e-10, regParam=0.0)
         if weight_col:
-            lr = lr.setWeightCol(weight_col)
+            glr = glr.setWeightCol(weight_col)
         train = va.transform(df.withColumn("_ps_label", t.cast("double")))
-        model = lr.fit(spread(train))  # L-BFGS passes over the input; LogisticRegression persists it itself
-        scored = model.transform(train).withColumn(out, vector_to_array(F.col("_ps_prob"))[1])
-        scored = scored.drop("_ps_features", "_ps_label", "_ps_prob", "_ps_raw", "_ps_pred")
+        fit_input = cached(spread(train.select("_ps_features", "_ps_label", *([weight_col] if weight_col else []))))
+        try:
+            model = glr.fit(fit_input)
+        finally:
+            fit_input.unpersist()
+        scored = model.transform(train).drop("_ps_features", "_ps_label")
     else:
         raise ValueError("provider must be 'logistic' or 'stratified'")
     if clip:
