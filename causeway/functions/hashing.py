@@ -34,8 +34,7 @@ def uniform(id_col: str | Column, salt: str, rep: int | str | Column = 0, rng: s
     idc = F.col(id_col) if isinstance(id_col, str) else id_col
     repc = rep if isinstance(rep, Column) else (F.col(rep) if isinstance(rep, str) else F.lit(rep))
     if rng == "md5":
-        key = F.concat_ws("-", idc.cast("string"), F.lit(salt), repc.cast("string"))
-        return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(TWO_32)
+        return F.conv(F.substring(_md5_key(idc, salt, repc), 1, 8), 16, 10).cast("bigint") / F.lit(TWO_32)
     if rng == "xxhash":
         return F.pmod(F.xxhash64(idc, F.lit(salt), repc), F.lit(2 ** 53)).cast("double") / F.lit(TWO_53)
     raise ValueError(f"unknown rng {rng!r}")
@@ -86,16 +85,31 @@ def poisson1_weight_sql(u_sql: str, kmax: int = 12) -> str:
     return f"(CASE {parts} ELSE {kmax} END)"
 
 
+def _md5_key(idc: Column, salt: str, repc: Column) -> Column:
+    return F.md5(F.concat_ws("-", idc.cast("string"), F.lit(salt), repc.cast("string")))
+
+
 def standard_normal(id_col: str | Column, rep: int | str | Column = 0, rng: str = "md5") -> Column:
-    """N(0,1) by Box-Muller from two independent uniforms of the row."""
-    u1 = uniform(id_col, SALT_COMMON_CAUSE_A, rep, rng)
-    u2 = uniform(id_col, SALT_COMMON_CAUSE_B, rep, rng)
+    """N(0,1) by Box-Muller from two independent uniforms of the row.
+
+    md5: both uniforms come from ONE digest (hex digits 1-8 and 9-16), so one hash per draw.
+    """
+    if rng != "md5":
+        u1 = uniform(id_col, SALT_COMMON_CAUSE_A, rep, rng)
+        u2 = uniform(id_col, SALT_COMMON_CAUSE_B, rep, rng)
+    else:
+        idc = F.col(id_col) if isinstance(id_col, str) else id_col
+        repc = rep if isinstance(rep, Column) else (F.col(rep) if isinstance(rep, str) else F.lit(rep))
+        h = _md5_key(idc, SALT_COMMON_CAUSE_A, repc)
+        u1 = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(TWO_32)
+        u2 = F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint") / F.lit(TWO_32)
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 
 def standard_normal_sql(id_expr: str, rep_expr: str | int = 0) -> str:
-    u1 = uniform_sql(id_expr, SALT_COMMON_CAUSE_A, rep_expr)
-    u2 = uniform_sql(id_expr, SALT_COMMON_CAUSE_B, rep_expr)
+    key = f"md5(CAST({id_expr} AS VARCHAR) || '-{SALT_COMMON_CAUSE_A}-' || CAST({rep_expr} AS VARCHAR))"
+    u1 = f"(CAST(('0x' || substr({key}, 1, 8)) AS BIGINT) / 4294967296.0)"
+    u2 = f"(CAST(('0x' || substr({key}, 9, 8)) AS BIGINT) / 4294967296.0)"
     return f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos({2 * math.pi!r} * {u2}))"
 
 
