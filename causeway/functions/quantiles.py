@@ -56,11 +56,20 @@ def _kth(df: DataFrame, c: Column, k: int, lo: float, hi: float, n_lo_below: int
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
-                    quantile_limit: int = QUANTILE_LIMIT) -> dict[str, list[float | None]]:
+                    quantile_limit: int = QUANTILE_LIMIT, approx: bool = False,
+                    accuracy: int = 10000) -> dict[str, list[float | None]]:
     """{col: [q-th quantile for q in qs]} over non-null values, linear interpolation; one shared pass
-    for counts and distinct estimates, then ``percentile`` or refinement per column."""
+    for counts and distinct estimates, then ``percentile`` or refinement per column.
+
+    ``approx=True`` (opt-in) uses ``percentile_approx`` in one pass instead: a value of the column
+    within rank error 1/accuracy, no interpolation."""
     if not cols:
         return {}
+    if approx:
+        arr = F.array(*[F.lit(float(q)) for q in qs])
+        r = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), arr, accuracy).alias(f"p{i}")
+                     for i, c in enumerate(cols)]).collect()[0]
+        return {c: (list(r[f"p{i}"]) if r[f"p{i}"] is not None else [None] * len(qs)) for i, c in enumerate(cols)}
     aggs = []
     for i, c in enumerate(cols):
         col = F.col(f"`{c}`").cast("double")

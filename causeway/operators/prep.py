@@ -37,7 +37,7 @@ def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 # ---- C1-C4: numeric imputation ----------------------------------------------------------------
 
 def impute_numeric(df: DataFrame, method: str = "mean", value: float | None = None,
-                   cols: list[str] | None = None) -> DataFrame:
+                   cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """C1 mean, C2 exact median, C3 zero, C4 custom value.
 
     Columns without missing values are left as they are (pandas keeps their dtype); a filled
@@ -56,7 +56,7 @@ def impute_numeric(df: DataFrame, method: str = "mean", value: float | None = No
     if method == "mean":
         fills = {num[i]: row[f"v{i}"] for i in need}
     elif method == "median":
-        med = exact_quantiles(df, [num[i] for i in need], [0.5])
+        med = exact_quantiles(df, [num[i] for i in need], [0.5], approx=approx)
         fills = {c: v[0] for c, v in med.items()}
     elif method == "zero":
         fills = {num[i]: 0 for i in need}
@@ -114,16 +114,17 @@ def impute_categorical(df: DataFrame, method: str = "mode", value: str = "Missin
 
 # ---- C8-C10 -------------------------------------------------------------------------------------
 
-def winsor_bounds(df: DataFrame, cols: list[str], p: float = 0.05) -> dict[str, tuple[float, float]]:
+def winsor_bounds(df: DataFrame, cols: list[str], p: float = 0.05, approx: bool = False) -> dict[str, tuple[float, float]]:
     if not 0 < p < 0.5:
         raise ValueError("p must be in (0, 0.5)")
-    qs = exact_quantiles(df, cols, [p, 1 - p])
+    qs = exact_quantiles(df, cols, [p, 1 - p], approx=approx)
     return {c: (v[0], v[1]) for c, v in qs.items()}
 
 
-def winsorize(df: DataFrame, cols: list[str], p: float = 0.05) -> DataFrame:
-    """Clip at the p-th and (1-p)-th quantiles (exact, linear interpolation). Missing stays missing."""
-    b = winsor_bounds(df, cols, p)
+def winsorize(df: DataFrame, cols: list[str], p: float = 0.05, approx: bool = False) -> DataFrame:
+    """Clip at the p-th and (1-p)-th quantiles (exact, linear interpolation; ``approx`` opt-in).
+    Missing stays missing."""
+    b = winsor_bounds(df, cols, p, approx)
     new = {}
     for c, (lo, hi) in b.items():
         if lo is None:

@@ -58,6 +58,15 @@ def propensity_scores(df: DataFrame, spec: CausalSpec, provider: str = "logistic
     return scored
 
 
+def overlap_report(df: DataFrame, ps: str = "ps", clip: tuple[float, float] | None = None) -> DataFrame:
+    """Rows at or beyond the clip bounds (or at 0 / 1 without clipping), min and max score: one aggregate."""
+    lo, hi = clip if clip else (0.0, 1.0)
+    e = F.col(ps)
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(e <= lo, 1).otherwise(0)).alias("n_at_lower"),
+                  F.sum(F.when(e >= hi, 1).otherwise(0)).alias("n_at_upper"), F.min(e).alias("ps_min"),
+                  F.max(e).alias("ps_max"))
+
+
 def iptw_sums(df: DataFrame, spec: CausalSpec, ps: str = "ps", weight_col: str | None = None) -> dict:
     t, y, e = _q(spec.treatment).cast("double"), _q(spec.outcome).cast("double"), F.col(ps)
     w = _q(weight_col) if weight_col else F.lit(1.0)

@@ -76,3 +76,37 @@ def test_iptw_without_overlap_is_a_clear_error(oc_small):
     d = oc_small.withColumn("cell", F.col("tc"))  # the cell is the treatment: propensities 0 and 1
     with pytest.raises(ValueError, match="no overlap"):
         P.iptw_effect(d, spec, "stratified", ["cell"])
+
+
+def test_missing_tokens_and_nan_become_null(spark, tmp_path):
+    from causeway.sources import io as A
+    p = tmp_path / "t.csv"
+    p.write_text("a,b\n1.5,x\nNaN,NA\n,nan\n2.5,None\n")
+    df = A.read_csv(spark, str(p))
+    rows = df.collect()
+    assert [r.a for r in rows] == [1.5, None, None, 2.5]
+    assert [r.b for r in rows] == ["x", None, None, None]
+
+
+def test_candidate_features_exclude_roles_and_helpers(oc_small):
+    from causeway.operators import hte as G
+    d = oc_small.select("id", "tc", "y_did", "post", "x1", "x2", F.lit(1.0).alias("_helper"),
+                        F.lit(0.0).alias("Estimated_ITE"))
+    feats = G.candidate_features(d, CausalSpec("tc", "y_did", ("x1",), time_period="post"))
+    assert feats == ["x1", "x2"]
+
+
+def test_approx_quantiles_are_opt_in_and_close(oc_small):
+    from causeway.functions.quantiles import exact_quantiles
+    a = exact_quantiles(oc_small, ["x1"], [0.05, 0.95])["x1"]
+    b = exact_quantiles(oc_small, ["x1"], [0.05, 0.95], approx=True)["x1"]
+    rng = oc_small.agg(F.max("x1") - F.min("x1")).collect()[0][0]
+    assert all(abs(x - y) < 0.01 * rng for x, y in zip(a, b))
+
+
+def test_overlap_report_counts_clipped(oc_small):
+    from causeway.operators import propensity as P
+    spec = CausalSpec("tc", "y_planted", ("x1", "x2"))
+    sc = P.propensity_scores(oc_small, spec, "logistic", clip=(0.35, 0.65))
+    r = P.overlap_report(sc, clip=(0.35, 0.65)).collect()[0]
+    assert r.ps_min >= 0.35 and r.ps_max <= 0.65 and r.n_at_lower + r.n_at_upper > 0
