@@ -66,12 +66,21 @@ def cached(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Before row-multiplying work (bootstrap replicates, simulations), make sure the input has at
-    least as many partitions as the cluster has cores; a round-robin shuffle of the projected
-    columns. A large table already has more partitions than cores, so this is then a no-op."""
+    """Before row-multiplying work (bootstrap replicates, simulations) or iterative fits, make sure a
+    small input is spread over the cluster's cores.
+
+    Decided from the plan, so nothing is executed (asking for the RDD's partition count would run the
+    upstream shuffle stages under AQE): scan splits follow the scanned files, so the largest leaf
+    relation's size is compared with ``spark.sql.files.maxPartitionBytes`` x cores. (The optimizer's
+    estimate for a join without table statistics is far too high to use.) A small input gets a
+    round-robin repartition; a large table (the 100 TB case) is left as it is.
+    """
     try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  sessions without RDD access: leave the plan as it is
+        spark = df.sparkSession
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = max(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b").rstrip("B") or 134217728)
+    except Exception:  # noqa: BLE001  sessions without JVM access: leave the plan as it is
         return df
-    return df.repartition(target) if current < target else df
+    return df.repartition(target) if size < split * target else df
