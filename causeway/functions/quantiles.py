@@ -78,10 +78,22 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
     head = df.agg(*aggs).collect()[0]
     out: dict[str, list[float | None]] = {}
     small = [i for i, c in enumerate(cols) if (head[f"d{i}"] or 0) <= quantile_limit]
-    if small:
-        arr = F.array(*[F.lit(float(q)) for q in qs])
-        r = df.agg(*[F.percentile(F.col(f"`{cols[i]}`").cast("double"), arr).alias(f"p{i}") for i in small]).collect()[0]
-        for i in small:
+    # pack columns into percentile passes whose distinct counts sum to at most the limit, so the
+    # final merge of one pass never holds more than ``quantile_limit`` value -> count entries
+    passes, cur, load = [], [], 0
+    for i in small:
+        d = head[f"d{i}"] or 0
+        if cur and load + d > quantile_limit:
+            passes.append(cur)
+            cur, load = [], 0
+        cur.append(i)
+        load += d
+    if cur:
+        passes.append(cur)
+    arr = F.array(*[F.lit(float(q)) for q in qs])
+    for group in passes:
+        r = df.agg(*[F.percentile(F.col(f"`{cols[i]}`").cast("double"), arr).alias(f"p{i}") for i in group]).collect()[0]
+        for i in group:
             out[cols[i]] = list(r[f"p{i}"]) if r[f"p{i}"] is not None else [None] * len(qs)
     for i, c in enumerate(cols):
         if i in small:

@@ -106,3 +106,11 @@ def test_matching_all_scores_tied(oc_small):
     r = M.psm_effects(d, spec, ps="ps")
     naive = R.diff_in_means(oc_small, spec).collect()[0]["value"]
     assert np.isclose(r["ate"], naive, rtol=1e-9)
+
+
+def test_quantile_passes_split_by_distinct_budget(oc_small):
+    qs = [0.1, 0.5]
+    a = exact_quantiles(oc_small, ["x1", "y", "t"], qs)
+    b = exact_quantiles(oc_small, ["x1", "y", "t"], qs, quantile_limit=1600)  # one column per pass
+    for c in ("x1", "y", "t"):
+        assert np.allclose(a[c], b[c], rtol=1e-12)
