@@ -66,16 +66,47 @@ def placebo_share(df: DataFrame, spec: CausalSpec) -> float:
     return float(r["n1"]) / float(r["n"])
 
 
+MAX_PLACEBO_LEVELS = 1000
+
+
+def treatment_levels(df: DataFrame, spec: CausalSpec) -> list[tuple[float, int]]:
+    """(value, count) of the treatment, sorted; an error above MAX_PLACEBO_LEVELS (one aggregate)."""
+    rows = (df.where(_q(spec.treatment).isNotNull()).groupBy(_q(spec.treatment).alias("v"))
+              .agg(F.count(F.lit(1)).alias("n")).limit(MAX_PLACEBO_LEVELS + 1).collect())
+    if len(rows) > MAX_PLACEBO_LEVELS:
+        raise ValueError(f"placebo for a treatment with more than {MAX_PLACEBO_LEVELS} values is not supported")
+    return sorted((r["v"], r["n"]) for r in rows)
+
+
+def multilevel_placebo(levels: list[tuple[float, int]], u: Column) -> Column:
+    """Level j when C(j-1)/n <= u < C(j)/n (C = cumulative counts): each level keeps its share."""
+    n = sum(c for _, c in levels)
+    expr, acc = None, 0
+    for v, c in levels[:-1]:
+        acc += c
+        cond = u < F.lit(acc / n)
+        expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
+    last = F.lit(levels[-1][0])
+    return last if expr is None else expr.otherwise(last)
+
+
 def placebo_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, exact: bool = False, rng: str = "md5") -> DataFrame:
     """R2 simulations: (sim, estimate) with the treatment replaced by a random placebo.
 
     Default: treated with probability n1/n per row (the share of a permutation in expectation).
+    A treatment with more than two values: each value is drawn with its share (``multilevel_placebo``).
     ``exact=True``: exactly the n1 rows with the smallest draws, as a permutation would give;
     the cut is the n1-th order statistic of the draws, found without sorting the table.
     """
-    share = placebo_share(df, spec)
+    levels = treatment_levels(df, spec)
+    multi = [v for v, _ in levels] not in ([0, 1], [0.0, 1.0])
+    share = placebo_share(df, spec) if not multi else None
     u = F.col("_draw_u")
-    if exact:
+    if multi:
+        if exact:
+            raise ValueError("exact placebo is implemented for a 0/1 treatment")
+        placebo = multilevel_placebo(levels, u)
+    elif exact:
         n1 = int(round(share * df.count()))
         cuts = []
         for s in range(n_sims):

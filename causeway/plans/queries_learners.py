@@ -178,3 +178,17 @@ def r2_placebo_sims_exact(spark, sf_dir):
 @register("r1_r2_r3_refutation")
 def r1_r2_r3_refutation(spark, sf_dir):
     return RF.refute(orders_causal(spark, sf_dir), CausalSpec("tc", "y_planted", ("x1", "x2"), id_col="id"), "ols", N_SIMS)
+
+
+@register("r2_placebo_sims_multilevel", with_oc("""
+SELECT sim, round(regr_slope(y_planted, p), 6) AS estimate FROM (
+  SELECT pu.sim, pu.y_planted, (SELECT min(v) FROM lv WHERE pu.u < lv.thr) AS p FROM pu)
+GROUP BY sim""",
+    "lv AS (SELECT v, CAST(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) "
+    "/ (SELECT count(x1_band) FROM oc) AS thr FROM (SELECT x1_band AS v, count(*) AS n FROM oc GROUP BY x1_band))",
+    f"pu AS (SELECT oc.y_planted, CAST(r.range AS INTEGER) AS sim, {uniform_sql('oc.id', SALT_PLACEBO, 'r.range')} AS u "
+    f"FROM oc CROSS JOIN range({N_SIMS}) r)"))
+def r2_placebo_sims_multilevel(spark, sf_dir):
+    """R2 for a treatment with many values (the acct-balance band): each value keeps its share."""
+    spec = CausalSpec("x1_band", "y_planted", (), id_col="id")
+    return rnd(RF.placebo_sims(orders_causal(spark, sf_dir), spec, N_SIMS), 6)
