@@ -281,3 +281,31 @@ def e1_ols_text_confounder(spark, sf_dir):
     from causeway.operators.coerce import one_hot
     oc, names = one_hot(orders_causal(spark, sf_dir), ["seg"])
     return R.ols_coefficients(oc, CausalSpec("tc", "y_planted", ("x1", *names), id_col="id"))
+
+
+_OLS3_CTE = """
+m3 AS (SELECT count(*) AS n, avg(tc) AS mt, avg(x1) AS ma, avg(x2) AS mb, avg(y_planted) AS my,
+         covar_pop(tc, tc) * count(*) AS tt, covar_pop(tc, x1) * count(*) AS ta, covar_pop(tc, x2) * count(*) AS tb,
+         covar_pop(x1, x1) * count(*) AS aa, covar_pop(x1, x2) * count(*) AS ab, covar_pop(x2, x2) * count(*) AS bb,
+         covar_pop(tc, y_planted) * count(*) AS ty, covar_pop(x1, y_planted) * count(*) AS ay,
+         covar_pop(x2, y_planted) * count(*) AS by_, covar_pop(y_planted, y_planted) * count(*) AS yy FROM oc),
+a3 AS (SELECT *, aa * bb - ab * ab AS ctt, tb * ab - ta * bb AS cta, ta * ab - aa * tb AS ctb,
+              tt * bb - tb * tb AS caa, ta * tb - tt * ab AS cab, tt * aa - ta * ta AS cbb FROM m3),
+d3 AS (SELECT *, tt * ctt + ta * cta + tb * ctb AS det FROM a3),
+b3 AS (SELECT *, (ctt * ty + cta * ay + ctb * by_) / det AS bt, (cta * ty + caa * ay + cab * by_) / det AS ba,
+              (ctb * ty + cab * ay + cbb * by_) / det AS bbx FROM d3),
+r3 AS (SELECT *, (yy - bt * ty - ba * ay - bbx * by_) / (n - 4) AS s2,
+              (mt * (ctt * mt + cta * ma + ctb * mb) + ma * (cta * mt + caa * ma + cab * mb)
+               + mb * (ctb * mt + cab * ma + cbb * mb)) / det AS q FROM b3)"""
+
+
+@register("e1_ols_two_confounders", with_oc("""
+SELECT 'const' AS term, round(my - bt * mt - ba * ma - bbx * mb, 6) AS coef, round(sqrt(s2 / n + s2 * q), 6) AS se,
+       round((my - bt * mt - ba * ma - bbx * mb) / sqrt(s2 / n + s2 * q), 3) AS stat FROM r3
+UNION ALL SELECT 'tc', round(bt, 6), round(sqrt(s2 * ctt / det), 6), round(bt / sqrt(s2 * ctt / det), 3) FROM r3
+UNION ALL SELECT 'x1', round(ba, 6), round(sqrt(s2 * caa / det), 6), round(ba / sqrt(s2 * caa / det), 3) FROM r3
+UNION ALL SELECT 'x2', round(bbx, 6), round(sqrt(s2 * cbb / det), 6), round(bbx / sqrt(s2 * cbb / det), 3) FROM r3""",
+                                               _OLS3_CTE))
+def e1_ols_two_confounders(spark, sf_dir):
+    """The flagship model Y ~ 1 + T + x1 + x2; DuckDB solves the 3 x 3 system by its adjugate."""
+    return _coef_cols(R.ols_coefficients(orders_causal(spark, sf_dir), SPEC_PLANTED.with_(confounders=("x1", "x2"))))
