@@ -155,8 +155,12 @@ def check_binary(df: DataFrame, col: str) -> None:
         raise ValueError(f"column {col!r} must take exactly the values 0 and 1")
 
 
-def logit_fit(df: DataFrame, y: str, cols: dict[str, Column], max_iter: int = 100, tol: float = 1e-10) -> LogitFit:
-    """Unregularised logistic regression by Spark ML IRLS; Wald (normal) inference."""
+def logit_fit(df: DataFrame, y: str, cols: dict[str, Column], max_iter: int = 100, tol: float = 1e-10,
+              fit_stats: bool = False) -> LogitFit:
+    """Unregularised logistic regression by Spark ML IRLS; Wald (normal) inference.
+
+    ``fit_stats``: also deviance, null deviance and AIC (the null deviance is a second, intercept-only
+    fit, so only the E19 summary asks for it)."""
     names = list(cols)
     proj = df.select(*[e.cast("double").alias(f"f{i}") for i, e in enumerate(cols.values())],
                      _q(y).cast("double").alias("label"))
@@ -169,8 +173,10 @@ def logit_fit(df: DataFrame, y: str, cols: dict[str, Column], max_iter: int = 10
         model = glr.fit(train)
         sm = model.summary
         se = list(sm.coefficientStandardErrors)
-        n_inst, dev, null_dev, aic, iters = (int(sm.numInstances), float(sm.deviance), float(sm.nullDeviance),
-                                             float(sm.aic), int(sm.numIterations))
+        n_inst, iters = int(sm.numInstances), int(sm.numIterations)
+        dev = null_dev = aic = float("nan")
+        if fit_stats:
+            dev, null_dev, aic = float(sm.deviance), float(sm.nullDeviance), float(sm.aic)
     finally:
         train.unpersist()
     coef = [float(model.intercept)] + [float(v) for v in model.coefficients]
@@ -244,7 +250,7 @@ def logit_summary(df: DataFrame, spec: CausalSpec, did: bool = False) -> DataFra
     check_binary(df, spec.outcome)
     cols = model_columns(spec, did)
     cols.pop(spec.outcome)
-    fit = logit_fit(df, spec.outcome, cols)
+    fit = logit_fit(df, spec.outcome, cols, fit_stats=True)
     ll = -fit.deviance / 2.0
     k = len(fit.terms)
     rows = [("n", float(fit.n)), ("deviance", fit.deviance), ("null_deviance", fit.null_deviance),
