@@ -151,14 +151,17 @@ def _result(spark, test: str, original: float, sims: DataFrame, centre: float, a
     return spark.createDataFrame([(test, original, new, p, bool(p > alpha) if not math.isnan(p) else None)], S.REFUTATION)
 
 
-def refute(df: DataFrame, spec: CausalSpec, method: str = "ols", n_sims: int = 100, exact_placebo: bool = False,
-           estimator=None, rng: str = "md5") -> DataFrame:
+def refute(df: DataFrame, spec: CausalSpec, method: str = "ols", n_sims: int | None = None,
+           exact_placebo: bool = False, estimator=None, rng: str = "md5") -> DataFrame:
     """R1 + R2 + R3 for an estimate; R4 guards the methods it does not apply to.
 
-    ``estimator(df, spec) -> float`` refits any other method once per simulation.
+    ``estimator(df, spec) -> float`` refits any other method once per simulation. Simulations default
+    to 100 for the moment methods (all in one job) and 10 for refits.
     """
     guard(method)
     spark = df.sparkSession
+    if n_sims is None:
+        n_sims = 100 if method in MOMENT_METHODS else 10
     if method in MOMENT_METHODS:
         sp = spec.with_(confounders=()) if method == "diff_in_means" else spec
         fit = R.ols_fit(df, sp)

@@ -45,8 +45,28 @@ class Analysis:
             d.unpersist()
 
 
+def _point_estimator(method: Method, spec: CausalSpec, learner, provider, cells, weighting, rng):
+    """``(df, spec) -> ATE`` refit of the method, for refutations that change the data."""
+    lrn = learner or L.Forest()
+
+    def est(d: DataFrame, sp: CausalSpec) -> float:
+        if method is Method.PSM:
+            return M.psm_effects(d, sp, provider, cells)["ate"]
+        if method is Method.IPTW:
+            return P.iptw_effect(d, sp, provider, cells, weighting)
+        if method is Method.LINEAR_DML:
+            return L.dml_final_stage(L.dml_residuals(d, sp, lrn, 3, rng), sp)["ate"]
+        if method is Method.CAUSAL_FOREST:
+            return L.causal_forest(d, sp, lrn, L.Forest(), rng=rng)[0].collect()[0]["value"]
+        fn = L.s_learner if method is Method.S_LEARNER else L.t_learner
+        return L.ate_from_ite(fn(d, sp, lrn))
+
+    return est
+
+
 def analyze(df: DataFrame, spec: CausalSpec, method: str | Method = "ols", *, steps: list = (),
-            bootstrap: int | None = 50, heterogeneity: bool = True, refutation: bool = True, n_sims: int = 100,
+            bootstrap: int | None = 50, heterogeneity: bool = True, refutation: bool = True,
+            n_sims: int | None = None,
             learner=None, provider: str = "logistic", cells: list[str] | None = None, weighting: str = "hajek",
             export_path: str | None = None, rng: str = "md5", persist: bool = True) -> Analysis:
     """``persist``: keep the prepared table (MEMORY_AND_DISK) while the ~10 jobs of the analysis read
@@ -125,8 +145,12 @@ def analyze(df: DataFrame, spec: CausalSpec, method: str | Method = "ols", *, st
             out["hte"] = G.ite_slopes(out["table"], L.ITE, G.candidate_features(d, spec))
         else:
             out["hte"] = G.hte_interactions(d, spec, did=method in (Method.DID, Method.DID_LOGIT))
-    if refutation and method in (Method.OLS,):
+    if refutation and method is Method.OLS:
         out["refutation"] = RF.refute(d, spec, "ols", n_sims, rng=rng)
+    elif refutation and method not in (Method.DID, Method.DID_LOGIT, Method.LOGIT):
+        out["refutation"] = RF.refute(d, spec, method.value, n_sims, estimator=_point_estimator(method, spec, learner,
+                                                                                               provider, cells, weighting, rng),
+                                      rng=rng)
     result = Analysis(**out)
     result.extras["persisted"] = d if persist else None
     if export_path:
