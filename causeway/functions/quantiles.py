@@ -57,12 +57,16 @@ def _kth(df: DataFrame, c: Column, k: int, lo: float, hi: float, n_lo_below: int
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
                     quantile_limit: int = QUANTILE_LIMIT, approx: bool = False,
-                    accuracy: int = 10000) -> dict[str, list[float | None]]:
+                    accuracy: int = 10000, extra_aggs: list | None = None, head_out: dict | None = None
+                    ) -> dict[str, list[float | None]]:
     """{col: [q-th quantile for q in qs]} over non-null values, linear interpolation; one shared pass
     for counts and distinct estimates, then ``percentile`` or refinement per column.
 
     ``approx=True`` (opt-in) uses ``percentile_approx`` in one pass instead: a value of the column
-    within rank error 1/accuracy, no interpolation."""
+    within rank error 1/accuracy, no interpolation.
+
+    ``extra_aggs`` ride along in the first pass (their values land in ``head_out``), so a caller that
+    also needs counts or means (describe) does not scan again."""
     if not cols:
         return {}
     if approx:
@@ -75,7 +79,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
         col = F.col(f"`{c}`").cast("double")
         aggs += [F.count(col).alias(f"n{i}"), F.approx_count_distinct(col).alias(f"d{i}"),
                  F.min(col).alias(f"lo{i}"), F.max(col).alias(f"hi{i}")]
-    head = df.agg(*aggs).collect()[0]
+    head = df.agg(*aggs, *(extra_aggs or [])).collect()[0]
+    if head_out is not None:
+        head_out.update(head.asDict())
     out: dict[str, list[float | None]] = {}
     small = [i for i, c in enumerate(cols) if (head[f"d{i}"] or 0) <= quantile_limit]
     # pack columns into percentile passes whose distinct counts sum to at most the limit, so the

@@ -28,11 +28,11 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         x = _q(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    row = df.agg(*aggs).collect()[0]
-    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    rows = [(c, int(row[f"n{i}"]), row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"], *qs[c], row[f"hi{i}"])
+        aggs += [F.count(x).alias(f"dn{i}"), F.avg(x).alias(f"dm{i}"), F.stddev_samp(x).alias(f"ds{i}"),
+                 F.min(x).alias(f"dlo{i}"), F.max(x).alias(f"dhi{i}")]
+    row: dict = {}
+    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], extra_aggs=aggs, head_out=row)
+    rows = [(c, int(row[f"dn{i}"]), row[f"dm{i}"], row[f"ds{i}"], row[f"dlo{i}"], *qs[c], row[f"dhi{i}"])
             for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(
         rows, "column string, count bigint, mean double, std double, min double, p25 double, p50 double, "
