@@ -208,13 +208,21 @@ def category_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def point_series(df: DataFrame, x: str, y: str, color: str | None = None, id_col: str | None = None,
-                 fraction: float | None = None) -> DataFrame:
-    """the (x, y, colour) points of a scatter / line / bar chart; ``fraction`` keeps a
-    hash-deterministic sample of rows (the sampling feature of a scatter of a big table)."""
+                 fraction: float | None = None, max_points: int | None = None) -> DataFrame:
+    """the (x, y, colour) points of a scatter / line / bar chart.
+
+    Sampling is the feature of a scatter over a big table, and it is hash-deterministic:
+    ``fraction`` keeps each row whose draw u(id) is below it; ``max_points`` keeps exactly the N rows
+    with the smallest draws (ties by id), a top-k that each partition reduces to N rows before the merge.
+    """
     cols = [_q(x), _q(y)] + ([_q(color)] if color else [])
     d = df
-    if fraction is not None:
+    if fraction is not None or max_points is not None:
         if id_col is None:
             raise ValueError("sampling needs an id column")
-        d = d.where(uniform(id_col, SALT_SAMPLE, 0) < F.lit(float(fraction)))
+        d = d.withColumn("_sample_u", uniform(id_col, SALT_SAMPLE, 0))
+        if fraction is not None:
+            d = d.where(F.col("_sample_u") < F.lit(float(fraction)))
+        if max_points is not None:
+            d = d.orderBy("_sample_u", id_col).limit(int(max_points))
     return d.select(*([_q(id_col)] if id_col else []), *cols)

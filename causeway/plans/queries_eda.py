@@ -139,3 +139,10 @@ def f15_point_series(spark, sf_dir):
     f"SELECT id, x1, y, seg FROM oc WHERE {uniform_sql('id', SALT_SAMPLE, 0)} < 0.1"))
 def f15_point_series_sampled(spark, sf_dir):
     return E.point_series(orders_causal(spark, sf_dir), "x1", "y", "seg", id_col="id", fraction=0.1)
+
+
+@register("f15_point_series_bounded", with_oc(
+    f"SELECT id, x1, y, seg FROM oc ORDER BY {uniform_sql('id', SALT_SAMPLE, 0)}, id LIMIT 2000"))
+def f15_point_series_bounded(spark, sf_dir):
+    """At most 2,000 points for a scatter: the rows with the smallest sampling draws."""
+    return E.point_series(orders_causal(spark, sf_dir), "x1", "y", "seg", id_col="id", max_points=2000)
