@@ -132,6 +132,40 @@ def placebo_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, exact: bool
     return df.sparkSession.createDataFrame(rows, "sim int, estimate double")
 
 
+def joint_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, rng: str = "md5") -> tuple[DataFrame, DataFrame]:
+    """R1 and R2 from ONE exploded pass: per (row, simulation) both draws (the N(0,1) common cause and
+    the placebo) are computed and a single Gram over [T, X, W, P, Y] is aggregated per simulation; the
+    R1 model (T, X, W) and the R2 model (P, X) are sub-matrices of it. Same draws, same estimates as
+    ``random_common_cause_sims`` and ``placebo_sims``, half the passes."""
+    from causeway.session import spread
+    levels = treatment_levels(df, spec)
+    multi = [v for v, _ in levels] not in ([0, 1], [0.0, 1.0])
+    n = sum(c for _, c in levels)
+    u = F.col("_draw_u")
+    placebo = multilevel_placebo(levels, u) if multi else (u < F.lit(float(levels[-1][1]) / float(n))).cast("int")
+    cols = R.model_columns(spec)
+    y = cols.pop(spec.outcome)
+    cols[W_COL] = F.col("_draw_w")
+    cols[PLACEBO] = placebo
+    cols[spec.outcome] = y
+    names = list(cols)
+    base = moments(df.select("*", F.lit(0.0).alias("_draw_w"), F.lit(0.5).alias("_draw_u")), cols)
+    ex = spread(df).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim"))
+    ex = ex.withColumn("_draw_w", standard_normal(spec.id_col, F.col("sim"), rng)) \
+           .withColumn("_draw_u", uniform(spec.id_col, SALT_PLACEBO, F.col("sim"), rng))
+    per = weighted_moments_by(ex, cols, F.lit(1.0), "sim", base.mean)
+    xs = list(spec.confounders)
+    r1, r2 = [], []
+    for s in range(n_sims):
+        m = per.get(s)
+        f1 = solve_ols(m, spec.outcome, [spec.treatment, *xs, W_COL]) if m else None
+        f2 = solve_ols(m, spec.outcome, [PLACEBO, *xs]) if m else None
+        r1.append((s, float(f1.coef[f1.index(spec.treatment)]) if f1 and f1.identified.get(spec.treatment) else None))
+        r2.append((s, float(f2.coef[f2.index(PLACEBO)]) if f2 and f2.identified.get(PLACEBO) else None))
+    sp = df.sparkSession
+    return sp.createDataFrame(r1, "sim int, estimate double"), sp.createDataFrame(r2, "sim int, estimate double")
+
+
 def p_value(sims: list[float], centre: float) -> float:
     """Two-sided tail probability of ``centre`` under a normal fitted to the simulations."""
     v = np.array([s for s in sims if s is not None and math.isfinite(s)])
@@ -166,8 +200,11 @@ def refute(df: DataFrame, spec: CausalSpec, method: str = "ols", n_sims: int | N
         sp = spec.with_(confounders=()) if method == "diff_in_means" else spec
         fit = R.ols_fit(df, sp)
         original = float(fit.coef[fit.index(sp.treatment)])
-        r1 = random_common_cause_sims(df, sp, n_sims, rng)
-        r2 = placebo_sims(df, sp, n_sims, exact_placebo, rng)
+        if exact_placebo:
+            r1 = random_common_cause_sims(df, sp, n_sims, rng)
+            r2 = placebo_sims(df, sp, n_sims, True, rng)
+        else:
+            r1, r2 = joint_sims(df, sp, n_sims, rng)
     else:
         if estimator is None:
             raise ValueError("pass estimator= for a method without a moment form")

@@ -114,3 +114,13 @@ def test_quantile_passes_split_by_distinct_budget(oc_small):
     b = exact_quantiles(oc_small, ["x1", "y", "t"], qs, quantile_limit=1600)  # one column per pass
     for c in ("x1", "y", "t"):
         assert np.allclose(a[c], b[c], rtol=1e-12)
+
+
+def test_joint_refutation_pass_equals_separate_passes(oc_small):
+    from causeway.operators import refute as RF
+    spec = CausalSpec("tc", "y_planted", ("x1",))
+    j1, j2 = RF.joint_sims(oc_small, spec, 8)
+    a1 = sorted(RF.random_common_cause_sims(oc_small, spec, 8).collect())
+    a2 = sorted(RF.placebo_sims(oc_small, spec, 8).collect())
+    assert np.allclose([r.estimate for r in sorted(j1.collect())], [r.estimate for r in a1], rtol=1e-8)
+    assert np.allclose([r.estimate for r in sorted(j2.collect())], [r.estimate for r in a2], rtol=1e-8)
