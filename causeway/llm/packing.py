@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -30,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.llm import textbytes as T
 from causeway.llm.common import read, register
 
 SIZE = 4096
@@ -37,7 +39,7 @@ END = 2
 SENTENCE = 2.0
 INSIDE = 24.0
 HELD = 1 << 19
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "padded_to long")
 
@@ -47,26 +49,76 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Words(dict):
+    """Packed ids by word; a word that isn't held is tokenised and kept. A full cache becomes the elder one, from which
+    words that come again return."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.elder = tokenizer, tokenizer.model, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.elder = dict(self)
+            self.clear()
+        if (out := self.elder.get(word)) is None:
+            # lower-case letters only: normalisation leaves them and they are one piece, spelled in byte characters
+            if word.isalpha():
+                ids = [t.id for t in self.model.tokenize(word.decode())]
+            elif _PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
+                ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_BYTE_CHARACTERS))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            out = array("I", ids).tobytes()
+        self[word] = out
+        return out
+
+
+#: Lower-case letters without a decomposed form: a-z and the small letters of Latin-1.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Byte-level BPE writes the bytes that Latin-1 doesn't print as the characters from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_ALNUM = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyz"))
+_PUNCTUATION = ~_ALNUM & (np.arange(256) > 32) & (np.arange(256) < 127)
+
+
 class WordTokenizer:
     """Token ids of whole texts as packed little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-        ends = [i for t, i in self.tokenizer.get_vocab().items() if re.fullmatch(r"[.!?]+(</w>)?", t)]
-        self.ends = np.zeros(max([0, *self.tokenizer.get_vocab().values()]) + 1, bool)
-        self.ends[ends] = True
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]  # bytes split at the ASCII blanks only
-        cache = self.cache
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        if new := [*set().union(*words).difference(cache)]:
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-        return [b"".join(map(cache.__getitem__, ws)) for ws in words]
+        self.words = _Words(self.tokenizer)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max([0, *vocabulary.values()]) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if re.fullmatch(r"[.!?]+(</w>)?", t)]] = True
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, column: pa.Array) -> Iterator[bytes]:
+        data, offsets = T.byte_runs(column)
+        for at, end, raw, offs in T.chunks(data, offsets):
+            # A-Z are lower-cased by the tokenizer too. Its pieces are runs of letters, digits and runs of other marks:
+            # a blank between a letter and a mark changes nothing and spares the cache every word with its marks
+            low = T._LOWER[raw]
+            letter = _ALNUM[low]
+            letter[1:] |= (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] != 0x97) & (low[1:] != 0xB7)
+            mark = _PUNCTUATION[low]
+            mark[:1] = False
+            mark[1:] &= letter[:-1]
+            mark[offs[:-1][offs[:-1] < len(low)]] = False
+            where = np.flatnonzero(mark)
+            spaced = np.insert(low, where, 32).tobytes()
+            new = offs + np.searchsorted(where, offs)
+            special = raw.tobytes() if b"<|" in spaced else None
+            for k in range(end - at):
+                text = spaced[new[k]:new[k + 1]]
+                if special is not None and b"<|" in text:  # the tokenizer's own marks are matched before lower-casing
+                    yield self._whole(special[offs[k]:offs[k + 1]])
+                else:
+                    yield b"".join(map(self.words.__getitem__, text.split()))  # bytes split at the ASCII blanks only
 
 
 def best_cuts(at: list[int], penalty: list[float], size: int) -> list[int]:
@@ -94,16 +146,17 @@ def best_cuts(at: list[int], penalty: list[float], size: int) -> list[int]:
 
 def candidate_cuts(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, size: int) -> tuple[list, list]:
     """Positions (ascending, the last is the end) and penalties."""
-    after = np.flatnonzero(sentence_end[np.minimum(ids, len(sentence_end) - 1)]) + 1
-    at = np.union1d(after, doc_ends)
+    kind = np.zeros(len(ids) + 1, np.int8)  # by position: 1 inside, 2 after a sentence, 3 after a document
+    kind[1:] = 2 * sentence_end[np.minimum(ids, len(sentence_end) - 1)]
+    kind[doc_ends] = 3
+    at = np.flatnonzero(kind)
     gaps = np.diff(at, prepend=0)
     step = max(1, size // 64)
     if (wide := np.flatnonzero(gaps > step)).size:  # a long stretch without an end of a sentence
-        at = np.union1d(at, np.concatenate([np.arange(at[k] - gaps[k] + step, at[k], step) for k in wide]))
-    penalty = np.full(len(at), INSIDE)
-    penalty[np.isin(at, after)] = SENTENCE
-    penalty[np.isin(at, doc_ends)] = 0.0
-    return at.tolist(), penalty.tolist()
+        for k in wide:
+            kind[at[k] - gaps[k] + step:at[k]:step] = 1
+        at = np.flatnonzero(kind)
+    return at.tolist(), np.array([0.0, INSIDE, SENTENCE, 0.0])[kind[at]].tolist()
 
 
 def powers_of_two(n: int, size: int) -> list[int]:
@@ -164,11 +217,6 @@ class Packer:
         self.tokens -= n
 
 
-def _buffers(column: pa.Array) -> list[bytes]:
-    return [b"" if x is None else x for x in column.cast(pa.binary() if not pa.types.is_large_string(column.type)
-                                                          else pa.large_binary()).to_pylist()]
-
-
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int = END, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """One row for each piece (SCHEMA): where it comes from, its checksum, its sequence and its place there.
@@ -191,7 +239,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: i
                 packer = Packer(TaskContext.get().partitionId() << 40, encode.ends, size)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(_buffers(part.column(1))), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     packer.add(doc_id, ids + end_mark)
                 if len(packer.rows) > 20_000:
                     yield out()

@@ -40,7 +40,8 @@ def check(spark, docs, rows, size):
 
 
 TEXTS = [None, "", "Hello, world. It's <|endoftext|> here!", "a\u00a0b\x1cc \x0bd\u2003e", "Σας ΣΑΣ İI", "e\u0301 \u0301x",
-         "word " * 9000, "x" * 50_000, "1234567890" * 300, "same", "same"]
+         "word " * 9000, "x" * 50_000, "1234567890" * 300, "same", "same", "It's. ok., no.\nÉté, été. ÷ß ÿ! a1, b.c, 'tis don't. x.", ".", "a.", "a. ",
+         "ÀÉÎ naïve, œuvre. e\u0327! Ünïcode; \u00adsoft <|STARTOFTEXT|> <|startoftext|>x", "日本語。 русский, текст."]
 
 
 def test_pieces_cover_every_token_once(spark):
@@ -50,6 +51,17 @@ def test_pieces_cover_every_token_once(spark):
     check(spark, docs, P.pack(df, size=64).collect(), 64)
 
 
+def test_words_tokenise_as_whole_texts():
+    import duckdb
+    import pyarrow as pa
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' LIMIT 4000").fetchall()]
+    texts += [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    words = P.WordTokenizer(P.default_tokenizer())
+    whole = words.tokenizer.encode_batch([t or "" for t in texts + TEXTS], add_special_tokens=False)
+    for got, want in zip(words(pa.array(texts + TEXTS)), whole, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids
+
+
 def test_documents_pack_with_little_padding(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert check(spark, [(r.doc_id, r.text) for r in docs.collect()], P.pack(docs).collect(), P.SIZE) < 0.02
