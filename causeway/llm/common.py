@@ -17,6 +17,8 @@ SQL: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
@@ -38,11 +40,17 @@ def text_or_empty(name: str = "text") -> Column:
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the session's checkpoint folder (shared by driver and executors) and read it
     back: the lineage ends there, and lost executors cost no recomputation. Column-wise files are several times
-    smaller than a checkpoint of rows, and unlike one they carry no constraints along, which a loop would multiply. The table lives as long as the checkpoint folder."""
+    smaller than a checkpoint of rows, and unlike one they carry no constraints along, which a loop would multiply. The shuffle files behind it go as soon as it is written. The table lives as long as
+    the checkpoint folder."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_SHUFFLES)
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,8 @@ bytes share a cover sample of WINDOW = LENGTH - PERIOD + 1 bytes at the same pla
    sample within the next PERIOD bytes can tie over LENGTH bytes; all others are settled without being sorted.
 2. The suffixes left are dealt into buckets by the name of their first LENGTH bytes and each bucket is sorted on its
    own: memory is that of one bucket, and the number of buckets follows the number of bytes. Neighbours that tie over
-   LENGTH bytes are repeats. (The order is by name, not by alphabet: it need only bring equal prefixes together.)
+   LENGTH bytes are repeats. (The order is by name, not by alphabet: it need only bring equal prefixes together.) The
+   buckets are worked off in PASSES shares, so that the disk holds one share of the suffixes at a time.
 3. The repeats return to their text, which loses the bytes they cover.
 
 Equal texts count once: each task hands on a text once, and a bucket keeps one entry for each text and place, so a
@@ -40,6 +41,7 @@ COVER = tuple(sorted({(s << k) % PERIOD for s in (1, 91, 117) for k in range(12)
 #: Entries of one bucket, about; a bucket is sorted in memory.
 BUCKET = 400_000
 BLOCK = 1 << 20
+PASSES = 4
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -47,33 +49,33 @@ class _Blocks:
     """Gathers (name, text, place) entries and gives them out by bucket."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.names, self.cids, self.offs, self.n = buckets, [], [], [], 0
+        self.buckets, self.names, self.cids, self.offs, self.bucket, self.n = buckets, [], [], [], [], 0
 
-    def add(self, names: np.ndarray, cid: int, offs: np.ndarray) -> None:
+    def add(self, names: np.ndarray, cid: int, offs: np.ndarray, bucket: np.ndarray) -> None:
         self.names.append(names)
         self.offs.append(offs.astype(np.int32))
+        self.bucket.append(bucket)
         self.cids.append((cid, len(offs)))
         self.n += len(offs)
 
     def rows(self) -> pa.RecordBatch:
-        names, offs = np.concatenate(self.names), np.concatenate(self.offs)
+        names, offs, bucket = np.concatenate(self.names), np.concatenate(self.offs), np.concatenate(self.bucket)
         text = np.repeat(np.arange(len(self.cids), dtype=np.int32), [n for _, n in self.cids])
         cids = np.array([c for c, _ in self.cids], np.int64)
-        bucket = ((names >> T.U(32)) * T.U(self.buckets) >> T.U(32)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         out = []
         for part in np.split(order, at[1:]):
-            own, which = np.unique(text[part], return_inverse=True)
+            own, count = np.unique(text[part], return_counts=True)  # the entries of a bucket are in the order of texts
             out.append((int(bucket[part[0]]), names[part].tobytes(), cids[own].tobytes(),
-                        which.astype(np.int32).tobytes(), offs[part].tobytes()))
+                        count.astype(np.int32).tobytes(), offs[part].tobytes()))
         self.__init__(self.buckets)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
             zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=_PACKED_NAMES)
 
 
-_PACKED = "bucket int, names binary, cids binary, which binary, offs binary"
-_PACKED_NAMES = ["bucket", "names", "cids", "which", "offs"]
+_PACKED = "bucket int, names binary, cids binary, counts binary, offs binary"
+_PACKED_NAMES = ["bucket", "names", "cids", "counts", "offs"]
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +85,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settle() -> Iterator[pa.RecordBatch]:
         names = np.concatenate([np.frombuffer(r[0], T.U) for r in held])
-        cids = np.concatenate([np.frombuffer(r[1], np.int64)[np.frombuffer(r[2], np.int32)] for r in held])
+        cids = np.concatenate([np.repeat(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int32)) for r in held])
         offs = np.concatenate([np.frombuffer(r[3], np.int32) for r in held])
         order = np.argsort(names, kind="stable")
         sorted_names = names[order]
@@ -121,8 +123,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle()
 
 
-def _entries(places: Callable, window: int, buckets: int) -> Callable:
-    """mapInArrow function over (cid, text, ...): the names of ``window`` bytes at the places of each text."""
+def _entries(places: Callable, window: int, buckets: int, share: tuple[int, int] = (0, 1)) -> Callable:
+    """mapInArrow function over (cid, text, ...): the names of ``window`` bytes at the places of each text, for one
+    share (k, of) of the buckets."""
+    low, high = (buckets * (share[0] + k) // share[1] for k in (0, 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, seen = _Blocks(buckets), set()
         for batch in batches:
@@ -139,7 +144,12 @@ def _entries(places: Callable, window: int, buckets: int) -> Callable:
                     where = places(n, *(m[k] for m in more))
                     if len(where):
                         start = where + int(offs[k - at])
-                        blocks.add(T.span_hashes(sums, start, start + window), cids[k], where)
+                        names = T.span_hashes(sums, start, start + window)
+                        bucket = ((names >> T.U(32)) * T.U(buckets) >> T.U(32)).astype(np.int32)
+                        if share[1] > 1:
+                            own = (bucket >= low) & (bucket < high)
+                            names, where, bucket = names[own], where[own], bucket[own]
+                        blocks.add(names, cids[k], where, bucket)
                 if blocks.n >= BLOCK:
                     yield blocks.rows()
         if blocks.n:
@@ -214,8 +224,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a text that has repeated samples is read once, under the smallest of its ids
     left = saved(source.join(tied, ["doc_id", "cid"]).dropDuplicates(["cid"]).select("cid", "text", "samples"))
 
-    suffixes = left.mapInArrow(_entries(suffix_places, LENGTH, buckets(0.2)), _PACKED)
-    repeats = saved(_sorted_buckets(suffixes)).groupBy("cid").agg(F.collect_list("offs").alias("starts"))
+    repeats = None
+    for k in range(PASSES):
+        suffixes = left.mapInArrow(_entries(suffix_places, LENGTH, buckets(0.2), (k, PASSES)), _PACKED)
+        part = saved(_sorted_buckets(suffixes))
+        repeats = part if repeats is None else repeats.unionByName(part)
+    repeats = repeats.groupBy("cid").agg(F.collect_list("offs").alias("starts"))
     stripped = left.select("cid", "text").join(repeats, "cid").mapInArrow(
         _strip, "cid long, n_removed long, starts array<long>, ends array<long>, sha string")
     stripped = stripped.withColumnRenamed("sha", "kept_sha")
