@@ -125,12 +125,16 @@ def _may_be_similar(x: str, y: str, part: int, whole: int) -> Column:
     return length & place & (apart <= sx + sy - need * 2)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """(a, b, similar) for distinct pairs a < b, each verified on its whole sets."""
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, part: int, whole: int) -> DataFrame:
+    """(a, b, similar) for distinct pairs a < b, each verified on its whole sets; only texts in a pair are gathered."""
+    pairs = saved(pairs)
+    paired = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = saved(texts.join(paired, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+                 .mapInArrow(_sets(n), "doc long, grams array<long>"))
     with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a")
     both = with_a.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
-    return both.select("a", "b", (shared * whole >= (F.size("ga") + F.size("gb") - shared) * part).alias("similar"))
+    return saved(both.select("a", "b", (shared * whole >= (F.size("ga") + F.size("gb") - shared) * part).alias("similar")))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id",
@@ -151,9 +155,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
                                           F.max(F.struct("doc", "size", "at")).alias("high")).where("n > 1").drop("n")
     entries = saved(entries.join(buckets, "gram"))
     sizes = cards.select("doc", "parts")
-    involved = entries.select("doc").distinct()
-    sets = saved(texts.join(involved.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
-                 .dropDuplicates(["doc_id"]).mapInArrow(_sets(n), "doc long, grams array<long>"))
 
     def with_parts(pairs: DataFrame, of: str) -> DataFrame:
         return pairs.join(sizes.select(F.col("doc").alias(of), F.col("parts").alias(f"{of}_parts")), of)
@@ -168,7 +169,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     met = met.where(short).groupBy("x", "y", "x_size", "y_size").agg(F.min("x_at").alias("x_at"), F.min("y_at").alias("y_at"))
     pairs = with_parts(with_parts(met, "x"), "y").where(_may_be_similar("x", "y", part, whole)).select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    first = saved(_verified(pairs, sets, part, whole))
+    first = _verified(pairs, texts, n, part, whole)
     linked = first.where("similar").select("a", "b")
     found = saved(components(linked))
 
@@ -188,7 +189,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
                                    & _may_be_similar("x", "y", part, whole))
     rest = rest.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
     rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = saved(_verified(rest, sets, part, whole).where("similar").select("a", "b"))
+    more = _verified(rest, texts, n, part, whole).where("similar").select("a", "b")
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     labels = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
