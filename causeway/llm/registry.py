@@ -6,8 +6,8 @@ from importlib import import_module
 
 from causeway.llm.common import QUERIES, SQL
 
-MODULES = ("url_filters", "toxicity", "ngram_join", "vector_dedup", "chat_format", "quality_rules", "source_mix", "packing",
-           "suffix_dedup")
+MODULES = ("url_filters", "toxicity", "ngram_join", "secret_scan", "vector_dedup", "chat_format", "quality_rules", "source_mix",
+           "packing", "suffix_dedup")
 for _m in MODULES:
     import_module(f"causeway.llm.{_m}")
 
