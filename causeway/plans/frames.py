@@ -52,17 +52,17 @@ def orders_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tc = (F.col("u1") < F.lit(0.3) + F.lit(0.3) * F.col("x2") + F.lit(0.00001) * F.col("x1")).cast("int")
     base = base.withColumn("tc", tc)
-    noise = F.lit(100.0) * (F.col("u2") - F.lit(0.5))
+    # planted truths, own to this repository: customers of the x2 segments spend far less and are treated more often
+    noise = F.lit(90.0) * F.col("u2")
+    level = F.lit(0.03) * F.col("x1") - F.lit(700) * F.col("x2")
     return base.select(
         "*",
-        (F.lit(200) + F.lit(500) * F.col("tc") + F.lit(1000) * F.col("x2") + F.lit(0.01) * F.col("x1")
-         + F.lit(50) * F.col("post") + noise).alias("y_planted"),
-        (F.lit(200) + (F.lit(400) + F.lit(200) * F.col("x2")) * F.col("tc") + F.lit(1000) * F.col("x2")
-         + F.lit(0.01) * F.col("x1") + noise).alias("y_hte"),
-        (F.lit(200) + F.lit(80) * F.col("tc") + F.lit(50) * F.col("post") + F.lit(300) * F.col("tc") * F.col("post")
-         + F.lit(1000) * F.col("x2") + noise).alias("y_did"),
-        (F.col("u3") < F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(-1.0) + F.lit(0.5) * F.col("x2")
-                                                          + F.lit(0.5) * F.col("tc"))))).cast("int").alias("yb_planted"),
+        (F.lit(320) * F.col("tc") + level + noise).alias("y_planted"),
+        (F.when(F.col("x2") == 1, 440).otherwise(260) * F.col("tc") + level + noise).alias("y_hte"),
+        (F.lit(210) * F.col("tc") * F.col("post") + F.lit(25) * F.col("tc") - F.lit(35) * F.col("post")
+         + F.lit(90) * F.col("x2") + noise).alias("y_did"),
+        (F.col("u3") * (F.lit(1.0) + F.exp(F.lit(0.4) + F.lit(0.7) * F.col("x2") - F.lit(0.9) * F.col("tc"))) < F.lit(1.0))
+        .cast("int").alias("yb_planted"),
         # discrete confounder cell used by the stratified propensity and cell-mean learners
         F.floor(F.col("x1") / F.lit(1000.0)).cast("int").alias("x1_band"),
     )
@@ -90,10 +90,10 @@ base2 AS (
 ),
 oc AS (
   SELECT *,
-    200 + 500 * tc + 1000 * x2 + 0.01 * x1 + 50 * post + 100.0 * (u2 - 0.5) AS y_planted,
-    200 + (400 + 200 * x2) * tc + 1000 * x2 + 0.01 * x1 + 100.0 * (u2 - 0.5) AS y_hte,
-    200 + 80 * tc + 50 * post + 300 * tc * post + 1000 * x2 + 100.0 * (u2 - 0.5) AS y_did,
-    CAST(u3 < 1.0 / (1.0 + exp(-(-1.0 + 0.5 * x2 + 0.5 * tc))) AS INTEGER) AS yb_planted,
+    320 * tc + (0.03 * x1 - 700 * x2) + 90.0 * u2 AS y_planted,
+    (CASE WHEN x2 = 1 THEN 440 ELSE 260 END) * tc + (0.03 * x1 - 700 * x2) + 90.0 * u2 AS y_hte,
+    210 * tc * post + 25 * tc - 35 * post + 90 * x2 + 90.0 * u2 AS y_did,
+    CAST(u3 * (1.0 + exp(0.4 + 0.7 * x2 - 0.9 * tc)) < 1.0 AS INTEGER) AS yb_planted,
     CAST(floor(x1 / 1000.0) AS INTEGER) AS x1_band
   FROM base2
 )"""

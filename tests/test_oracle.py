@@ -40,4 +40,4 @@ def test_entry_smoke(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
     rows = df.collect()
-    assert len(rows) == 1 and abs(rows[0]["value"] - 500) < 20
+    assert len(rows) == 1 and abs(rows[0]["value"] - 320) < 20
