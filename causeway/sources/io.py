@@ -24,11 +24,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              normalize: bool = True) -> DataFrame:
-    """A1: header row, types inferred (one extra pass) unless a schema is given."""
-    reader = spark.read.option("header", True).option("mode", "FAILFAST")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    return normalize_missing(df) if normalize else df
+    """A1: header row; quotes are doubled inside quoted fields, which may hold line feeds. Without a schema the types
+    are inferred in one extra pass, after missing tokens have become null, so a number column with ``NA`` stays one."""
+    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').option("multiLine", True)
+    if schema is not None:
+        df = reader.schema(schema).csv(path)
+        return normalize_missing(df) if normalize else df
+    text = reader.option("inferSchema", False).csv(path)
+    text = normalize_missing(text) if normalize else text
+    return normalize_missing(cast_inferred(text)) if normalize else cast_inferred(text)
+
+
+# Types tried for a text column, narrowest first.
+INFERRED = ("int", "bigint", "double", "boolean", "date", "timestamp_ntz")
+_SHAPE = {"int": r"^[+-]?\d+$", "bigint": r"^[+-]?\d+$", "double": r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|Infinity|NaN)$",
+          "boolean": "^(?i)(true|false)$", "date": r"^\d{4}-\d\d-\d\d$", "timestamp_ntz": r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d(\.\d+)?)?$"}
+
+
+def cast_inferred(df: DataFrame) -> DataFrame:
+    """Text columns as the first of INFERRED that takes all their values (one aggregate over the table); a column
+    without values, or with any that none takes, stays text."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return df
+    col = {n: F.col(f"`{n}`") for n in names}
+    fits = {(i, t): F.sum(F.when(col[n].rlike(_SHAPE[t]) & col[n].try_cast(t).isNotNull(), 1).otherwise(0)).alias(f"{i}_{t}")
+            for i, n in enumerate(names) for t in INFERRED}
+    got = df.agg(*[F.count(col[n]).alias(f"{i}_n") for i, n in enumerate(names)], *fits.values()).first()
+    kinds = {n: next((t for t in INFERRED if got[f"{i}_n"] and got[f"{i}_{t}"] == got[f"{i}_n"]), None) for i, n in enumerate(names)}
+    return df.select(*[(F.col(f"`{c}`").cast(kinds[c]) if kinds.get(c) else F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
@@ -46,7 +70,7 @@ def normalize_missing(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A2: header, no index; one file per partition, written by the executors (no collect)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
