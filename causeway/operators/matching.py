@@ -19,6 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.operators.complete import usable_rows
 from causeway.operators.propensity import propensity_scores
 from causeway.operators.regression import estimate_df
 from causeway.spec import CausalSpec
@@ -60,9 +61,11 @@ def matched_effects(groups: DataFrame, bucketed: DataFrame | None = None) -> dic
     g = bucketed if bucketed is not None else _buckets(groups)
     arm_s = {a: F.when(F.col("arm") == a, F.col("s")) for a in (0, 1)}
     w = Window.partitionBy("b").orderBy("s")
-    below, above = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
+    # both frames grow from the start of their order, so a bucket costs one pass each way, however many scores it holds
+    down = Window.partitionBy("b").orderBy(F.desc("s"))
+    below, above = (x.rangeBetween(Window.unboundedPreceding, Window.currentRow) for x in (w, down))
     g = g.select("*", *[F.last(arm_s[a], ignorenulls=True).over(below).alias(f"prev{a}") for a in (0, 1)],
-                 *[F.first(arm_s[a], ignorenulls=True).over(above).alias(f"next{a}") for a in (0, 1)])
+                 *[F.last(arm_s[a], ignorenulls=True).over(above).alias(f"next{a}") for a in (0, 1)])
     edges = g.groupBy("b").agg(*[F.max(arm_s[a]).alias(f"hi{a}") for a in (0, 1)],
                                *[F.min(arm_s[a]).alias(f"lo{a}") for a in (0, 1)])
     we = Window.orderBy("b")  # one row per bucket: at most MAX_BUCKETS rows, so one partition is fine
@@ -97,7 +100,8 @@ def matched_effect(groups: DataFrame, from_arm: int, bucketed: DataFrame | None
 
 
 def psm_effects(df: DataFrame, spec: CausalSpec, provider: str = "stratified", cells: list[str] | None = None,
-                ps: str = "ps", weight_col: str | None = None) -> dict:
+                ps: str = "ps", weight_col: str | None = None, missing: str = "raise") -> dict:
+    df = usable_rows(df, spec, missing)
     scored = (propensity_scores(df, spec, provider, cells, out=ps, weight_col=weight_col)
               if ps not in df.columns else df)
     groups = score_groups(scored, spec, ps, weight_col).cache()
@@ -112,7 +116,7 @@ def psm_effects(df: DataFrame, spec: CausalSpec, provider: str = "stratified", c
 
 
 def estimate_psm(df: DataFrame, spec: CausalSpec, provider: str = "stratified", cells: list[str] | None = None,
-                 target: str = "ate") -> DataFrame:
+                 target: str = "ate", missing: str = "raise") -> DataFrame:
     """The ``estimate`` row for ATE (default), ATT or ATC."""
-    r = psm_effects(df, spec, provider, cells)
+    r = psm_effects(df, spec, provider, cells, missing=missing)
     return estimate_df(df.sparkSession, [("psm", target, int(r["n1"] + r["n0"]), r[target], None, None, None, "none")])
