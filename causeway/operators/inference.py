@@ -186,7 +186,7 @@ def generic_bootstrap(df: DataFrame, spec: CausalSpec, estimator, B: int = 10, r
         wdf = wdf.where(F.col("_boot_w") > 0)
         try:
             est = float(estimator(wdf, "_boot_w"))
-        except Exception:  # noqa: BLE001  a failed replicate is skipped, as in the reference
+        except (ValueError, ZeroDivisionError, np.linalg.LinAlgError):  # no overlap or singular in this replicate
             est = None
         rows.append((rep, est if est is not None and math.isfinite(est) else None))
     return df.sparkSession.createDataFrame(rows, S.BOOTSTRAP)

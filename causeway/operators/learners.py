@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 
 from causeway.functions.hashing import SALT_SPLIT, fold, uniform
 from causeway.operators.regression import check_binary, estimate_df
-from causeway.session import cached, materialize, spread
+from causeway.operators.complete import dealt, join_cells, usable_rows
+from causeway.session import cached, materialize
 from causeway.spec import CausalSpec
 
 ITE = "Estimated_ITE"
@@ -107,13 +108,15 @@ def _cell_mean_ite(df: DataFrame, spec: CausalSpec, cells: list[str], weight: st
 
     g = df.agg(wavg(1).alias("g1"), wavg(0).alias("g0")).collect()[0]
     cm = df.groupBy(*[_q(c) for c in cells]).agg(wavg(1).alias("_m1"), wavg(0).alias("_m0"))
-    j = df.join(cm, cells, "left")
+    j = join_cells(df, cm, cells)
     ite = F.coalesce(F.col("_m1"), F.lit(g["g1"])) - F.coalesce(F.col("_m0"), F.lit(g["g0"]))
     return j.withColumn(ITE, ite).drop("_m1", "_m0")
 
 
-def s_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Forest(), weight: str | None = None) -> DataFrame:
+def s_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Forest(), weight: str | None = None,
+              missing: str = "raise") -> DataFrame:
     """E12 + E18: one model f(X, T); ITE = f(X, 1) - f(X, 0), added as ``Estimated_ITE``."""
+    df = usable_rows(df, spec, missing)
     if isinstance(learner, CellMean):
         return _cell_mean_ite(df, spec, list(learner.cells), weight)
     feats = list(spec.confounders)
@@ -121,7 +124,7 @@ def s_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Fore
     binary = _is_binary_outcome(df, spec.outcome)
     d = df.withColumn("_label", _q(spec.outcome).cast("double"))
     fit_va = VectorAssembler(inputCols=feats + [spec.treatment], outputCol="_f", handleInvalid="error")
-    model = _forest(learner, "_label", "_f", "_p", binary, weight).fit(spread(fit_va.transform(d)))
+    model = _forest(learner, "_label", "_f", "_p", binary, weight).fit(dealt(fit_va.transform(d), spec))
     d = d.withColumn("_t1", F.lit(1.0)).withColumn("_t0", F.lit(0.0))
     d = VectorAssembler(inputCols=feats + ["_t1"], outputCol="_f1").transform(d)
     d = VectorAssembler(inputCols=feats + ["_t0"], outputCol="_f0").transform(d)
@@ -130,8 +133,10 @@ def s_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Fore
     return d.withColumn(ITE, F.col("_mu1") - F.col("_mu0")).drop("_label", "_t1", "_t0", "_f1", "_f0", "_mu1", "_mu0")
 
 
-def t_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Forest(), weight: str | None = None) -> DataFrame:
+def t_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Forest(), weight: str | None = None,
+              missing: str = "raise") -> DataFrame:
     """E13 + E18: separate models for treated and controls, both scored on every row."""
+    df = usable_rows(df, spec, missing)
     if isinstance(learner, CellMean):
         return _cell_mean_ite(df, spec, list(learner.cells), weight)
     feats = list(spec.confounders)
@@ -140,8 +145,8 @@ def t_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Fore
     d = VectorAssembler(inputCols=feats, outputCol="_f", handleInvalid="error").transform(
         df.withColumn("_label", _q(spec.outcome).cast("double")))
     t = _q(spec.treatment)
-    m1 = _forest(learner, "_label", "_f", "_p", binary, weight).fit(spread(d.where(t == 1)))
-    m0 = _forest(learner, "_label", "_f", "_p", binary, weight).fit(spread(d.where(t == 0)))
+    m1 = _forest(learner, "_label", "_f", "_p", binary, weight).fit(dealt(d.where(t == 1), spec))
+    m0 = _forest(learner, "_label", "_f", "_p", binary, weight).fit(dealt(d.where(t == 0), spec))
     d = _score(m1, d, "_f", "_mu1", binary)
     d = _score(m0, d, "_f", "_mu0", binary)
     return d.withColumn(ITE, F.col("_mu1") - F.col("_mu0")).drop("_label", "_f", "_mu1", "_mu0")
@@ -165,9 +170,10 @@ def learner_estimate(df: DataFrame, spec: CausalSpec, method: str, learner) -> D
 # ---- double machine learning (E14, E15) ---------------------------------------------------------
 
 def dml_residuals(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Forest(), folds: int = 3,
-                  rng: str = "md5") -> DataFrame:
+                  rng: str = "md5", missing: str = "raise") -> DataFrame:
     """Cross-fitted residuals ``_y_res`` = Y - E[Y|X], ``_t_res`` = T - P(T=1|X); each row is
     scored by a model that did not see it. The outcome model is a regressor even for a binary Y."""
+    df = usable_rows(df, spec, missing, (spec.id_col,))
     d = df.withColumn("_fold", fold(spec.id_col, folds, rng))
     y, t = _q(spec.outcome).cast("double"), _q(spec.treatment).cast("double")
     if isinstance(learner, CellMean):
@@ -183,11 +189,11 @@ def dml_residuals(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest =
         for k, r in tr.items():  # out-of-fold overall means, the fallback for cells seen only in fold k
             fb_y = F.when(F.col("_fold") == k, F.lit((sy - r["_fsy"]) / (sn - r["_fn"]) if sn > r["_fn"] else None)).otherwise(fb_y)
             fb_t = F.when(F.col("_fold") == k, F.lit((st - r["_fst"]) / (sn - r["_fn"]) if sn > r["_fn"] else None)).otherwise(fb_t)
-        oof = cf.join(cc, cells).select(
+        oof = join_cells(cf, cc, cells).select(
             *cells, "_fold",
             F.when(F.col("_cn") - F.col("_n") > 0, (F.col("_csy") - F.col("_sy")) / (F.col("_cn") - F.col("_n"))).alias("_my"),
             F.when(F.col("_cn") - F.col("_n") > 0, (F.col("_cst") - F.col("_st")) / (F.col("_cn") - F.col("_n"))).alias("_mt"))
-        j = d.join(oof, cells + ["_fold"], "left")
+        j = join_cells(d, oof, cells + ["_fold"])
         return (j.withColumn("_y_res", y - F.coalesce(F.col("_my"), fb_y))
                  .withColumn("_t_res", t - F.coalesce(F.col("_mt"), fb_t)).drop("_my", "_mt"))
     feats = list(spec.confounders)
@@ -197,7 +203,7 @@ def dml_residuals(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest =
     pred_y, pred_t = F.lit(None).cast("double"), F.lit(None).cast("double")
     for k in range(folds):
         train = d.where(F.col("_fold") != k)
-        train = cached(spread(train.select("_f", "_ly", "_lt")))
+        train = cached(dealt(train, spec).select("_f", "_ly", "_lt"))
         my = _forest(learner, "_ly", "_f", "_p", False).fit(train)
         mt = _forest(learner, "_lt", "_f", "_p", True).fit(train)
         train.unpersist()
@@ -275,9 +281,9 @@ def cate_column(spec_terms: list[str], theta: np.ndarray) -> Column:
 
 
 def linear_dml(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Forest(), folds: int = 3,
-               constant_effect: bool = False, rng: str = "md5") -> tuple[DataFrame, DataFrame]:
+               constant_effect: bool = False, rng: str = "md5", missing: str = "raise") -> tuple[DataFrame, DataFrame]:
     """E14 + E15 + E18: (estimate row, table with ``Estimated_ITE`` = theta(x))."""
-    res = dml_residuals(df, spec, learner, folds, rng)
+    res = dml_residuals(df, spec, learner, folds, rng, missing)
     fs = dml_final_stage(res, spec, constant_effect)
     ite = res.withColumn(ITE, cate_column(fs["terms"], fs["theta"])).drop("_fold", "_y_res", "_t_res")
     lo, hi = fs["ate"] - 1.959963984540054 * fs["se"], fs["ate"] + 1.959963984540054 * fs["se"]
@@ -288,7 +294,7 @@ def linear_dml(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = For
 # ---- causal forest (E16, E17) -------------------------------------------------------------------
 
 def causal_forest(df: DataFrame, spec: CausalSpec, nuisance: CellMean | Forest = Forest(),
-                  forest: Forest = Forest(), folds: int = 3, rng: str = "md5"):
+                  forest: Forest = Forest(), folds: int = 3, rng: str = "md5", missing: str = "raise"):
     """tau(x) = sum_b mean_leaf(Y_res T_res) / sum_b mean_leaf(T_res^2) over the trees b.
 
     Honest: the trees grow on half A (label Y_res / T_res, weight T_res^2, which is the local
@@ -299,7 +305,7 @@ def causal_forest(df: DataFrame, spec: CausalSpec, nuisance: CellMean | Forest =
     """
     feats = list(spec.confounders)
     _check_features(df, feats)
-    res = dml_residuals(df, spec, nuisance, folds, rng)
+    res = dml_residuals(df, spec, nuisance, folds, rng, missing)
     res = materialize(res)  # read three times below; a reliable checkpoint, not a recompute of the nuisances
     half = uniform(spec.id_col, SALT_SPLIT, 0, rng) < F.lit(0.5)
     res = res.withColumn("_half_a", half)
@@ -311,7 +317,7 @@ def causal_forest(df: DataFrame, spec: CausalSpec, nuisance: CellMean | Forest =
                                featuresCol="_cf", labelCol="_lab", weightCol="_w", predictionCol="_cfp",
                                minInstancesPerNode=forest.min_instances_per_node, maxBins=forest.max_bins,
                                featureSubsetStrategy="all")
-    model = rf.fit(spread(grow))
+    model = rf.fit(dealt(grow, spec))
     m = model.copy()
     m.setLeafCol("_leaves")
     leaves = m.transform(res).withColumn("_lv", vector_to_array(F.col("_leaves")))

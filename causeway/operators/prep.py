@@ -80,8 +80,8 @@ def impute_numeric(df: DataFrame, method: str = "mean", value: float | None = No
 def column_modes(df: DataFrame, cols: list[str]) -> dict[str, str]:
     """Most frequent non-null value per column, ties to the smallest value.
 
-    All columns in one unpivot -> groupBy(column, value).count (partial aggregate) -> max count
-    per column -> smallest value at that count. Only aggregates, so a column with millions of
+    All columns in one unpivot -> groupBy(column, value).count (partial aggregate) -> one
+    aggregate per column: the largest count, at it the smallest value. Only aggregates, so a column with millions of
     distinct values is never gathered into one task.
     """
     if not cols:
@@ -89,9 +89,8 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, str]:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), _q(c).cast("string").alias("v"))
                                         for c in cols])).alias("kv")).select("kv.k", "kv.v").where(F.col("v").isNotNull())
     counts = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("k").agg(F.max("n").alias("n"))
-    best = counts.join(top, ["k", "n"]).groupBy("k").agg(F.min("v").alias("v"))
-    return {r["k"]: r["v"] for r in best.collect()}
+    best = counts.groupBy("k").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("best"))
+    return {r["k"]: r["best"]["v"] for r in best.collect()}
 
 
 def impute_categorical(df: DataFrame, method: str = "mode", value: str = "Missing",

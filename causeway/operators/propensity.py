@@ -13,8 +13,9 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.operators.complete import absent, dealt, join_cells, usable_rows
 from causeway.operators.regression import estimate_df
-from causeway.session import cached, spread
+from causeway.session import cached
 from causeway.spec import CausalSpec
 
 
@@ -33,7 +34,7 @@ def propensity_scores(df: DataFrame, spec: CausalSpec, provider: str = "logistic
                 (F.sum(_q(weight_col) * t) / F.sum(_q(weight_col))).alias(out))
         else:
             share = df.groupBy(*[_q(k) for k in keys]).agg(F.avg(t.cast("double")).alias(out))
-        scored = df.join(share, keys, "left")
+        scored = join_cells(df, share, keys)
     elif provider == "logistic":
         if not spec.confounders:
             raise ValueError("a logistic propensity model needs confounders")
@@ -45,7 +46,7 @@ def propensity_scores(df: DataFrame, spec: CausalSpec, provider: str = "logistic
         if weight_col:
             glr = glr.setWeightCol(weight_col)
         train = va.transform(df.withColumn("_ps_label", t.cast("double")))
-        fit_input = cached(spread(train.select("_ps_features", "_ps_label", *([weight_col] if weight_col else []))))
+        fit_input = cached(dealt(train, spec).select("_ps_features", "_ps_label", *([weight_col] if weight_col else [])))
         try:
             model = glr.fit(fit_input)
         finally:
@@ -78,11 +79,14 @@ def iptw_sums(df: DataFrame, spec: CausalSpec, ps: str = "ps", weight_col: str |
     r = df.agg(F.sum(w).alias("n"),
                s(w * t * y / e).alias("a1"), s(w * t / e).alias("w1"),
                s(w * (1 - t) * y / (1 - e)).alias("a0"), s(w * (1 - t) / (1 - e)).alias("w0"),
-               F.sum(F.when(inside, 0).otherwise(1)).alias("bad")).collect()[0]
+               F.sum(F.when(inside, 0).otherwise(1)).alias("bad"),
+               F.sum(F.when(absent(df, spec.treatment) | absent(df, spec.outcome), 1).otherwise(0)).alias("missing")).collect()[0]
     return r.asDict()
 
 
 def iptw_value(s: dict, weighting: str = "ht") -> float:
+    if s["missing"]:
+        raise ValueError(f"{s['missing']} rows miss the treatment or the outcome; impute them or pass missing='drop'")
     if s["bad"]:
         raise ValueError(f"{s['bad']} rows have a propensity of 0 or 1 (no overlap); use clip=")
     if weighting == "ht":
@@ -93,14 +97,16 @@ def iptw_value(s: dict, weighting: str = "ht") -> float:
 
 
 def iptw_effect(df: DataFrame, spec: CausalSpec, provider: str = "stratified", cells: list[str] | None = None,
-                weighting: str = "ht", clip=None, weight_col: str | None = None) -> float:
+                weighting: str = "ht", clip=None, weight_col: str | None = None, missing: str = "raise") -> float:
+    df = usable_rows(df, spec, missing) if missing == "drop" else df
     scored = propensity_scores(df, spec, provider, cells, clip, weight_col=weight_col)
     return iptw_value(iptw_sums(scored, spec, weight_col=weight_col), weighting)
 
 
 def estimate_iptw(df: DataFrame, spec: CausalSpec, provider: str = "stratified", cells: list[str] | None = None,
-                  weighting: str = "ht", clip=None) -> DataFrame:
+                  weighting: str = "ht", clip=None, missing: str = "raise") -> DataFrame:
     """Weighted contrast with w = T/e + (1-T)/(1-e); Horvitz-Thompson or Hajek."""
+    df = usable_rows(df, spec, missing) if missing == "drop" else df
     scored = propensity_scores(df, spec, provider, cells, clip)
     s = iptw_sums(scored, spec)
     return estimate_df(df.sparkSession, [("iptw", "ate", int(s["n"]), iptw_value(s, weighting), None, None, None, "none")])

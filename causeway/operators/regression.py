@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from causeway import spec as S
 from causeway.functions import stats
 from causeway.operators.moments import Moments, OLSFit, moments, solve_ols
-from causeway.session import cached, spread
+from causeway.operators.complete import FIT_PARTITIONS
+from causeway.session import cached
 from causeway.spec import CausalSpec
 
 Z975 = stats.norm_ppf(0.975)
@@ -168,7 +169,7 @@ def logit_fit(df: DataFrame, y: str, cols: dict[str, Column], max_iter: int = 10
     glr = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, tol=tol,
                                       regParam=0.0, fitIntercept=True, labelCol="label", featuresCol="features")
     # IRLS reads the input once per iteration: keep the small assembled projection (lost blocks recompute)
-    train = cached(spread(va.transform(proj)))
+    train = cached(va.transform(proj).repartition(FIT_PARTITIONS))
     try:
         model = glr.fit(train)
         sm = model.summary

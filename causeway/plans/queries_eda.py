@@ -53,8 +53,7 @@ _F_ID = {"mean": "f4", "sum": "f5", "count": "f6", "median": "f7", "min": "f8",
 
 def _mk_grouped(agg, keys):
     def q(spark, sf_dir):
-        return rnd(E.grouped_agg(orders_nulls(spark, sf_dir).join(
-            orders_causal(spark, sf_dir).select("id", "prio"), "id"), keys, "y", agg))
+        return rnd(E.grouped_agg(orders_nulls(spark, sf_dir), keys, "y", agg))
     return q
 
 
