@@ -42,6 +42,7 @@ COVER = tuple(sorted({(s << k) % PERIOD for s in (1, 91, 117) for k in range(12)
 BUCKET = 400_000
 BLOCK = 1 << 20
 PASSES = 4
+TASKS = 48
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -79,48 +80,59 @@ _PACKED_NAMES = ["bucket", "names", "cids", "counts", "offs"]
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by bucket in; out for each bucket and text the places whose name is also found elsewhere."""
+    """Sorted by bucket in; out for each text the places whose name is also found elsewhere, one row for all buckets
+    that are settled together."""
     held: list[tuple] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     bucket = None
 
-    def settle() -> Iterator[pa.RecordBatch]:
+    def settle() -> None:
         names = np.concatenate([np.frombuffer(r[0], T.U) for r in held])
         cids = np.concatenate([np.repeat(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int32)) for r in held])
         offs = np.concatenate([np.frombuffer(r[3], np.int32) for r in held])
         order = np.argsort(names, kind="stable")
-        sorted_names = names[order]
-        tie = np.zeros(len(order), bool)
-        tie[1:] = sorted_names[1:] == sorted_names[:-1]
-        tie[:-1] |= tie[1:]
-        order = order[tie]
+        order = order[_ties(names[order])]
         names, cids, offs = names[order], cids[order], offs[order]
         order = np.lexsort((offs, cids, names))
         names, cids, offs = names[order], cids[order], offs[order]
-        if not len(names):
-            return
-        new_name = np.diff(names, prepend=~names[:1]) != 0
-        first = new_name | (np.diff(cids, prepend=0) != 0) | (np.diff(offs, prepend=0) != 0)
-        names, cids, offs = names[first], cids[first], offs[first]  # one entry for each text and place
-        tie = np.zeros(len(names), bool)
-        tie[1:] = names[1:] == names[:-1]
-        tie[:-1] |= tie[1:]
-        order = np.lexsort((offs[tie], cids[tie]))
-        cids, offs = cids[tie][order], offs[tie][order]
-        if len(cids):
-            at = np.flatnonzero(np.diff(cids))
-            parts = np.split(offs, at + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(cids[np.concatenate([[0], at + 1])], pa.int64()),
-                                              pa.array([p.tobytes() for p in parts], pa.binary())], names=["cid", "offs"])
+        if len(names):  # one entry for each text and place
+            first = np.ones(len(names), bool)
+            first[1:] = (np.diff(names) != 0) | (np.diff(cids) != 0) | (np.diff(offs) != 0)
+            tie = _ties(names[first])
+            found.append((cids[first][tie], offs[first][tie]))
+
+    def give() -> Iterator[pa.RecordBatch]:
+        cids, offs = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        found.clear()
+        order = np.lexsort((offs, cids))
+        cids, offs = cids[order], offs[order]
+        at = np.flatnonzero(np.diff(cids)) + 1
+        parts, own = np.split(offs, at), cids[np.concatenate([[0], at])] if len(cids) else cids
+        for k in range(0, len(own), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(own[k:k + 20_000], pa.int64()),
+                                              pa.array([x.tobytes() for x in parts[k:k + 20_000]], pa.binary())], names=["cid", "offs"])
 
     for batch in batches:
         for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != bucket and held:
-                yield from settle()
+                settle()
                 held = []
+                if sum(len(f[0]) for f in found) >= 4 * BUCKET:
+                    yield from give()
             bucket = b
             held.append(tuple(row))
     if held:
-        yield from settle()
+        settle()
+    if found:
+        yield from give()
+
+
+def _ties(names: np.ndarray) -> np.ndarray:
+    """Marks the sorted names that equal a neighbour."""
+    tie = np.zeros(len(names), bool)
+    tie[1:] = names[1:] == names[:-1]
+    tie[:-1] |= tie[1:]
+    return tie
 
 
 def _entries(places: Callable, window: int, buckets: int, share: tuple[int, int] = (0, 1)) -> Callable:
@@ -201,8 +213,10 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4])], names=["cid", "n_removed", "starts", "ends", "sha"])
 
 
-def _sorted_buckets(packed: DataFrame) -> DataFrame:
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "cid long, offs binary")
+def _sorted_buckets(packed: DataFrame, buckets: int) -> DataFrame:
+    """Tasks of some 16 buckets each, and no fewer than TASKS: a text comes back in one row for each task or so."""
+    dealt = packed.repartition(max(TASKS, buckets // 16), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_repeats, "cid long, offs binary")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,8 +230,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_enough = source.where(F.octet_length("text") >= LENGTH).select("cid", "text")
 
     window = LENGTH - PERIOD + 1
-    samples = long_enough.mapInArrow(_entries(sample_places, window, buckets(len(COVER) / PERIOD)), _PACKED)
-    ranked = saved(_sorted_buckets(samples))
+    of_samples, of_suffixes = buckets(len(COVER) / PERIOD), buckets(0.2)
+    samples = long_enough.mapInArrow(_entries(sample_places, window, of_samples), _PACKED)
+    ranked = saved(_sorted_buckets(samples, of_samples))
     tied = ranked.groupBy("cid").agg(F.collect_list("offs").alias("samples"))
     first = each.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     tied = tied.join(first.select("cid", "doc_id"), "cid")
@@ -226,8 +241,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     repeats = None
     for k in range(PASSES):
-        suffixes = left.mapInArrow(_entries(suffix_places, LENGTH, buckets(0.2), (k, PASSES)), _PACKED)
-        part = saved(_sorted_buckets(suffixes))
+        suffixes = left.mapInArrow(_entries(suffix_places, LENGTH, of_suffixes, (k, PASSES)), _PACKED)
+        part = saved(_sorted_buckets(suffixes, of_suffixes // PASSES))
         repeats = part if repeats is None else repeats.unionByName(part)
     repeats = repeats.groupBy("cid").agg(F.collect_list("offs").alias("starts"))
     stripped = left.select("cid", "text").join(repeats, "cid").mapInArrow(
