@@ -123,22 +123,29 @@ def drop_missing(df: DataFrame, subset: list[str]) -> DataFrame:
     return df.dropna(subset=subset)
 
 
-def one_hot(df: DataFrame, cols: list[str], drop_last: bool = True, max_levels: int = 1000) -> tuple[DataFrame, list[str]]:
+def one_hot(df: DataFrame, cols: list[str], drop_last: bool = True, max_levels: int | None = None) -> tuple[DataFrame, list[str]]:
     """Text confounders as 0/1 columns ``<col>_<level>``, levels sorted, the last one the reference.
 
-    Levels come from one distinct aggregate; a column with more than ``max_levels`` levels is an
-    error (an id-like column is not a confounder), never silently truncated. A missing value gets 0
-    in every column. Returns the frame and the names of the new columns.
+    Levels come from one distinct aggregate; with ``max_levels`` a column of more levels is an error, never silently
+    truncated. Missing values are a level of their own, ``<col>_missing``. Levels whose names would clash are numbered.
+    Returns the frame and the names of the new columns.
     """
     new, names = [], []
     for c in cols:
-        levels = sorted(r[0] for r in df.select(_q(c).cast("string")).where(_q(c).isNotNull()).distinct()
-                        .limit(max_levels + 1).collect())
-        if len(levels) > max_levels:
+        found = df.select(_q(c).cast("string").alias("v")).distinct()
+        got = [r[0] for r in (found if max_levels is None else found.limit(max_levels + 2)).collect()]
+        levels = sorted(v for v in got if v is not None)
+        if max_levels is not None and len(levels) > max_levels:
             raise ValueError(f"column {c!r} has more than {max_levels} levels")
         keep = levels[:-1] if drop_last else levels
         for lv in keep:
-            name = f"{c}_{lv}".replace(" ", "_").replace("-", "_")
+            name = plain = f"{c}_{lv}".replace(" ", "_").replace("-", "_")
+            k = 2
+            while name in names or name in df.columns:
+                name, k = f"{plain}_{k}", k + 1
             new.append(F.when(_q(c).cast("string") == F.lit(lv), 1).otherwise(0).alias(name))
             names.append(name)
+        if None in got and levels:
+            new.append(F.when(_q(c).isNull(), 1).otherwise(0).alias(f"{c}_missing"))
+            names.append(f"{c}_missing")
     return df.select("*", *new), names

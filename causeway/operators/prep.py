@@ -199,6 +199,8 @@ def _fmt(v: float, precision: int) -> str:
 def bucket_label(col: str, edges: list[float], precision: int = 1, lowest_closed: bool = False) -> Column:
     code = bucket_code(col, edges)
     labels = []
+    while precision < 15 and len({_fmt(e, precision) for e in edges}) < len(set(edges)):
+        precision += 1  # edges that differ must read differently
     for i in range(len(edges) - 1):
         left = "[" if (lowest_closed and i == 0) else "("
         labels.append(f"{left}{_fmt(edges[i], precision)}, {_fmt(edges[i + 1], precision)}]")

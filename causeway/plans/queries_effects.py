@@ -8,7 +8,7 @@ from causeway.operators import hte as G
 from causeway.operators import matching as M
 from causeway.operators import propensity as P
 from causeway.plans.catalog import register, rnd
-from causeway.plans.frames import orders_causal, with_oc
+from causeway.plans.frames import orders_causal, orders_holes, with_holes, with_oc
 from causeway.spec import CausalSpec
 
 SPEC_HTE = CausalSpec("tc", "y_hte", ("x1", "x2"), id_col="id")
@@ -101,6 +101,14 @@ def e10_psm_stratified(spark, sf_dir):
     return rnd(spark.createDataFrame([(r["att"], r["atc"], r["ate"])], "att double, atc double, ate double"), 6)
 
 
+@register("e10_psm_missing", with_holes(
+    "SELECT round(att, 6) AS att, round(atc, 6) AS atc, round((n1 * att + n0 * atc) / (n1 + n0), 6) AS ate "
+    "FROM att, atc", _PS_SQL, _PSM_SQL))
+def e10_psm_missing(spark, sf_dir):
+    r = M.psm_effects(orders_holes(spark, sf_dir), SPEC_PS, "stratified", CELLS, missing="drop")
+    return rnd(spark.createDataFrame([(r["att"], r["atc"], r["ate"])], "att double, atc double, ate double"), 6)
+
+
 @register("e10_psm_logistic")
 def e10_psm_logistic(spark, sf_dir):
     return M.estimate_psm(orders_causal(spark, sf_dir), SPEC_PS, "logistic")
@@ -121,6 +129,13 @@ def e11_iptw_stratified(spark, sf_dir):
                                      "ate_ht double, ate_hajek double"), 6)
 
 
+@register("e11_iptw_missing", with_holes(_IPTW_SQL, _PS_SQL.replace("seg, x1_band", "seg")))
+def e11_iptw_missing(spark, sf_dir):
+    d = orders_holes(spark, sf_dir)
+    both = [P.iptw_effect(d, SPEC_PS, "stratified", ["seg"], w, missing="drop") for w in ("ht", "hajek")]
+    return rnd(spark.createDataFrame([tuple(both)], "ate_ht double, ate_hajek double"), 6)
+
+
 @register("e11_iptw_logistic")
 def e11_iptw_logistic(spark, sf_dir):
     return P.estimate_iptw(orders_causal(spark, sf_dir), SPEC_PS, "logistic", weighting="hajek")

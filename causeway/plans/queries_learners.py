@@ -9,7 +9,7 @@ from causeway.operators import hte as G
 from causeway.operators import learners as L
 from causeway.operators import refute as RF
 from causeway.plans.catalog import register, rnd
-from causeway.plans.frames import orders_causal, with_oc
+from causeway.plans.frames import orders_causal, orders_holes, with_holes, with_oc
 from causeway.spec import CausalSpec
 
 SPEC = CausalSpec("tc", "y_hte", ("x1", "x2"), id_col="id")
@@ -43,6 +43,16 @@ def e18_ite_table_cell_mean(spark, sf_dir):
     return rnd(_cm_ite(spark, sf_dir).select("id", L.ITE), 4)
 
 
+@register("e12_s_learner_missing", with_holes("SELECT id, round(Estimated_ITE, 4) AS Estimated_ITE FROM ite", _CM_SQL))
+def e12_s_learner_missing(spark, sf_dir):
+    return rnd(L.s_learner(orders_holes(spark, sf_dir), SPEC, CELLS, missing="drop").select("id", L.ITE), 4)
+
+
+@register("e13_t_learner_missing", with_holes("SELECT round(avg(Estimated_ITE), 6) AS ate FROM ite", _CM_SQL))
+def e13_t_learner_missing(spark, sf_dir):
+    return rnd(L.t_learner(orders_holes(spark, sf_dir), SPEC, CELLS, missing="drop").agg(F.avg(L.ITE).alias("ate")), 6)
+
+
 @register("e12_s_learner_forest")
 def e12_s_learner_forest(spark, sf_dir):
     return L.learner_estimate(orders_causal(spark, sf_dir), SPEC, "s_learner", SMALL_FOREST)
@@ -75,6 +85,14 @@ def e14_dml_residuals_cell_mean(spark, sf_dir):
                           F.col("_t_res").alias("t_res")), 4)
 
 
+@register("e14_dml_residuals_missing", with_holes(
+    "SELECT id, fold, round(y_res, 4) AS y_res, round(t_res, 4) AS t_res FROM res", _RES_SQL))
+def e14_dml_residuals_missing(spark, sf_dir):
+    res = L.dml_residuals(orders_holes(spark, sf_dir), SPEC, CELLS, 3, missing="drop")
+    return rnd(res.select("id", F.col("_fold").alias("fold"), F.col("_y_res").alias("y_res"),
+                          F.col("_t_res").alias("t_res")), 4)
+
+
 @register("e15_dml_constant_effect_cell_mean", with_oc(
     "SELECT round(sum(t_res * y_res) / sum(t_res * t_res), 6) AS theta FROM res", _RES_SQL))
 def e15_dml_constant_effect_cell_mean(spark, sf_dir):

@@ -71,3 +71,14 @@ def test_csv_keeps_text_and_types(spark, tmp_path):
     got = io.read_csv(spark, str(tmp_path / "n.csv"))
     assert [t for _, t in got.dtypes] == ["int", "double", "boolean", "date", "string"]
     assert got.where("a IS NULL AND b IS NULL AND c IS NULL AND d IS NULL").count() == 1
+
+
+def test_labels_and_encoded_names_tell_values_apart(spark):
+    from causeway.operators import coerce, prep
+    d = spark.createDataFrame([(i / 1000,) for i in range(100)], "v double")
+    labels = [r[0] for r in prep.bucketize(d, "v", 4).select("v_binned").distinct().collect()]
+    assert len(labels) == 4
+    t = spark.createDataFrame([("A-B",), ("A B",), (None,), ("Z",)], "v string")
+    out, names = coerce.one_hot(t, ["v"])
+    assert len(set(names)) == len(names) == 3 and "v_missing" in names
+    assert sorted(sum(r[n] for n in names) for r in out.collect()) == [0, 1, 1, 1]
