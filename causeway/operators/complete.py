@@ -12,6 +12,8 @@ from causeway.spec import CausalSpec
 
 #: Partitions that a forest fit is dealt over; forests draw their bootstrap samples by partition.
 FIT_PARTITIONS = 32
+#: Rows of a table by group or cell that may be broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def absent(df: DataFrame, column: str) -> Column:
@@ -35,9 +37,18 @@ def usable_rows(df: DataFrame, spec: CausalSpec, missing: str = "raise", more: t
     return df
 
 
+def small_side(table: DataFrame) -> DataFrame:
+    """An aggregate of few rows as the broadcast side of a join: counted first, and left to a shuffled join (which
+    Spark splits where a key is hot) beyond BROADCAST_ROWS."""
+    rows = table.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return table
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+
+
 def join_cells(df: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with the other columns of ``cells``, a table of few rows by ``keys``; a null is a cell of its own."""
-    named = cells.withColumnsRenamed({k: f"_cell_{k}" for k in keys})
+    named = small_side(cells.withColumnsRenamed({k: f"_cell_{k}" for k in keys}))
     on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(F.col(f"_cell_{k}")) for k in keys])
     return df.join(named, on, "left").drop(*[f"_cell_{k}" for k in keys])
 

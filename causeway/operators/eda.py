@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.operators.complete import small_side
 from causeway.functions.hashing import SALT_SAMPLE, uniform
 from causeway.functions.quantiles import QUANTILE_LIMIT, exact_quantiles
 from causeway.operators.coerce import split_types
@@ -145,8 +146,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 def histogram_by(df: DataFrame, col: str, group: str, bins: int = 20) -> DataFrame:
     """one histogram per colour group, each over the group's own range.
 
-    Group ranges come from one aggregate and are joined back (Spark/AQE choose a broadcast only
-    when the group table is small); the bin is then a column expression of the row and its
+    Group ranges come from one aggregate and are joined back (broadcast when counted to be few); the bin is then a column expression of the row and its
     group's range, so each row is binned where it sits.
     """
     x = _q(col).cast("double")
@@ -155,6 +155,7 @@ def histogram_by(df: DataFrame, col: str, group: str, bins: int = 20) -> DataFra
     rng = rng.select("g", F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
                      F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     rng = rng.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(float(bins)))
+    rng = small_side(rng)
     j = d.join(rng, "g")
     code = F.lit(0)
     for i in range(1, bins):
@@ -180,7 +181,7 @@ def box_stats(df: DataFrame, y: str, group: str | None = None) -> DataFrame:
         qt = grouped_quantiles(d, keys, y, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
         qt = qt.withColumn("iqr", F.col("q3") - F.col("q1"))
         qt = qt.withColumn("lo_fence", F.col("q1") - 1.5 * F.col("iqr")).withColumn("hi_fence", F.col("q3") + 1.5 * F.col("iqr"))
-        j = j.join(qt, keys)
+        j = j.join(small_side(qt), keys)
     else:  # overall: the quartiles are three numbers, carried as literals
         q1, med, q3 = exact_quantiles(d, [y], [0.25, 0.5, 0.75])[y]
         if q1 is None:

@@ -6,6 +6,8 @@ from causeway.functions.hashing import SALT_BOOTSTRAP, explode_draws
 from causeway.operators import eda as E
 from causeway.operators import filters as D
 from causeway.operators import inference as U
+from causeway.operators import learners as L
+from causeway.operators import propensity as P
 from causeway.operators import regression as R
 from causeway.plans.frames import orders_causal
 from causeway.sources.io import read_table
@@ -50,6 +52,18 @@ def test_no_cartesian_or_nested_loop_joins(spark):
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+def test_rows_are_not_shuffled_to_meet_a_few_cells(spark):
+    oc = orders_causal(spark, SF_SMALL).select("id", "tc", "x1", "x2", "y", "y_hte", "y_planted", "seg", "x1_band").cache()
+    spec, cells = CausalSpec("tc", "y_planted", ("x1", "x2"), id_col="id"), ["seg", "x1_band"]
+    frames = [P.propensity_scores(oc, spec, "stratified", cells), L.s_learner(oc, spec, L.CellMean(tuple(cells))),
+              L.dml_residuals(oc, spec, L.CellMean(tuple(cells)))]
+    for f in frames:
+        assert "Exchange hashpartitioning" not in f._jdf.queryExecution().executedPlan().toString()
+    for f in (E.histogram_by(oc, "y", "seg", 20), E.box_stats(oc, "y", "seg")):
+        plan = f._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(seg" not in plan.split("HashAggregate")[-1]
+
+
 def test_one_hash_per_replicate_row(spark):
     oc = orders_causal(spark, SF_SMALL)
     q = U.with_replicates(oc.select("id", "tc"), "id", 50).groupBy("rep").agg(F.sum(F.col("w") * F.col("tc")))
