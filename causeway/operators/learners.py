@@ -273,6 +273,13 @@ def bootstrap_dml_final(res: DataFrame, spec: CausalSpec, B: int = 50, constant_
     return res.sparkSession.createDataFrame(rows, S.BOOTSTRAP)
 
 
+def resampled(df: DataFrame, weight: str) -> DataFrame:
+    """Each row as often as its replicate count says, under its own id: its copies share a fold and a half, so no model
+    is scored on a copy of what it saw."""
+    copies = F.explode(F.array_repeat(F.lit(1), F.col(weight).cast("int")))
+    return df.withColumn("_copy", copies).drop("_copy", weight)
+
+
 def cate_column(spec_terms: list[str], theta: np.ndarray) -> Column:
     expr = F.lit(float(theta[0]))
     for i, c in enumerate(spec_terms[1:], start=1):

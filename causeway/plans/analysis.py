@@ -45,7 +45,7 @@ class Analysis:
             d.unpersist()
 
 
-def _point_estimator(method: Method, spec: CausalSpec, learner, provider, cells, weighting, rng):
+def _point_estimator(method: Method, spec: CausalSpec, learner, provider, cells, weighting, rng, forest=None):
     """``(df, spec) -> ATE`` refit of the method, for refutations that change the data."""
     lrn = learner or L.Forest()
 
@@ -57,7 +57,7 @@ def _point_estimator(method: Method, spec: CausalSpec, learner, provider, cells,
         if method is Method.LINEAR_DML:
             return L.dml_final_stage(L.dml_residuals(d, sp, lrn, 3, rng), sp)["ate"]
         if method is Method.CAUSAL_FOREST:
-            return L.causal_forest(d, sp, lrn, L.Forest(), rng=rng)[0].collect()[0]["value"]
+            return L.causal_forest(d, sp, lrn, forest or L.Forest(), rng=rng)[0].collect()[0]["value"]
         fn = L.s_learner if method is Method.S_LEARNER else L.t_learner
         return L.ate_from_ite(fn(d, sp, lrn))
 
@@ -68,13 +68,19 @@ def analyze(df: DataFrame, spec: CausalSpec, method: str | Method = "ols", *, st
             bootstrap: int | None = 50, heterogeneity: bool = True, refutation: bool = True,
             n_sims: int | None = None,
             learner=None, provider: str = "logistic", cells: list[str] | None = None, weighting: str = "hajek",
-            export_path: str | None = None, rng: str = "md5", persist: bool = True) -> Analysis:
-    """``persist``: keep the prepared table (MEMORY_AND_DISK) while the ~10 jobs of the analysis read
+            export_path: str | None = None, rng: str = "md5", persist: bool = True,
+            refit_nuisances: bool = True, forest: L.Forest | None = None) -> Analysis:
+    """``method="auto"``: the logit for a 0/1 outcome, least squares otherwise, as differences in differences if the spec
+    names a time period. ``refit_nuisances=False`` bootstraps only the final stage of LinearDML.
+    ``persist``: keep the prepared table (MEMORY_AND_DISK) while the ~10 jobs of the analysis read
     it; lost blocks are recomputed from the source, and it is released by ``Analysis.release()``."""
-    method = Method(method)
     spark = df.sparkSession
     d = apply_steps(df, list(steps)) if steps else df
     spec.validate(d)
+    if method == "auto":
+        method = ("did" if spec.time_period else "") + ("logit" if L._is_binary_outcome(d, spec.outcome) else "ols")
+        method = {"didols": "did", "didlogit": "did_logit"}.get(method, method)
+    method = Method(method)
     if persist:
         d = cached(d)
     out: dict = {"table": d}
@@ -107,23 +113,31 @@ def analyze(df: DataFrame, spec: CausalSpec, method: str | Method = "ols", *, st
         out["estimate"] = R.estimate_df(spark, [(method.value, "ate", d.count(), value, se, lo, hi, src)])
     else:
         lrn = learner or L.Forest()
+        refit = _point_estimator(method, spec, learner, provider, cells, weighting, rng, forest)
         if method is Method.LINEAR_DML:
             res = L.dml_residuals(d, spec, lrn, 3, rng)
             from causeway.session import materialize
             res = materialize(res)
             fs = L.dml_final_stage(res, spec)
             ite = res.withColumn(L.ITE, L.cate_column(fs["terms"], fs["theta"])).drop("_fold", "_y_res", "_t_res")
-            se, lo, hi, src = fs["se"], None, None, "analytic"
+            se, src = fs["se"], "analytic"
             lo, hi = U.normal_interval(fs["ate"], fs["se"])
             if bootstrap:
-                boot = L.bootstrap_dml_final(res, spec, bootstrap, rng=rng)
+                boot = (U.generic_bootstrap(d, spec, lambda x, w: refit(L.resampled(x, w), spec), bootstrap, rng)
+                        if refit_nuisances else L.bootstrap_dml_final(res, spec, bootstrap, rng=rng))
                 out["bootstrap"] = boot
                 _, se, lo, hi = U.summarize(boot)
                 src = "bootstrap"
             out["estimate"] = R.estimate_df(spark, [("linear_dml", "ate", fs["n"], fs["ate"], se, lo, hi, src)])
         elif method is Method.CAUSAL_FOREST:
-            est_df, ite, model, feats = L.causal_forest(d, spec, lrn if isinstance(lrn, L.CellMean) else lrn, L.Forest(),
+            est_df, ite, model, feats = L.causal_forest(d, spec, lrn, forest or L.Forest(),
                                                         rng=rng)
+            if bootstrap:
+                boot = U.generic_bootstrap(d, spec, lambda x, w: refit(L.resampled(x, w), spec), bootstrap, rng)
+                out["bootstrap"] = boot
+                _, se, lo, hi = U.summarize(boot)
+                one = est_df.first()
+                est_df = R.estimate_df(spark, [("causal_forest", "ate", one["n"], one["value"], se, lo, hi, "bootstrap")])
             out["estimate"] = est_df
             out["importance"] = L.feature_importance(model, feats, spark)
         else:
@@ -149,7 +163,7 @@ def analyze(df: DataFrame, spec: CausalSpec, method: str | Method = "ols", *, st
         out["refutation"] = RF.refute(d, spec, "ols", n_sims, rng=rng)
     elif refutation and method not in (Method.DID, Method.DID_LOGIT, Method.LOGIT):
         out["refutation"] = RF.refute(d, spec, method.value, n_sims, estimator=_point_estimator(method, spec, learner,
-                                                                                               provider, cells, weighting, rng),
+                                                                                               provider, cells, weighting, rng, forest),
                                       rng=rng)
     result = Analysis(**out)
     result.extras["persisted"] = d if persist else None

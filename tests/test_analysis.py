@@ -39,3 +39,18 @@ def test_analyze_runs(oc_small, method, spec, kw, tmp_path):
             assert set(rows) == {"random_common_cause", "placebo_treatment"}
     finally:
         res.release()
+
+
+def test_auto_picks_the_logit_for_a_binary_outcome(oc_small):
+    for spec, name in ((CausalSpec("tc", "yb_planted", ("x2",), id_col="id"), "logit"), (CausalSpec("tc", "y_planted", ("x2",), id_col="id"), "ols")):
+        res = analyze(_frame(oc_small), spec, "auto", bootstrap=None, heterogeneity=False, refutation=False)
+        assert res.estimate.first()["method"] == name
+
+
+@pytest.mark.parametrize("method", ["linear_dml", "causal_forest"])
+def test_refit_bootstrap_of_learned_estimators(oc_small, method):
+    spec = CausalSpec("tc", "y_hte", ("x1", "x2"), id_col="id")
+    res = analyze(_frame(oc_small), spec, method, bootstrap=2, heterogeneity=False, refutation=False,
+                  learner=L.CellMean(("seg", "x1_band")), forest=L.Forest(num_trees=3, max_depth=3))
+    row = res.estimate.first()
+    assert row["se"] > 0 and res.bootstrap.where("estimate IS NOT NULL").count() == 2
