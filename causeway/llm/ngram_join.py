@@ -11,9 +11,12 @@ buckets, and pairs come from buckets:
 * then links are closed into components, and only pairs of a bucket that lie in different components are left: a
   bucket within one component, such as a group of thousands of near copies, gives none.
 
+The suffix filter bounds the difference of two sets from below without reading them: each n-gram that only one of them
+holds flips the parity of its part of the hash range, so the parities that differ in PARTS parts are at most as many as
+the n-grams that differ.
+
 A pair passes the length filter (sizes), the positional filter (what can still be shared after the n-gram's places)
-and the suffix filter (a lower bound of the sets' difference from their counts in PARTS parts of the hash range), and
-is then verified once on the whole sets. Skipping a pair inside a component never changes the components.
+and the suffix filter, and is then verified once on the whole sets. Skipping a pair inside a component never changes the components.
 
 N-grams are 64-bit hashes. Edge cases: null, empty and wordless texts have an empty set and link with nothing; with
 fewer words than n the whole sequence is the one n-gram; rows that share an id are one document; an empty table gives
@@ -34,7 +37,9 @@ from causeway.llm.common import read, register, same, saved, text_or_empty
 from causeway.llm.graph import components
 
 SLOTS = 1 << 20
-PARTS = 16
+#: Hash parts of a set whose parities make its sketch, and the 64-bit words that hold them.
+PARTS = 1024
+WORDS = PARTS // 64
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -92,7 +97,7 @@ def _prefixes(n: int, part: int, whole: int, counts):
                 sizes.append(len(s))
                 order = np.lexsort((s, held[(s >> T.U(44)).astype(np.int64)]))
                 prefixes.append(s[order[:keep]])
-                parts.append(np.bincount((s & T.U(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int64).view(T.U))
+                parts.append(np.packbits(np.bincount((s & T.U(PARTS - 1)).astype(np.int64), minlength=PARTS) & 1).view(T.U))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _lists(prefixes),
                                                   _lists(parts)], names=["doc", "size", "prefix", "parts"])
@@ -120,8 +125,7 @@ def _may_be_similar(x: str, y: str, part: int, whole: int) -> Column:
     need = _overlap(f"{x}_size", f"{y}_size", part, whole)
     length = (sx * part <= sy * whole) & (sy * part <= sx * whole)
     place = F.least(ax, ay) + F.least(sx - ax, sy - ay) >= need
-    apart = F.aggregate(F.zip_with(f"{x}_parts", f"{y}_parts", lambda p, q: F.abs(p - q)), F.lit(0).cast("long"),
-                        lambda a, b: a + b)
+    apart = sum((F.bit_count(F.get(f"{x}_parts", F.lit(i)).bitwiseXOR(F.get(f"{y}_parts", F.lit(i)))) for i in range(WORDS)), F.lit(0))
     return length & place & (apart <= sx + sy - need * 2)
 
 
