@@ -114,6 +114,17 @@ def _sets(n: int):
     return run
 
 
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
+
+
+def _in_slots(taken):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(taken.value[b.column(2).to_numpy(zero_copy_only=False)])).select(["doc_id", "text"])
+    return run
+
+
 def _overlap(a: str, b: str, part: int, whole: int) -> Column:
     """Least intersection of a similar pair: ceil(t / (1 + t) (|x| + |y|))."""
     return F.ceil((F.col(a) + F.col(b)) * part / (part + whole))
@@ -133,7 +144,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, part: int, whole: int)
     """(a, b, similar) for distinct pairs a < b, each verified on its whole sets; only texts in a pair are gathered."""
     pairs = saved(pairs)
     paired = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = saved(texts.join(paired, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # only texts whose id falls into an occupied slot are shuffled: SLOTS bits, whatever the number of pairs
+    taken = np.zeros(SLOTS, bool)
+    taken[paired.select(_slot().alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
+    near = texts.withColumn("slot", _slot()).mapInArrow(_in_slots(texts.sparkSession.sparkContext.broadcast(taken)),
+                                                        "doc_id long, text string")
+    sets = saved(near.join(paired, "doc_id", "left_semi").dropDuplicates(["doc_id"])
                  .mapInArrow(_sets(n), "doc long, grams array<long>"))
     with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a")
     both = with_a.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
