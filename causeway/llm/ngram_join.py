@@ -37,6 +37,8 @@ from causeway.llm.common import read, register, same, saved, text_or_empty
 from causeway.llm.graph import components
 
 SLOTS = 1 << 20
+#: Pairs of ids that may be broadcast to their sets: 16 bytes each.
+BROADCAST_PAIRS = 500_000
 #: Hash parts of a set whose parities make its sketch, and the 64-bit words that hold them.
 PARTS = 1024
 WORDS = PARTS // 64
@@ -151,6 +153,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, part: int, whole: int)
                                                         "doc_id long, text string")
     sets = saved(near.join(paired, "doc_id", "left_semi").dropDuplicates(["doc_id"])
                  .mapInArrow(_sets(n), "doc long, grams array<long>"))
+    # counted pairs of ids (two numbers each) go to the sets; beyond the bound both sides are shuffled
+    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
     with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a")
     both = with_a.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
