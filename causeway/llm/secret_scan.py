@@ -7,16 +7,17 @@ beside it (or the name before ``=`` or ``:``) speak of credentials or of checksu
 labelled findings rejects false positives; what it takes for a secret is replaced by MASK in the text.
 
 Transitions and the dictionary are counted over all documents: a word is in the dictionary if it occurs DICTIONARY
-times or more. The forest is fitted on at most about SAMPLE labelled findings, drawn by hash and dealt by a fixed rule.
+times or more. The forest is fitted on at most about SAMPLE labelled findings, half of them of each label (all of a label
+with fewer), drawn by hash and dealt by a fixed rule. It judges the others: a labelled finding keeps its label.
 Labelled findings are a parameter (columns value and label). Without them, ``format_labels`` labels the candidates
 whose format settles the matter (known providers' keys, and random strings assigned to a credential's name, against
 mail and network addresses, plain numbers and URLs); the forest then judges all others too. DataFrame and ML functions
 only, no Python on the executors.
 
 Edge cases: null and empty texts have no candidates and null stays null; rows that share an id share the findings of
-all of them; candidates of one text are distinct values; without a positive label nothing is a secret, without a
-negative one every candidate is; an empty table gives an empty result; further columns are ignored by ``scan`` and
-kept by ``masked``.
+all of them; candidates of one text are distinct values; where only one label occurs there is no forest, and what is
+labelled 1 is a secret and nothing else; an empty table gives an empty result; further columns are ignored by ``scan``
+and kept by ``masked``.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ LEAST = 12
 MASK = "[SECRET]"
 SAMPLE = 20_000
 DICTIONARY = 20
+DRAWS = 1 << 50
 TREES, DEPTH, PARTS, SEED = 20, 6, 8, 4
 
 # Names that go with credentials, names that go with harmless random strings, and providers' key formats.
@@ -114,23 +116,26 @@ def format_labels(features: DataFrame) -> DataFrame:
 
 
 def classify(features: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(value, name, before, probability, secret) by a forest fitted on labelled findings (value, label)."""
+    """(value, name, before, probability, secret): the label of labelled findings (value, label), a forest fitted on
+    them for all others. Each label is drawn up to half of ``sample``, so all rows of a rare one are."""
     marked = labelled.where("label IN (0, 1)").groupBy("value").agg(F.max("label").cast("double").alias("label"))
-    train = features.join(marked, "value")
+    known = features.join(marked, "value", "left")
+    train = known.where("label IS NOT NULL")
     counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        sure = F.lit(1.0 if counts.get(1.0) else 0.0)
-        return features.select("value", "name", "before", sure.alias("probability"), (sure > 0.5).alias("secret"))
-    rate = min(1.0, sample / sum(counts.values()))
+    bound = lambda label: int(DRAWS * min(1.0, sample / 2 / counts.get(label, 1)))
+    drawn = saved(train.where(F.pmod("key", F.lit(DRAWS)) < F.when(F.col("label") == 1, bound(1.0)).otherwise(bound(0.0)))
+                  .select("key", "label", *FEATURES))
+    n = {r["label"]: r["n"] for r in drawn.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        p = F.coalesce("label", F.lit(0.0))
+        return known.select("value", "name", "before", p.alias("probability"), (p >= 0.5).alias("secret"))
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    drawn = train.where(F.pmod("key", F.lit(1_000_000)) < int(1_000_000 * rate))
-    balance = F.when(F.col("label") == 1, counts[0.0] / counts[1.0]).otherwise(1.0)
-    drawn = saved(drawn.select("key", "label", *FEATURES, balance.alias("weight")))
+    balance = F.when(F.col("label") == 1, n[0.0] / n[1.0]).otherwise(1.0)
     # forests draw their samples by partition: deal the rows by a fixed rule
-    dealt = drawn.repartition(PARTS, "key").sortWithinPartitions("key")
+    dealt = drawn.withColumn("weight", balance).repartition(PARTS, "key").sortWithinPartitions("key")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight").fit(gather.transform(dealt))
-    judged = forest.transform(gather.transform(features))
-    p = vector_to_array("probability")[1]
+    judged = forest.transform(gather.transform(known))
+    p = F.coalesce("label", vector_to_array("probability")[1])
     return judged.select("value", "name", "before", p.alias("probability"), (p >= 0.5).alias("secret"))
 
 

@@ -42,3 +42,21 @@ def test_edge_cases(spark):
     assert S.masked(spark.createDataFrame([], schema)).count() == 0
     none = spark.createDataFrame([(1, "4041894974608795")], schema)
     assert S.masked(none).collect()[0].text == "4041894974608795"
+
+
+def test_rare_secrets_among_many_labelled_findings(spark):
+    keys = ["AKIA" + "Q7ZK2M4PX9W3B8N5", "AKIA" + "M3XW8R5TK6D2H9V4"]
+    rows = [(i, f"write to person{i:05d}@example.org now") for i in range(3000)]
+    rows += [(4000 + i, f"set api_key={k} here") for i, k in enumerate(keys)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = S.candidates(docs)
+    words = S.dictionary(docs)
+    features = S.saved(S.featurise(found, words, S.transitions(words)))
+    judged = S.classify(features, S.format_labels(features), sample=200).collect()
+    assert {r.value for r in judged if r.secret} == set(keys) and len(judged) == 3002
+
+
+def test_one_label_only_masks_what_is_labelled(spark):
+    docs = spark.createDataFrame([(1, "first id0001Xy77777Qz then id0002Xy88888Qz")], "doc_id long, text string")
+    labelled = spark.createDataFrame([("id0001Xy77777Qz", 1)], "value string, label int")
+    assert S.masked(docs, labelled).collect()[0].text == f"first {S.MASK} then id0002Xy88888Qz"
