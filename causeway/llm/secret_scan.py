@@ -1,7 +1,10 @@
 """Secret scans: candidate strings judged by a random forest trained on labelled findings.
 
-Candidates are blank-delimited strings of LEAST characters or more with a digit or a change of case inside. Each gets
-features: length, shares of digits and capitals, runs of one character class for each character, mean log probability
+Candidates are parts of blank-delimited strings, of LEAST characters or more, with a digit or a change of case inside.
+Strings are split at quotes, commas, semicolons, brackets, ``?``, ``&``, ``|`` and ``#``; each name and value inside (of
+JSON, XML, code, query strings, flags) is a part of its own, providers' keys are found anywhere, and a URL's password is a
+part. Behind a credential's name a value may be of any length and, if it is quoted, hold any marks; a URL's password needs
+no digit either. Short or plain values are masked only behind such a name. Each candidate gets features: length, shares of digits and capitals, runs of one character class for each character, mean log probability
 of its character transitions, coverage by dictionary words, its marks of a path, address or URL, and whether the words
 beside it (or the name before ``=`` or ``:``) speak of credentials or of checksums and examples. A forest trained on
 labelled findings rejects false positives; what it takes for a secret is replaced by MASK in the text.
@@ -40,30 +43,70 @@ TREES, DEPTH, PARTS, SEED = 20, 6, 8, 4
 # Names that go with credentials, names that go with harmless random strings, and providers' key formats.
 CREDENTIAL = "(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
 HARMLESS = "(?i)(sha\\d*|md5|checksum|digest|commit|revision|uuid|guid|example|sample|dummy|placeholder)"
-PROVIDERS = ("^((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_(live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|"
-             "xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+)$")
+_KEYS = ("(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|"
+         "xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+)")
+PROVIDERS = f"^{_KEYS}$"
+PROVIDER_INSIDE = f"(?:(?<![A-Za-z0-9])|(?<=\\\\[nrt])){_KEYS}(?![A-Za-z0-9])"
 ADDRESS = "^([^@\\s]+@[A-Za-z0-9.-]+|\\d{1,3}(\\.\\d{1,3}){3}(:\\d+)?|[+\\d][\\d().,:/-]*|(https?:)?//\\S*|\\S+://\\S*)$"
 RANDOM = "^(?=.*\\d)[A-Za-z0-9+/_-]{12,}={0,2}$"
+MIXED = "[0-9]|[a-z][A-Z]"
+# Ends of names that values of any length are assigned to, and the forms of assignment in code, JSON, XML, flags, URLs.
+NAME = ("(?i:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|"
+        "(?<![A-Za-z])(?:pass|auth)|(?-i:Pass|Auth))\\d*")
+PASSWORD = "(?i)(pass(word|wd|phrase)|pwd|secret|(?<![A-Za-z])pass)\\d*$"
+ASSIGNED = f"{NAME}[\"'`\\]]*[=:>]"
+AHEAD = f"({NAME})(?:[\"'`\\]]*\\s?(?:=>|:=|[=:])[\"'`(\\[{{]*|(?<=(?:^|\\s)--?[A-Za-z0-9_-]{{1,60}}))$"
+QUOTED = f"({NAME})[\"'`\\]]*(?:=>|:=|[=:])[\"'`]([^\"'`]+)[\"'`]"
+USERINFO = "://[^/?#@:\\s\"'`]*:([^/?#\\s\"'`]+)@"
+URL_PASSWORD = "url-password"
+INNER = f"[=:]([A-Za-z0-9_.-]{{0,40}}{NAME})[\"'`\\]]*[=:](?![=/])([^\"'\\s=:]+=*)$"
+JOINED = "[\"'`](?:=>|:=|[=:])[\"'`]?|(?:=>|:=|[=:])[\"'`]"
+WHOLE = f"^[^A-Za-z0-9]*[A-Za-z0-9_.-]{{0,60}}{NAME}(?:=>|:=|[=:])(?![A-Za-z_][A-Za-z0-9_.]*[(\\[{{])(?!\\S*</)[^\\s\"'`,;=:]*[.,;:]*$"
+MARKS = "[\\s\"'`,;(){}\\[\\]<>?&|#]+"
+#: What stands before a value that is masked only in its place.
+LEAD = f"(?:{NAME}[\"'`\\]]*\\s*(?:=>|:=|[=:>])\\s*|{NAME}\\s+|://[^/?#@:\\s\"'`]*:)[^A-Za-z0-9+/\\s]{{0,8}}?"
+PLACEHOLDER = "^([$<{%*]|[xX]+$)"
 FEATURES = ("length", "digits", "capitals", "runs", "transitions", "coverage", "path", "credential", "harmless")
 
 
+def _random_like(value: Column) -> Column:
+    return (F.length(value) >= LEAST) & value.rlike(MIXED)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, value, name, before): distinct candidate strings of each text; ``name`` is what stands before = or : in
-    the same string, ``before`` the two words ahead."""
+    """(doc_id, value, name, before): distinct candidates of each text; ``name`` is what the value is assigned to,
+    ``before`` the two words ahead of its string."""
     words = F.regexp_extract_all(text_or_empty(text_col), F.lit(WORD), F.lit(0))
-    random_like = lambda w: (F.length(w) >= LEAST) & w.rlike("[0-9]|[a-z][A-Z]")
     ahead = lambda ws, i: F.concat_ws(" ", F.when(i > 1, F.get(ws, i - 2)), F.when(i > 0, F.get(ws, i - 1)))
+    named = lambda ws, w, i: ((w.rlike("[=:>].") & w.rlike(f"{ASSIGNED}|{USERINFO}"))
+                              | ((i > 0) & F.get(ws, i - 1).rlike("[=:>]$|^--?[A-Za-z]") & ahead(ws, i).rlike(AHEAD)))
     found = F.element_at(F.transform(F.array(words), lambda ws: F.filter(F.transform(
-        ws, lambda w, i: F.when(random_like(w), F.struct(w.alias("w"), ahead(ws, i).alias("before")))),
+        ws, lambda w, i: F.when(_random_like(w) | named(ws, w, i), F.struct(w.alias("w"), ahead(ws, i).alias("before")))),
         lambda c: c.isNotNull())), 1)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(found)).alias("c"))
-    core = F.regexp_replace(F.col("c.w"), "^[^A-Za-z0-9+/]+|[^A-Za-z0-9=+/_-]+$", "")
-    parts = rows.select("doc_id", core.alias("core"), "c.before")
-    named = "^([A-Za-z_][A-Za-z0-9_.-]*)[\"']?[=:][\"']?(?!//)([^\"'\\s]+)$"
-    value = F.when(F.col("core").rlike(named), F.regexp_extract("core", named, 2)).otherwise(F.col("core"))
-    name = F.when(F.col("core").rlike(named), F.regexp_extract("core", named, 1)).otherwise("")
-    return (parts.select("doc_id", value.alias("value"), name.alias("name"), "before")
-            .where((F.length("value") >= LEAST) & F.col("value").rlike("[0-9]|[a-z][A-Z]"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(found)).alias("c")).select("doc_id", "c.*")
+    w = F.col("w")
+    carried = F.col("before").rlike(AHEAD) & ~w.rlike("^[\"'`]?[A-Za-z_][A-Za-z0-9_.-]*[\"'`]?[=:]")
+    rows = rows.withColumn("w", F.when(carried, F.concat(F.regexp_extract("before", AHEAD, 1), F.lit("="), w)).otherwise(w))
+    every = lambda pattern, k: F.regexp_extract_all(w, F.lit(pattern), F.lit(k))
+    called = lambda name, values: F.transform(values, lambda x: F.struct(F.lit(name).alias("name"), x.alias("value")))
+    quoted = F.arrays_zip(every(QUOTED, 1).alias("name"), every(QUOTED, 2).alias("value"))
+    rest = w
+    for taken in (QUOTED, f"[A-Za-z0-9+.-]*{USERINFO}", PROVIDER_INSIDE):
+        rest = F.regexp_replace(rest, taken, " ")
+    rest = F.regexp_replace(F.regexp_replace(rest, "<([A-Za-z_][A-Za-z0-9_.-]*)>(?=[^<\\s])", " $1="), JOINED, "=")
+    pieces = F.when(rest.rlike(WHOLE), F.array(rest)).otherwise(F.split(rest, MARKS))
+    rows = rows.select("doc_id", "before", F.concat(
+        quoted, called(URL_PASSWORD, every(USERINFO, 1)), called("", every(PROVIDER_INSIDE, 0))).alias("exact"), pieces.alias("pieces"))
+    exact = rows.select("doc_id", "before", F.explode("exact").alias("x")).select("doc_id", "x.value", "x.name", "before")
+    core = F.regexp_replace(F.col("piece"), "^[^A-Za-z0-9+/]+|[^A-Za-z0-9=+/_-]+$", "")
+    parts = rows.select("doc_id", "before", F.explode(F.array_distinct("pieces")).alias("piece")).select("doc_id", core.alias("core"), "before")
+    first = "^([A-Za-z_][A-Za-z0-9_.-]*)[\"'`\\]]*(?:=>|:=|[=:])[\"']?(?!//)([^\"'\\s]+)$"
+    part = lambda k, other: (F.when(F.col("core").rlike(INNER), F.regexp_extract("core", INNER, k))
+                             .when(F.col("core").rlike(first), F.regexp_extract("core", first, k)).otherwise(other))
+    parts = parts.select("doc_id", part(2, F.col("core")).alias("value"), part(1, F.lit("")).alias("name"), "before")
+    value, name = F.col("value"), F.col("name")
+    return (exact.unionByName(parts).where(_random_like(value) | (value.rlike(MIXED) & name.rlike(f"{NAME}$"))
+                                           | ((name == URL_PASSWORD) & (value != "")))
             .dropDuplicates(["doc_id", "value", "name", "before"]))
 
 
@@ -110,7 +153,11 @@ def featurise(found: DataFrame, words: DataFrame, chain: DataFrame) -> DataFrame
 def format_labels(features: DataFrame) -> DataFrame:
     """(value, label) of the findings that their format settles: 1 a secret, 0 none."""
     said = F.concat_ws(" ", "name", "before")
-    label = (F.when(F.col("value").rlike(PROVIDERS), 1).when(F.col("value").rlike(ADDRESS), 0)
+    value, name = F.col("value"), F.col("name")
+    password = name.rlike(PASSWORD) & value.rlike("^(?=.*[0-9])(.*[A-Za-z].*|[0-9]{4,})$") & ~value.rlike("://") & ~said.rlike(HARMLESS)
+    label = (F.when(value.rlike(PROVIDERS), 1).when(name.rlike(f"{NAME}$") & value.rlike(PLACEHOLDER), 0)
+             .when((name == URL_PASSWORD) | password, 1)
+             .when(value.rlike(ADDRESS), F.when(~value.rlike(PROVIDER_INSIDE), 0))
              .when(said.rlike(HARMLESS), 0).when(F.col("value").rlike(RANDOM) & said.rlike(CREDENTIAL), 1))
     return features.select("value", label.alias("label")).where("label IS NOT NULL").distinct()
 
@@ -158,7 +205,10 @@ def masked(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "do
     n_candidates and n_secrets."""
     hits = scan(docs, labelled, id_col, text_col).toDF("_scan_id", "_scan_candidates", "_scan_secrets")
     joined = docs.join(hits, same(docs[id_col], F.col("_scan_id")), "left")
-    hidden = F.aggregate("_scan_secrets", docs[text_col], lambda t, s: F.replace(t, s, F.lit(MASK)))
+    quoted = lambda s: F.concat(F.lit("\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    in_place = lambda t, s: F.regexp_replace(t, F.concat(F.lit(f"({LEAD})"), quoted(s), F.lit("(?![A-Za-z0-9])")), F.lit(f"$1{MASK}"))
+    hidden = F.aggregate("_scan_secrets", docs[text_col], lambda t, s: F.when(_random_like(s), F.replace(t, s, F.lit(MASK)))
+                         .otherwise(in_place(t, s)))
     text = F.when(F.size("_scan_secrets") > 0, hidden).otherwise(docs[text_col]).alias(text_col)
     more = [F.coalesce("_scan_candidates", F.lit(0)).cast("long").alias("n_candidates"),
             F.coalesce(F.size("_scan_secrets"), F.lit(0)).cast("long").alias("n_secrets")] if report else []

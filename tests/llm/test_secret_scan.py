@@ -60,3 +60,28 @@ def test_one_label_only_masks_what_is_labelled(spark):
     docs = spark.createDataFrame([(1, "first id0001Xy77777Qz then id0002Xy88888Qz")], "doc_id long, text string")
     labelled = spark.createDataFrame([("id0001Xy77777Qz", 1)], "value string, label int")
     assert S.masked(docs, labelled).collect()[0].text == f"first {S.MASK} then id0002Xy88888Qz"
+
+
+KEY = "AKIA" + "Q7ZK2M4PX9W3B8N5"
+INSIDE = [
+    ('{"user":"bob","api_key":"%s","n":5}', KEY), ('Client(key="%s",region="us")', KEY), ("bob,%s,2024-01-01", KEY),
+    ("https://host.example.org/v1?api_key=%s&user=bob", KEY), ("https://host.example.org/a/%s/b12345", KEY),
+    ("postgres://admin:%s@db.example.org/main", "pass"), ("redis://:%s@cache.example.org:6379", "s3cr!t"),
+    ("login password=%s now", "Hunter2!x"), ('login password = "%s" now', "Hu&ter2!"), ('{"password": "%s"}', "ab1"),
+    ("run --password %s --user bob", "Hunter2!x"), ("<password>%s</password>", "Hunter2!x"), ("password=%s", "Hu&ter2!x"),
+    ('{"token":"%s","id":"x"}', "4f9a8b7c6d5e4f3a2b1c"), ("go?next=token=%s&x=1", "4f9a8b7c6d5e4f3a2b1c"),
+    (r'"line\n%s\n"', KEY)]
+
+
+def test_secrets_inside_strings_are_masked_and_their_neighbours_stay(spark):
+    rows = [(i, t % v) for i, (t, v) in enumerate(INSIDE)]
+    plain = ["see https://www.example.org/a1?page=2&sort=Name1 and me.at42@mail.example.com", "the pass and ab1 admin of Hunter",
+             "postgres://admin:${DB_PASS}@db.example.org", "max_tokens=4096,temperature=1"]
+    rows += [(100 + i, t) for i, t in enumerate(plain)]
+    rows += [(1000 + i, f"mail person{i}@example.org or https://example.org/p{i}") for i in range(50)]
+    got = {r.doc_id: r.text for r in S.masked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [(t, got[i]) for i, (t, v) in enumerate(INSIDE) if got[i] != t % S.MASK]
+    wrong += [(t, got[i]) for i, t in rows if i >= 100 and got[i] != t]
+    assert not wrong
+    assert S.masked(spark.createDataFrame([(1, "passing pass: my pass=pass1 pass1 pass1x")], "doc_id long, text string")
+                    ).collect()[0].text == f"passing pass: my pass={S.MASK} pass1 pass1x"
