@@ -14,7 +14,7 @@ from causeway.spec import CausalSpec
 
 SPEC = CausalSpec("tc", "y_hte", ("x1", "x2"), id_col="id")
 CELLS = L.CellMean(("seg", "x1_band"))
-SMALL_FOREST = L.Forest(num_trees=20, max_depth=6, seed=42)
+FOREST = L.Forest()
 N_SIMS = 100
 
 _CM_SQL = """
@@ -55,12 +55,12 @@ def e13_t_learner_missing(spark, sf_dir):
 
 @register("e12_s_learner_forest")
 def e12_s_learner_forest(spark, sf_dir):
-    return L.learner_estimate(orders_causal(spark, sf_dir), SPEC, "s_learner", SMALL_FOREST)
+    return L.learner_estimate(orders_causal(spark, sf_dir), SPEC, "s_learner", FOREST)
 
 
 @register("e13_t_learner_forest")
 def e13_t_learner_forest(spark, sf_dir):
-    return L.learner_estimate(orders_causal(spark, sf_dir), SPEC, "t_learner", SMALL_FOREST)
+    return L.learner_estimate(orders_causal(spark, sf_dir), SPEC, "t_learner", FOREST)
 
 
 _RES_SQL = f"""
@@ -110,19 +110,19 @@ def e15_linear_dml_cell_mean(spark, sf_dir):
 
 @register("e14_e15_linear_dml_forest")
 def e14_e15_linear_dml_forest(spark, sf_dir):
-    est, _ = L.linear_dml(orders_causal(spark, sf_dir), SPEC, SMALL_FOREST)
+    est, _ = L.linear_dml(orders_causal(spark, sf_dir), SPEC, FOREST)
     return est
 
 
 @register("e16_causal_forest")
 def e16_causal_forest(spark, sf_dir):
-    est, _, _, _ = L.causal_forest(orders_causal(spark, sf_dir), SPEC, CELLS, SMALL_FOREST)
+    est, _, _, _ = L.causal_forest(orders_causal(spark, sf_dir), SPEC, FOREST, FOREST)
     return est
 
 
 @register("e17_feature_importance")
 def e17_feature_importance(spark, sf_dir):
-    _, _, model, feats = L.causal_forest(orders_causal(spark, sf_dir), SPEC, CELLS, SMALL_FOREST)
+    _, _, model, feats = L.causal_forest(orders_causal(spark, sf_dir), SPEC, FOREST, FOREST)
     return L.feature_importance(model, feats, spark)
 
 

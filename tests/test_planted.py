@@ -65,3 +65,20 @@ def test_refutations_pass_on_planted_effect(oc_mid):
     assert abs(out["placebo_treatment"]["new_effect"]) < 20
     with pytest.raises(ValueError):
         RF.guard("did")
+
+
+def test_registered_forest_queries_use_the_full_settings(monkeypatch):
+    from causeway.plans import queries_learners as Q
+    seen, full = [], L.Forest(num_trees=100, max_depth=10)
+
+    def noted(result):
+        return lambda df, spec, *args: seen.append(args) or result
+
+    monkeypatch.setattr(Q, "orders_causal", lambda spark, sf_dir: None)
+    monkeypatch.setattr(L, "learner_estimate", noted(None))
+    monkeypatch.setattr(L, "linear_dml", noted((None, None)))
+    monkeypatch.setattr(L, "causal_forest", noted((None, None, None, None)))
+    monkeypatch.setattr(L, "feature_importance", lambda *args: None)
+    for f in (Q.e12_s_learner_forest, Q.e13_t_learner_forest, Q.e14_e15_linear_dml_forest, Q.e16_causal_forest, Q.e17_feature_importance):
+        f(None, None)
+    assert seen == [("s_learner", full), ("t_learner", full), (full,), (full, full), (full, full)]
