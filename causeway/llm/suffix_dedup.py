@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm import textbytes as T
-from causeway.llm.common import read, register, saved, text_or_empty
+from causeway.llm.common import read, register, same, saved, text_or_empty
 
 LENGTH = 400
 PERIOD = 273
@@ -235,9 +235,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranked = saved(_sorted_buckets(samples, of_samples))
     tied = ranked.groupBy("cid").agg(F.collect_list("offs").alias("samples"))
     first = each.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    tied = tied.join(first.select("cid", "doc_id"), "cid")
-    # a text that has repeated samples is read once, under the smallest of its ids
-    left = saved(source.join(tied, ["doc_id", "cid"]).dropDuplicates(["cid"]).select("cid", "text", "samples"))
+    tied = tied.join(first.select("cid", F.col("doc_id").alias("first_id")), "cid")
+    # a text that has repeated samples is read once, under the smallest of its ids (null if it has no other)
+    left = source.join(tied.withColumnRenamed("cid", "tied_cid"), (F.col("cid") == F.col("tied_cid")) & same(F.col("doc_id"), F.col("first_id")))
+    left = saved(left.dropDuplicates(["cid"]).select("cid", "text", "samples"))
 
     repeats = None
     for k in range(PASSES):

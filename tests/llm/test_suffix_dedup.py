@@ -48,3 +48,13 @@ def test_empty_table_and_repeated_ids(spark):
     rows = S.repeated_spans(spark.createDataFrame([(1, "k" * 500), (1, "k" * 500), (None, "m"), (1, "n" * 10)],
                                                   "doc_id long, text string")).collect()
     assert sorted((r.n_bytes, r.n_removed) for r in rows) == [(1, 0), (10, 0), (500, 500), (500, 500)]
+
+
+def test_a_text_without_id_shares_a_passage(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(400)
+    texts = [word(50) + "#" + passage + "#" + word(60), word(30) + "+" + passage + "+" + word(20)]
+    for ids in ((1, None), (None, None)):
+        rows = S.repeated_spans(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+        assert sorted((r.n_bytes, r.n_removed) for r in rows) == [(452, 400), (512, 400)]
