@@ -37,7 +37,6 @@ MOST_REPEATED = 50
 #: for each word.
 FLOORS = (0.5, 0.06, 0.05, 0.05, 0.15)
 P = len(FLOORS)
-_POSITION_BITS = 24
 
 
 def _bind(value: Column, use) -> Column:
@@ -47,22 +46,21 @@ def _bind(value: Column, use) -> Column:
 
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more. Windows are hashed; only texts with equal hashes sort
-    them, each packed with its position."""
+    them, each with its position."""
     windows = lambda w: F.transform(
         F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    place = lambda s: s.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).cast("int")
 
     def count(h: Column) -> Column:
-        packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, _POSITION_BITS).bitwiseOR(i.cast("long"))))
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
 
         def flagged(s: Column) -> Column:
-            equal = lambda a, b: F.coalesce(F.get(h, place(a)) == F.get(h, place(b)), F.lit(False))
+            equal = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
             twice = F.filter(s, lambda x, i: equal(x, F.get(s, i + 1)) | (F.when(i > 0, equal(x, F.get(s, i - 1))).otherwise(False)))
-            return _bind(F.sort_array(F.transform(twice, place)), lambda at: F.aggregate(
+            return _bind(F.sort_array(F.transform(twice, lambda x: x["at"])), lambda at: F.aggregate(
                 F.transform(at, lambda a, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - a, F.lit(3)))),
                 F.lit(0).cast("long"), lambda t, x: t + x))
 
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_bind(packed, flagged))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_bind(placed, flagged))
 
     return _bind(words, lambda w: _bind(windows(w), count))
 

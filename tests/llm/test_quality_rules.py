@@ -97,3 +97,10 @@ def test_empty_table_and_repeated_rows(spark):
 
 def test_chi_squared():
     assert abs(Q.chi2_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(Q.chi2_cdf(6.6257, 5) - 0.75) < 1e-4
+
+
+def test_equal_low_bits_of_a_hash_hide_no_repeat(spark):
+    # the hashes of both windows of three end in the same 40 bits, and the second stands between the first's repeats
+    text = "w5381903 x y a b c w5667203 x y d e f w5381903 x y g"
+    got = Q.statistics(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).first()
+    assert got.n_repeat_words == counts(text)[4] == 6
