@@ -6,11 +6,11 @@ Encoding, step by step as the model file prescribes:
    replaced by its value, any other character is copied, and the blank is written as the mark U+2581. Every byte of the
    normalised text records where in the original it comes from: a copied byte its own place, a replacement the start of
    what it replaces.
-2. Segments. In the vocabulary no piece has a mark behind another character (checked when the model is loaded), so no
-   merge ever crosses the place before a run of marks: a segment's pieces don't depend on its neighbours, and a bounded
-   cache of short segments spares most of the work. A model with such pieces is encoded text by text.
+2. Segments. Where no piece of the vocabulary holds two characters side by side, no merge ever joins them: the text is
+   cut there. A segment's pieces don't depend on its neighbours, so a bounded cache of short segments, kept by the Python
+   worker over its tasks, spares most of the work.
 3. Merges. In a segment the adjacent pair that spells the best-scored piece is merged, leftmost first among equals,
-   from a heap, until none is left. What isn't in the vocabulary becomes one piece for each of its bytes.
+   until none is left; long segments take the pairs from a heap. What isn't in the vocabulary becomes one piece for each of its bytes.
 4. Spans. Pieces lie end to end in the normalised text; the recorded places turn their borders into byte spans of the
    original. Spans are in order and don't overlap; a piece of nothing but the added mark has an empty span.
 
@@ -29,7 +29,9 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,11 @@ from causeway.llm import textbytes as T
 from causeway.llm.common import read, register
 
 MARK = "▁"
-CACHED_SEGMENTS = 150_000
+CACHED_SEGMENTS = 250_000
 LONGEST_CACHED = 48
+#: Characters that are told apart where segments are cut: up to the end of Latin Extended-B; then the mark; all others.
+_LETTERS = 0x250
+_INF = float("inf")
 SLICE = 128
 
 codecs.register_error("piece_codec", lambda e: ("�" * (e.end - e.start), e.end))
@@ -210,12 +215,46 @@ class Codec:
                 self.spelled.append(trainer.unk_surface.encode() if p.type == kind.UNKNOWN else b"")
         self.control = [p.type == kind.CONTROL for p in model.pieces]
         self.lengths = lengths
-        whole = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
-        self.split = (lambda text: [text] if text else []) if whole else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.kind = np.full(0x110000, _LETTERS + 1, np.uint16)
+        self.kind[:_LETTERS] = np.arange(_LETTERS)
+        self.kind[ord(MARK)] = _LETTERS
+        self.side_by_side = np.zeros((_LETTERS + 2, _LETTERS + 2), bool)
+        for p in self.pieces:
+            kinds = self.kind[[ord(c) for c in p]]
+            self.side_by_side[kinds[:-1], kinds[1:]] = True
+        self.rank = {p: score for p, (score, _) in self.pieces.items()}
+        self.number = {p: i for p, (_, i) in self.pieces.items()}
         self.segments = Segments(self)
 
+    def split(self, text: str) -> list[str]:
+        """The segments of a normalised text."""
+        kinds = self.kind[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        cuts = [0, *(np.flatnonzero(~self.side_by_side[kinds[:-1], kinds[1:]]) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:])] if text else []
+
     def merge(self, segment: str) -> bytes:
-        """Packed little-endian 32-bit ids of one segment."""
+        """Packed 32-bit ids of one segment."""
+        part = self._merge_long(segment) if len(segment) > LONGEST_CACHED else self._merge_short(segment)
+        try:
+            return array("i", map(self.number.__getitem__, part)).tobytes()
+        except KeyError:  # a character that isn't in the vocabulary
+            known = self.number
+            return array("i", [i for p in part for i in ((known[p],) if p in known else map(self.byte_ids.get, p.encode()))]).tobytes()
+
+    def _merge_short(self, segment: str) -> list[str]:
+        part, get = list(segment), self.rank.get
+        ranks = [get(a + b, _INF) for a, b in zip(part, part[1:])]
+        while ranks and (best := min(ranks)) != _INF:
+            i = ranks.index(best)
+            part[i:i + 2] = [part[i] + part[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(part[i - 1] + part[i], _INF)
+            if i < len(ranks):
+                ranks[i] = get(part[i] + part[i + 1], _INF)
+        return part
+
+    def _merge_long(self, segment: str) -> list[str]:
         part = list(segment)
         n = len(part)
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -237,19 +276,12 @@ class Codec:
                     heapq.heappush(heap, (best[0], i, joined + part[k]))
             if (h := before[i]) >= 0 and (best := pieces.get(part[h] + joined)) is not None:
                 heapq.heappush(heap, (best[0], h, part[h] + joined))
-        ids: list[int] = []
-        for p in part:
-            if p:
-                if (known := pieces.get(p)) is not None:
-                    ids.append(known[1])
-                else:
-                    ids += [self.byte_ids[b] for b in p.encode()]
-        return np.array(ids, "<i4").tobytes()
+        return [p for p in part if p]
 
     def encode(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text (UTF-8) and the borders of their spans, one more than ids."""
         text, place = self.normalize(raw)
-        ids = np.frombuffer(b"".join(map(self.segments.__getitem__, self.split(text))), "<i4")
+        ids = np.frombuffer(b"".join(map(self.segments.__getitem__, self.split(text))), np.int32)
         borders = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(self.lengths[ids], out=borders[1:])
         return ids, place[borders]
@@ -261,6 +293,12 @@ class Codec:
         return data.decode("utf-8", "piece_codec")
 
 
+@lru_cache(maxsize=1)
+def _codec(path: str) -> Codec:
+    """A Python worker keeps its codec, and the segments it knows, over its tasks."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, model: str | None = None, end: bool = True, decoded: bool = False, keep: tuple[str, ...] = ("doc_id",),
            text_col: str = "text") -> DataFrame:
     """The columns ``keep``, ``ids`` (with the end id behind them if ``end``) and ``begins`` and ``ends``, the byte spans of
@@ -274,8 +312,8 @@ def encode(docs: DataFrame, model: str | None = None, end: bool = True, decoded:
                         *(["decoded string"] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
-        last = np.array([codec.end], "<i4") if end else np.zeros(0, "<i4")
+        codec = _codec(path)
+        last = np.array([codec.end] if end else [], np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -307,7 +345,7 @@ def decode(df: DataFrame, model: str | None = None, keep: tuple[str, ...] = ("do
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = _codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
