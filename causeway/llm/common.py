@@ -17,7 +17,10 @@ SQL: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
-_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: shuffle files go when they have been read, and what goes to a Python worker at
+#: once is counted in bytes of text, not in rows.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+                  "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def register(name: str, sql: str | None = None):
@@ -45,12 +48,14 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN_SHUFFLES)
-    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
     try:
+        for k, v in _WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,7 @@ _GOLD = U(0x9E3779B97F4A7C15)
 _BASE = U(0xD6E8FEB86659FD93)  # odd, so that its powers can be undone modulo 2^64
 _BASE_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _STEP = U(0xA0761D6478BD642F)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def avalanche(x: np.ndarray) -> np.ndarray:
