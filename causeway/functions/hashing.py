@@ -40,6 +40,18 @@ def uniform(id_col: str | Column, salt: str, rep: int | str | Column = 0, rng: s
     raise ValueError(f"unknown rng {rng!r}")
 
 
+def draw_key(id_col: str | Column, salt: str, rep: int | str | Column = 0, rng: str = "md5") -> Column:
+    """60 bits (md5) or 64 bits (xxhash) from (id, salt, rep) as a bigint to order rows by; with md5 the order of the
+    digests themselves."""
+    idc = F.col(id_col) if isinstance(id_col, str) else id_col
+    repc = rep if isinstance(rep, Column) else (F.col(rep) if isinstance(rep, str) else F.lit(rep))
+    if rng == "md5":
+        return F.conv(F.substring(_md5_key(idc, salt, repc), 1, 15), 16, 10).cast("bigint")
+    if rng == "xxhash":
+        return F.xxhash64(idc, F.lit(salt), repc)
+    raise ValueError(f"unknown rng {rng!r}")
+
+
 def uniform_sql(id_expr: str, salt: str, rep_expr: str | int = 0) -> str:
     """DuckDB text of the md5 generator (oracle side)."""
     key = f"CAST({id_expr} AS VARCHAR) || '-{salt}-' || CAST({rep_expr} AS VARCHAR)"

@@ -19,8 +19,12 @@ BROADCAST_ROWS = 10_000
 def absent(df: DataFrame, column: str) -> Column:
     """Missing: null, or NaN in a floating column."""
     c = F.col(f"`{column}`")
-    floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
-    return c.isNull() | F.isnan(c) if floating else c.isNull()
+    return c.isNull() | F.isnan(c) if absent_possible(df, column) else c.isNull()
+
+
+def absent_possible(df: DataFrame, column: str) -> bool:
+    """A column that can hold NaN."""
+    return isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
 
 
 def usable_rows(df: DataFrame, spec: CausalSpec, missing: str = "raise", more: tuple[str, ...] = ()) -> DataFrame:

@@ -1,21 +1,21 @@
 """F1-F16: the tables behind the summary views and charts; every one is an aggregate job.
 
-Quantiles are exact (linear interpolation). Grouped quantiles use ``percentile`` for groups whose
-distinct count is under the limit and histogram refinement for the few groups above it, so a
-hot group never lands in one aggregation buffer.
+Quantiles are exact (linear interpolation); all columns, groups and quantiles of a call are selected together
+(``functions.quantiles``), and a hot group never lands in one aggregation buffer. Null and NaN are missing everywhere.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.complete import small_side
+from causeway.operators.complete import absent, absent_possible, small_side
 from causeway.functions.hashing import SALT_SAMPLE, uniform
-from causeway.functions.quantiles import QUANTILE_LIMIT, exact_quantiles
+from causeway.functions.quantiles import QUANTILE_LIMIT, exact_quantiles, present, quantiles_by
 from causeway.operators.coerce import split_types
 
 
@@ -23,28 +23,32 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
+_DESCRIBE = ("column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, "
+             "max double")
+
+
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per numeric column (one row per column)."""
     cols = cols if cols is not None else split_types(df)[0]
+    if not cols:
+        return df.sparkSession.createDataFrame([], _DESCRIBE)
     aggs = []
     for i, c in enumerate(cols):
-        x = _q(c).cast("double")
+        x = present(_q(c))
         aggs += [F.count(x).alias(f"dn{i}"), F.avg(x).alias(f"dm{i}"), F.stddev_samp(x).alias(f"ds{i}"),
                  F.min(x).alias(f"dlo{i}"), F.max(x).alias(f"dhi{i}")]
-    row: dict = {}
-    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], extra_aggs=aggs, head_out=row)
+    row = df.agg(*aggs).first()
+    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     rows = [(c, int(row[f"dn{i}"]), row[f"dm{i}"], row[f"ds{i}"], row[f"dlo{i}"], *qs[c], row[f"dhi{i}"])
             for i, c in enumerate(cols)]
-    return df.sparkSession.createDataFrame(
-        rows, "column string, count bigint, mean double, std double, min double, p25 double, p50 double, "
-              "p75 double, max double")
+    return df.sparkSession.createDataFrame(rows, _DESCRIBE)
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
     """missing count and percentage per column, one aggregate then an unpivot."""
     cols = df.columns
     agg = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.sum(_q(c).isNull().cast("long")).alias(f"m{i}") for i, c in enumerate(cols)])
+                 *[F.sum(absent(df, c).cast("long")).alias(f"m{i}") for i, c in enumerate(cols)])
     stacked = agg.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing"))
                                                    for i, c in enumerate(cols)])).alias("s"))
     return stacked.select("s.column", "s.missing",
@@ -54,8 +58,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair, each over the rows where both are present (one aggregate)."""
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    agg = df.agg(*[F.corr(_q(cols[i]).cast("double"), _q(cols[j]).cast("double")).alias(f"r{i}_{j}")
-                   for i, j in pairs])
+    agg = df.agg(*[F.corr(present(_q(cols[i])), present(_q(cols[j]))).alias(f"r{i}_{j}") for i, j in pairs])
     structs = []
     for i, j in pairs:
         structs.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
@@ -75,7 +78,9 @@ def grouped_agg(df: DataFrame, keys: list[str], y: str, agg: str = "mean", out:
     Partial aggregate per partition, one shuffle on the keys. ``median`` is exact.
     """
     out = out or f"{agg}_{y}"
-    d = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)) if keys else df
+    d = df.where(reduce(lambda a, b: a & b, [~absent(df, k) for k in keys])) if keys else df
+    if absent_possible(df, y):
+        d = d.withColumn(y, F.when(~absent(df, y), _q(y)))
     if agg == "median":
         return grouped_quantiles(d, keys, y, [0.5], [out])
     f = {"mean": F.avg(_q(y)), "sum": F.coalesce(F.sum(_q(y)), F.lit(0)), "count": F.count(_q(y)),
@@ -85,34 +90,8 @@ def grouped_agg(df: DataFrame, keys: list[str], y: str, agg: str = "mean", out:
 
 def grouped_quantiles(df: DataFrame, keys: list[str], y: str, qs: list[float], names: list[str],
                       quantile_limit: int = QUANTILE_LIMIT) -> DataFrame:
-    """Exact quantiles of y per group. Groups with more distinct values than the limit (found in a
-    first aggregate) are done one by one by histogram refinement; the rest in one ``percentile``."""
-    x = _q(y).cast("double")
-    kcols = [_q(k) for k in keys]
-    stats = df.groupBy(*kcols).agg(F.approx_count_distinct(x).alias("_d"))
-    hot = [tuple(r[k] for k in keys) for r in stats.where(F.col("_d") > quantile_limit).collect()]
-    arr = F.array(*[F.lit(float(q)) for q in qs])
-    base = df
-    if hot:
-        cond = F.lit(False)
-        for h in hot:
-            one = F.lit(True)
-            for k, v in zip(keys, h):
-                one = one & (_q(k) == F.lit(v))
-            cond = cond | one
-        base = df.where(~cond)
-    small = base.groupBy(*kcols).agg(F.percentile(x, arr).alias("_p"))
-    small = small.select(*kcols, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-    if not hot:
-        return small
-    rows = []
-    for h in hot:
-        sub = df
-        for k, v in zip(keys, h):
-            sub = sub.where(_q(k) == F.lit(v))
-        rows.append((*h, *exact_quantiles(sub, [y], qs, quantile_limit)[y]))
-    extra = df.sparkSession.createDataFrame(rows, small.schema)
-    return small.unionByName(extra)
+    """Exact quantiles of y per group, all groups together; a group without a value has nulls."""
+    return quantiles_by(df, keys, y, qs, names, quantile_limit)
 
 
 def histogram_edges(lo: float, hi: float, bins: int) -> list[float]:
@@ -132,7 +111,7 @@ def _bin_of(x: Column, edges: list[float]) -> Column:
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """equal bins over [min, max] (numpy edges), left-closed, the last one closed; empty bins
     are listed with 0."""
-    x = _q(col).cast("double")
+    x = present(_q(col))
     r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).collect()[0]
     spark = df.sparkSession
     if r["lo"] is None:
@@ -149,8 +128,8 @@ def histogram_by(df: DataFrame, col: str, group: str, bins: int = 20) -> DataFra
     Group ranges come from one aggregate and are joined back (broadcast when counted to be few); the bin is then a column expression of the row and its
     group's range, so each row is binned where it sits.
     """
-    x = _q(col).cast("double")
-    d = df.where(x.isNotNull() & _q(group).isNotNull()).select(_q(group).alias("g"), x.alias("x"))
+    x = present(_q(col))
+    d = df.where(x.isNotNull() & ~absent(df, group)).select(_q(group).alias("g"), x.alias("x"))
     rng = d.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     rng = rng.select("g", F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
                      F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
@@ -174,7 +153,7 @@ def box_stats(df: DataFrame, y: str, group: str | None = None) -> DataFrame:
     number of outliers, overall or per group. Quartiles come from one (grouped) exact-quantile job;
     the fences are joined back and a second aggregate finds whiskers and outliers."""
     keys = [group] if group else []
-    d = df.where(_q(y).isNotNull() & (_q(group).isNotNull() if group else F.lit(True)))
+    d = df.where(~absent(df, y) & (~absent(df, group) if group else F.lit(True)))
     x = _q(y).cast("double")
     j = d.select(*[_q(k) for k in keys], x.alias("x"))
     if group:

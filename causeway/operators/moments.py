@@ -40,7 +40,7 @@ def _q(c: str) -> Column:
 
 
 def complete_case(cols: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [_q(c).isNotNull() for c in cols], F.lit(True))
+    return reduce(lambda a, b: a & b, [_q(c).isNotNull() & ~F.isnan(_q(c)) for c in cols], F.lit(True))
 
 
 WIDE_LIMIT = 20

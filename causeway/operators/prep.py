@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from causeway.functions.quantiles import exact_quantiles
+from causeway.functions.quantiles import exact_quantiles, present
+from causeway.operators.complete import absent, absent_possible
 from causeway.operators.coerce import split_types
 from causeway.operators.filters import predicate
 
@@ -34,6 +35,11 @@ def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*[(new[c] if c in new else _q(c)).alias(c) for c in df.columns])
 
 
+def _given(df: DataFrame, c: str) -> Column:
+    """The column, null where it is missing (null or NaN)."""
+    return F.when(~absent(df, c), _q(c)) if absent_possible(df, c) else _q(c)
+
+
 # ---- C1-C4: numeric imputation ----------------------------------------------------------------
 
 def impute_numeric(df: DataFrame, method: str = "mean", value: float | None = None,
@@ -46,9 +52,9 @@ def impute_numeric(df: DataFrame, method: str = "mean", value: float | None = No
     num = cols if cols is not None else split_types(df)[0]
     if not num:
         return df
-    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(num)]
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count(_given(df, c)).alias(f"n{i}") for i, c in enumerate(num)]
     if method == "mean":
-        aggs += [F.avg(_q(c)).alias(f"v{i}") for i, c in enumerate(num)]
+        aggs += [F.avg(_given(df, c)).alias(f"v{i}") for i, c in enumerate(num)]
     row = df.agg(*aggs).collect()[0]
     need = [i for i in range(len(num)) if row[f"n{i}"] < row["_n"]]
     if not need:
@@ -71,7 +77,7 @@ def impute_numeric(df: DataFrame, method: str = "mean", value: float | None = No
         is_int = isinstance(df.schema[c].dataType, T.IntegralType)
         whole = float(v).is_integer()
         lit = F.lit(int(v)) if (is_int and whole and method in ("zero", "custom")) else F.lit(float(v))
-        new[c] = F.coalesce(_q(c), lit)
+        new[c] = F.coalesce(_given(df, c), lit)
     return _replace(df, new)
 
 
@@ -128,7 +134,7 @@ def winsorize(df: DataFrame, cols: list[str], p: float = 0.05, approx: bool = Fa
     for c, (lo, hi) in b.items():
         if lo is None:
             continue
-        x = _q(c).cast("double")
+        x = present(_q(c))
         new[c] = F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(F.least(x, F.lit(hi)), F.lit(lo)))
     return _replace(df, new)
 
@@ -148,7 +154,7 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     """(x - mean) / population std; a zero std divides by 1."""
     if not cols:
         return df
-    row = df.agg(*[f(_q(c)).alias(f"{n}{i}") for i, c in enumerate(cols)
+    row = df.agg(*[f(_given(df, c)).alias(f"{n}{i}") for i, c in enumerate(cols)
                    for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))]).collect()[0]
     new = {}
     for i, c in enumerate(cols):
@@ -183,7 +189,7 @@ def qcut_edges(df: DataFrame, col: str, n_bins: int) -> list[float]:
 
 def bucket_code(col: str, edges: list[float]) -> Column:
     """Right-closed code: number of interior edges strictly below x (x in [e0, e_last])."""
-    x = _q(col).cast("double")
+    x = present(_q(col))
     if len(edges) < 2:
         return F.lit(None).cast("int")
     code = reduce(lambda a, b: a + b, [F.when(x > F.lit(e), 1).otherwise(0) for e in edges[1:-1]], F.lit(0))
@@ -215,7 +221,7 @@ def bucketize(df: DataFrame, col: str, n_bins: int = 4, method: str = "cut", new
         raise ValueError("n_bins must be between 2 and 20")
     new_col = new_col or f"{col}_binned"
     if method == "cut":
-        r = df.agg(F.min(_q(col)).alias("lo"), F.max(_q(col)).alias("hi")).collect()[0]
+        r = df.agg(F.min(_given(df, col)).alias("lo"), F.max(_given(df, col)).alias("hi")).collect()[0]
         if r["lo"] is None:
             return df.withColumn(new_col, F.lit(None).cast("string")).withColumn(f"{new_col}_code", F.lit(None).cast("int"))
         edges = cut_edges(float(r["lo"]), float(r["hi"]), n_bins)

@@ -1,7 +1,7 @@
 """Refutation tests.
 
-R1 adds an independent N(0, 1) common cause; R2 replaces the treatment with a random placebo
-of the same treated share. For the moment estimators every simulation runs in ONE job (rows
+R1 adds an independent N(0, 1) common cause; R2 replaces the treatment with a random placebo: a draw of the same
+shares for a treatment of few values, a permutation of the column for any other. For the moment estimators every simulation runs in ONE job (rows
 exploded by simulation, one grouped Gram aggregate); other estimators refit per simulation.
 Random draws are hashes of (id, simulation), so a rerun gives the same answer.
 
@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from causeway import spec as S
 from causeway.functions import stats
-from causeway.functions.hashing import SALT_PLACEBO, explode_draws, standard_normal, uniform
-from causeway.functions.quantiles import _kth
+from causeway.functions.hashing import SALT_PLACEBO, draw_key, explode_draws, standard_normal, uniform
+from causeway.functions.ranks import ranked
 from causeway.operators import regression as R
+from causeway.operators.complete import absent
 from causeway.operators.moments import moments, solve_ols, weighted_moments_by
 from causeway.spec import CausalSpec
 
@@ -66,16 +67,69 @@ def placebo_share(df: DataFrame, spec: CausalSpec) -> float:
     return float(r["n1"]) / float(r["n"])
 
 
+#: A treatment of at most so many values is drawn by their shares; any other is permuted.
 MAX_PLACEBO_LEVELS = 1000
+#: Simulations of a permutation that are sorted and stored together.
+PERMUTED_AT_ONCE = 25
 
 
-def treatment_levels(df: DataFrame, spec: CausalSpec) -> list[tuple[float, int]]:
-    """(value, count) of the treatment, sorted; an error above MAX_PLACEBO_LEVELS (one aggregate)."""
-    rows = (df.where(_q(spec.treatment).isNotNull()).groupBy(_q(spec.treatment).alias("v"))
+def treatment_levels(df: DataFrame, spec: CausalSpec) -> list[tuple[float, int]] | None:
+    """(value, count) of the treatment, sorted; None above MAX_PLACEBO_LEVELS (one aggregate)."""
+    rows = (df.where(~absent(df, spec.treatment)).groupBy(_q(spec.treatment).alias("v"))
               .agg(F.count(F.lit(1)).alias("n")).limit(MAX_PLACEBO_LEVELS + 1).collect())
-    if len(rows) > MAX_PLACEBO_LEVELS:
-        raise ValueError(f"placebo for a treatment with more than {MAX_PLACEBO_LEVELS} values is not supported")
-    return sorted((r["v"], r["n"]) for r in rows)
+    return sorted((r["v"], r["n"]) for r in rows) if len(rows) <= MAX_PLACEBO_LEVELS else None
+
+
+def permuted(df: DataFrame, spec: CausalSpec, sims: range, keep: tuple[str, ...] = (), rng: str = "md5",
+             values: DataFrame | None = None) -> DataFrame:
+    """(sim, PLACEBO, ``keep``): for each simulation the treatment column permuted over the rows that have one.
+
+    The rows are put in the order of their draws (ties by id) and the treatment's values in falling order, each by one
+    distributed sort; the p-th row gets the p-th value. No group, no window and no cut: each simulation is an exact
+    permutation, whatever the column's values and however many they are. A 0/1 treatment puts exactly n1 rows, those
+    with the smallest draws, under treatment."""
+    if spec.id_col is None:
+        raise ValueError("a permutation needs an id column")
+    d = df.where(~absent(df, spec.treatment) & _q(spec.id_col).isNotNull())
+    if values is None:
+        values = treatment_values(df, spec)
+    n = values.count()
+    draws = d.select(_q(spec.id_col).alias("_id"), *[_q(c) for c in keep],
+                     F.explode(F.sequence(F.lit(sims.start), F.lit(sims.stop - 1))).alias("sim"))
+    draws = draws.withColumn("_key", draw_key("_id", SALT_PLACEBO, F.col("sim"), rng))
+    placed = ranked(draws, [F.asc("sim"), F.asc("_key"), F.asc("_id")], "_place")
+    placed = placed.withColumn("_place", F.col("_place") - (F.col("sim") - sims.start) * F.lit(n))
+    return placed.join(values, "_place").select("sim", PLACEBO, *[_q(c) for c in keep])
+
+
+def treatment_values(df: DataFrame, spec: CausalSpec) -> DataFrame:
+    """(_place, PLACEBO): the treatment's values in falling order, places from 1."""
+    d = df.where(~absent(df, spec.treatment) & _q(spec.id_col).isNotNull())
+    d = d.select(_q(spec.treatment).cast("double").alias(PLACEBO), _q(spec.id_col).alias("_id"))
+    return ranked(d, [F.desc(PLACEBO), F.asc("_id")], "_place").drop("_id")
+
+
+def permutation_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, rng: str = "md5") -> DataFrame:
+    """R2 simulations by permutation: (sim, estimate) of the OLS effect of the permuted treatment."""
+    xs = list(spec.confounders)
+    model = [spec.treatment, *xs, spec.outcome]
+    d = df
+    for c in model:
+        d = d.where(~absent(df, c))
+    values = treatment_values(d, spec)
+    cols = {spec.treatment: F.col(PLACEBO)} | {c: _q(c) for c in [*xs, spec.outcome]}
+    base = moments(d, model)  # the means, the treatment's among them, are those of every permutation
+    rows = []
+    for first in range(0, n_sims, PERMUTED_AT_ONCE):
+        sims = range(first, min(n_sims, first + PERMUTED_AT_ONCE))
+        per = weighted_moments_by(permuted(d, spec, sims, (*xs, spec.outcome), rng, values), cols, F.lit(1.0), "sim", base.mean)
+        rows += [(s, _slope(per.get(s), spec, model)) for s in sims]
+    return df.sparkSession.createDataFrame(rows, "sim int, estimate double")
+
+
+def _slope(m, spec: CausalSpec, model: list[str]) -> float | None:
+    fit = solve_ols(m, spec.outcome, model[:-1]) if m else None
+    return float(fit.coef[fit.index(spec.treatment)]) if fit and fit.identified.get(spec.treatment) else None
 
 
 def multilevel_placebo(levels: list[tuple[float, int]], u: Column) -> Column:
@@ -95,27 +149,17 @@ def placebo_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, exact: bool
 
     Default: treated with probability n1/n per row (the share of a permutation in expectation).
     A treatment with more than two values: each value is drawn with its share (``multilevel_placebo``).
-    ``exact=True``: exactly the n1 rows with the smallest draws, as a permutation would give;
-    the cut is the n1-th order statistic of the draws, found without sorting the table.
+    ``exact=True``, and any treatment with more values than MAX_PLACEBO_LEVELS: permutations (``permutation_sims``).
     """
-    levels = treatment_levels(df, spec)
+    levels = None if exact else treatment_levels(df, spec)
+    if levels is None:
+        return permutation_sims(df, spec, n_sims, rng)
     multi = [v for v, _ in levels] not in ([0, 1], [0.0, 1.0])
-    share = placebo_share(df, spec) if not multi else None
     u = F.col("_draw_u")
     if multi:
-        if exact:
-            raise ValueError("exact placebo is implemented for a 0/1 treatment")
         placebo = multilevel_placebo(levels, u)
-    elif exact:
-        n1 = int(round(share * df.count()))
-        cuts = []
-        for s in range(n_sims):
-            one = df.select(uniform(spec.id_col, SALT_PLACEBO, s, rng).alias("_draw_u"))
-            cuts.append(_kth(one, u, n1 - 1, 0.0, 1.0) if n1 > 0 else -1.0)
-        cut = F.element_at(F.array(*[F.lit(float(c)) for c in cuts]), F.col("sim") + 1)
-        placebo = (u <= cut).cast("int")
     else:
-        placebo = (u < F.lit(share)).cast("int")
+        placebo = (u < F.lit(placebo_share(df, spec))).cast("int")
     cols = {spec.treatment: placebo}
     for c in spec.confounders:
         cols[c] = _q(c)
@@ -139,6 +183,8 @@ def joint_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, rng: str = "m
     ``random_common_cause_sims`` and ``placebo_sims``, half the passes."""
     from causeway.session import spread
     levels = treatment_levels(df, spec)
+    if levels is None:
+        return random_common_cause_sims(df, spec, n_sims, rng), permutation_sims(df, spec, n_sims, rng)
     multi = [v for v, _ in levels] not in ([0, 1], [0.0, 1.0])
     n = sum(c for _, c in levels)
     u = F.col("_draw_u")
@@ -210,11 +256,18 @@ def refute(df: DataFrame, spec: CausalSpec, method: str = "ols", n_sims: int | N
             raise ValueError("pass estimator= for a method without a moment form")
         original = float(estimator(df, spec))
         rows1, rows2 = [], []
-        share = placebo_share(df, spec)
+        levels = treatment_levels(df, spec)
         for s in range(n_sims):
             d1 = df.withColumn(W_COL, standard_normal(spec.id_col, s, rng))
             rows1.append((s, float(estimator(d1, spec.with_(confounders=(*spec.confounders, W_COL))))))
-            d2 = df.withColumn(spec.treatment, (uniform(spec.id_col, SALT_PLACEBO, s, rng) < F.lit(share)).cast("int"))
+            u = uniform(spec.id_col, SALT_PLACEBO, s, rng)
+            if exact_placebo or levels is None:
+                others = tuple(c for c in df.columns if c != spec.treatment)
+                d2 = permuted(df, spec, range(s, s + 1), others, rng).withColumnRenamed(PLACEBO, spec.treatment).drop("sim")
+            elif [v for v, _ in levels] in ([0, 1], [0.0, 1.0]):
+                d2 = df.withColumn(spec.treatment, (u < F.lit(levels[1][1] / (levels[0][1] + levels[1][1]))).cast("int"))
+            else:
+                d2 = df.withColumn(spec.treatment, multilevel_placebo(levels, u))
             rows2.append((s, float(estimator(d2, spec))))
         r1 = spark.createDataFrame(rows1, "sim int, estimate double")
         r2 = spark.createDataFrame(rows2, "sim int, estimate double")

@@ -113,6 +113,18 @@ def orders_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "y_hte": F.when(~gone, F.col("y_hte"))})
 
 
+def orders_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders_causal`` with NaN as the price in an eleventh of the rows and null or NaN as the balance in a thirteenth."""
+    nan = F.lit(float("nan"))
+    x1 = F.when(F.col("id") % 26 == 0, F.lit(None)).when(F.col("id") % 13 == 0, nan).otherwise(F.col("x1"))
+    return orders_causal(spark, sf_dir).withColumns({"y": F.when(F.col("id") % 11 == 0, nan).otherwise(F.col("y")), "x1": x1})
+
+
+#: The same rows for the oracle, where missing is null.
+ORDERS_NAN_SQL = ("onan AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN NULL ELSE y END AS y, "
+                  "CASE WHEN id % 13 = 0 THEN NULL ELSE x1 END AS x1) FROM oc)")
+
+
 def with_holes(select_sql: str, *more_ctes: str) -> str:
     """Oracle on the usable rows of ``orders_holes``; the null segment is a cell of its own."""
     base = ORDERS_CAUSAL_SQL.strip().replace("\noc AS (", "\noc_all AS (")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from causeway.functions.hashing import SALT_SAMPLE, uniform_sql
+from causeway.functions.quantiles import exact_quantiles
 from causeway.operators import eda as E
 from causeway.plans.catalog import register, rnd
-from causeway.plans.frames import ORDERS_NULLS_SQL, orders_causal, orders_nulls, with_oc
+from causeway.plans.frames import ORDERS_NAN_SQL, ORDERS_NULLS_SQL, orders_causal, orders_nan, orders_nulls, with_oc
 
 _F1_COLS = ("x1", "y", "t", "post")
 
@@ -145,3 +146,55 @@ def f15_point_series_sampled(spark, sf_dir):
 def f15_point_series_bounded(spark, sf_dir):
     """At most 2,000 points for a scatter: the rows with the smallest sampling draws."""
     return E.point_series(orders_causal(spark, sf_dir), "x1", "y", "seg", id_col="id", max_points=2000)
+
+
+_NAN_COLS = ("x1", "y")
+
+
+@register("f1_describe_nan", with_oc(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, "
+    f"round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, "
+    f"round(quantile_cont({c}, 0.75), 4) AS p75, round(max({c}), 4) AS max FROM onan" for c in _NAN_COLS), ORDERS_NAN_SQL))
+def f1_describe_nan(spark, sf_dir):
+    """F1 where missing values come as NaN and null."""
+    return rnd(E.describe(orders_nan(spark, sf_dir), list(_NAN_COLS)))
+
+
+@register("f2_missing_nan", with_oc(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, "
+    f"round(CAST(count(*) - count({c}) AS DOUBLE) / count(*) * 100.0, 6) AS missing_pct FROM onan" for c in _NAN_COLS), ORDERS_NAN_SQL))
+def f2_missing_nan(spark, sf_dir):
+    return rnd(E.missing_summary(orders_nan(spark, sf_dir).select(*_NAN_COLS)), 6)
+
+
+@register("f13_box_stats_by_group_nan", with_oc("""
+SELECT seg, round(q1, 4) AS q1, round(q2, 4) AS median, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
+  round(min(CASE WHEN y >= q1 - 1.5 * (q3 - q1) THEN y END), 4) AS whisker_low,
+  round(max(CASE WHEN y <= q3 + 1.5 * (q3 - q1) THEN y END), 4) AS whisker_high,
+  CAST(sum(CASE WHEN y >= q1 - 1.5 * (q3 - q1) AND y <= q3 + 1.5 * (q3 - q1) THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers,
+  count(y) AS n
+FROM onan JOIN (SELECT seg, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.5) AS q2, quantile_cont(y, 0.75) AS q3
+                FROM onan GROUP BY seg) USING (seg)
+WHERE y IS NOT NULL GROUP BY seg, q1, q2, q3""", ORDERS_NAN_SQL))
+def f13_box_stats_by_group_nan(spark, sf_dir):
+    return rnd(E.box_stats(orders_nan(spark, sf_dir), "y", "seg"))
+
+
+@register("f7_grouped_median_refined", with_oc(
+    "SELECT seg, round(quantile_cont(y, 0.5), 4) AS median_y FROM oc GROUP BY seg"))
+def f7_grouped_median_refined(spark, sf_dir):
+    """F7 with every group beyond the limit: brackets are cut until they hold one value."""
+    return rnd(E.grouped_quantiles(orders_causal(spark, sf_dir), ["seg"], "y", [0.5], ["median_y"], quantile_limit=0))
+
+
+_REFINED = ("x1", "y", "y_planted", "t")
+_REFINED_QS = (0.05, 0.5, 0.95)
+
+
+@register("c8_quantiles_refined", with_oc(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {q} AS q, round(quantile_cont({c}, {q}), 6) AS value FROM oc" for c in _REFINED for q in _REFINED_QS)))
+def c8_quantiles_refined(spark, sf_dir):
+    """The quantiles behind C2, C8 and C12, all columns and ranks at once, every column beyond the limit."""
+    got = exact_quantiles(orders_causal(spark, sf_dir), list(_REFINED), list(_REFINED_QS), quantile_limit=0)
+    rows = [(c, q, round(v, 6)) for c in _REFINED for q, v in zip(_REFINED_QS, got[c])]
+    return spark.createDataFrame(rows, "column string, q double, value double")

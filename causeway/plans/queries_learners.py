@@ -179,9 +179,6 @@ def r2_placebo_sims(spark, sf_dir):
     return rnd(RF.placebo_sims(orders_causal(spark, sf_dir), SPEC_R, N_SIMS), 6)
 
 
-N_EXACT = 10
-
-
 @register("r2_placebo_sims_exact", with_oc(f"""
 SELECT sim, round(avg(CASE WHEN u <= cut THEN y_planted END) - avg(CASE WHEN u > cut THEN y_planted END), 6) AS estimate
 FROM ux JOIN (SELECT sim, max(u) AS cut FROM (
@@ -189,9 +186,9 @@ FROM ux JOIN (SELECT sim, max(u) AS cut FROM (
       WHERE rn <= (SELECT sum(tc) FROM oc) GROUP BY sim) USING (sim)
 GROUP BY sim""",
     f"ux AS (SELECT oc.id, oc.y_planted, CAST(r.range AS INTEGER) AS sim, "
-    f"{uniform_sql('oc.id', SALT_PLACEBO, 'r.range')} AS u FROM oc CROSS JOIN range({N_EXACT}) r)"))
+    f"{uniform_sql('oc.id', SALT_PLACEBO, 'r.range')} AS u FROM oc CROSS JOIN range({N_SIMS}) r)"))
 def r2_placebo_sims_exact(spark, sf_dir):
-    return rnd(RF.placebo_sims(orders_causal(spark, sf_dir), SPEC_R, N_EXACT, exact=True), 6)
+    return rnd(RF.placebo_sims(orders_causal(spark, sf_dir), SPEC_R, N_SIMS, exact=True), 6)
 
 
 @register("r1_r2_r3_refutation")
@@ -211,3 +208,17 @@ def r2_placebo_sims_multilevel(spark, sf_dir):
     """R2 for a treatment with many values (the acct-balance band): each value keeps its share."""
     spec = CausalSpec("x1_band", "y_planted", (), id_col="id")
     return rnd(RF.placebo_sims(orders_causal(spark, sf_dir), spec, N_SIMS), 6)
+
+
+@register("r2_placebo_continuous", with_oc("""
+SELECT sim, round((covar_pop(p, y_planted) * var_pop(x2) - covar_pop(x2, y_planted) * covar_pop(p, x2))
+                  / (var_pop(p) * var_pop(x2) - covar_pop(p, x2) * covar_pop(p, x2)), 9) AS estimate
+FROM px JOIN pv USING (place) GROUP BY sim""",
+    "pv AS (SELECT y AS p, row_number() OVER (ORDER BY y DESC, id) AS place FROM oc)",
+    "px AS (SELECT oc.x2, oc.y_planted, CAST(r.range AS INTEGER) AS sim, row_number() OVER (PARTITION BY r.range ORDER BY "
+    f"md5(CAST(oc.id AS VARCHAR) || '-{SALT_PLACEBO}-' || CAST(r.range AS VARCHAR)), oc.id) AS place "
+    f"FROM oc CROSS JOIN range({N_SIMS}) r)"))
+def r2_placebo_continuous(spark, sf_dir):
+    """R2 for a continuous treatment (the order's price): exact permutations of the column."""
+    spec = CausalSpec("y", "y_planted", ("x2",), id_col="id")
+    return rnd(RF.placebo_sims(orders_causal(spark, sf_dir), spec, N_SIMS), 9)
