@@ -1,4 +1,4 @@
-"""Rows an estimator can use, joins on confounder cells, and the fixed deal of rows before forest fits."""
+"""Rows an estimator can use, and joins on confounder cells."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import types as T
 
 from causeway.spec import CausalSpec
 
-#: Partitions that a forest fit is dealt over; forests draw their bootstrap samples by partition.
-FIT_PARTITIONS = 32
 #: Rows of a table by group or cell that may be broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -55,13 +53,3 @@ def join_cells(df: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     named = small_side(cells.withColumnsRenamed({k: f"_cell_{k}" for k in keys}))
     on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(F.col(f"_cell_{k}")) for k in keys])
     return df.join(named, on, "left").drop(*[f"_cell_{k}" for k in keys])
-
-
-def dealt(df: DataFrame, spec: CausalSpec) -> DataFrame:
-    """Rows dealt by their id and ordered inside each part, whatever partitions they come in: what a fit draws by
-    partition is then the same on any cluster."""
-    if spec.id_col is None or spec.id_col not in df.columns:
-        keys = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint", "string", "boolean")]
-    else:
-        keys = [spec.id_col]
-    return df.repartition(FIT_PARTITIONS, *[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(*[F.col(f"`{k}`") for k in keys])

@@ -3,11 +3,10 @@
 Nuisance learners:
 * ``CellMean``: the mean of the target per discrete confounder cell (a grouped aggregate joined
   back; unseen cells fall back to the overall mean). Exact, so SQL can check it.
-* ``Forest``: Spark ML random forests (distributed tree growing). Binary targets use the class
-  probability of a classifier.
+* ``Forest``: random forests (``operators.forest``); all models of an estimate grow together, one aggregate a level.
+  Binary targets use the class probability of a classifier.
 
-Scoring never joins a frame with itself: several fitted models are applied one after another to
-the same rows (each ``transform`` adds a column), and the right prediction is picked per row.
+Scoring is one column: a row meets only the trees of its own fold's models, and no other column passes through Python.
 Cross-fitting: fold = floor(k * u(id)); with cell means, the out-of-fold mean of a cell is
 (cell total - cell-in-fold total) / (cell count - cell-in-fold count), so all k folds come out
 of one grouped aggregate.
@@ -18,19 +17,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.functions.hashing import SALT_SPLIT, fold, uniform
+from causeway.operators.complete import join_cells, usable_rows
+from causeway.operators.forest import Forest, Target, Trees, grow, predictions
 from causeway.operators.regression import check_binary, estimate_df
-from causeway.operators.complete import dealt, join_cells, usable_rows
-from causeway.session import cached, materialize
+from causeway.session import materialize
 from causeway.spec import CausalSpec
 
 ITE = "Estimated_ITE"
@@ -45,17 +41,6 @@ class CellMean:
     cells: tuple[str, ...]
 
 
-@dataclass(frozen=True)
-class Forest:
-    """Spark ML forest settings. Regressors consider every feature at each split and classifiers
-    the square root of them (the published sklearn defaults the reference's learners use)."""
-    num_trees: int = 100
-    max_depth: int = 10
-    seed: int = 42
-    min_instances_per_node: int = 1
-    max_bins: int = 64
-
-
 def _is_binary_outcome(df: DataFrame, col: str) -> bool:
     try:
         check_binary(df, col)
@@ -72,29 +57,8 @@ def _check_features(df: DataFrame, feats: list[str]) -> None:
         raise ValueError(f"confounders must be numeric (encode text first): {bad}")
 
 
-def _forest(lr: Forest, label: str, features: str, pred: str, classifier: bool, weight: str | None = None):
-    cls = RandomForestClassifier if classifier else RandomForestRegressor
-    kw = dict(numTrees=lr.num_trees, maxDepth=lr.max_depth, seed=lr.seed, labelCol=label, featuresCol=features,
-              minInstancesPerNode=lr.min_instances_per_node, predictionCol=pred, maxBins=lr.max_bins,
-              featureSubsetStrategy="sqrt" if classifier else "all")
-    if classifier:
-        kw.update(probabilityCol=f"{pred}_prob", rawPredictionCol=f"{pred}_raw")
-    est = cls(**kw)
-    if weight:
-        est = est.setWeightCol(weight)
-    return est
-
-
-def _score(model, df: DataFrame, features: str, out: str, classifier: bool) -> DataFrame:
-    """Apply a fitted forest to ``features`` and add ``out`` (probability of class 1 for classifiers)."""
-    tmp = f"_{out}_pred"
-    m = model.copy()
-    m.setFeaturesCol(features).setPredictionCol(tmp)
-    if classifier:
-        m.setProbabilityCol(f"{tmp}_prob").setRawPredictionCol(f"{tmp}_raw")
-        s = m.transform(df)
-        return s.withColumn(out, vector_to_array(F.col(f"{tmp}_prob"))[1]).drop(tmp, f"{tmp}_prob", f"{tmp}_raw")
-    return m.transform(df).withColumnRenamed(tmp, out)
+def _columns_of(names: list[str]) -> list[Column]:
+    return [_q(c) for c in names]
 
 
 # ---- meta-learners (E12, E13, E18) -------------------------------------------------------------
@@ -122,15 +86,15 @@ def s_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Fore
     feats = list(spec.confounders)
     _check_features(df, feats)
     binary = _is_binary_outcome(df, spec.outcome)
-    d = df.withColumn("_label", _q(spec.outcome).cast("double"))
-    fit_va = VectorAssembler(inputCols=feats + [spec.treatment], outputCol="_f", handleInvalid="error")
-    model = _forest(learner, "_label", "_f", "_p", binary, weight).fit(dealt(fit_va.transform(d), spec))
-    d = d.withColumn("_t1", F.lit(1.0)).withColumn("_t0", F.lit(0.0))
-    d = VectorAssembler(inputCols=feats + ["_t1"], outputCol="_f1").transform(d)
-    d = VectorAssembler(inputCols=feats + ["_t0"], outputCol="_f0").transform(d)
-    d = _score(model, d, "_f1", "_mu1", binary)
-    d = _score(model, d, "_f0", "_mu0", binary)
-    return d.withColumn(ITE, F.col("_mu1") - F.col("_mu0")).drop("_label", "_t1", "_t0", "_f1", "_f0", "_mu1", "_mu0")
+    target = Target(_q(spec.outcome), None, _q(weight) if weight else None, binary)
+    model = grow(df, _id_of(df, spec), [*feats, spec.treatment], [target], learner)
+    x = _columns_of(feats)
+    mu1, mu0 = (predictions(df.sparkSession, model, [*x, F.lit(arm)]) for arm in (1.0, 0.0))
+    return df.withColumn(ITE, mu1 - mu0)
+
+
+def _id_of(df: DataFrame, spec: CausalSpec) -> str | None:
+    return spec.id_col if spec.id_col in df.columns else None
 
 
 def t_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Forest(), weight: str | None = None,
@@ -142,14 +106,10 @@ def t_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Fore
     feats = list(spec.confounders)
     _check_features(df, feats)
     binary = _is_binary_outcome(df, spec.outcome)
-    d = VectorAssembler(inputCols=feats, outputCol="_f", handleInvalid="error").transform(
-        df.withColumn("_label", _q(spec.outcome).cast("double")))
-    t = _q(spec.treatment)
-    m1 = _forest(learner, "_label", "_f", "_p", binary, weight).fit(dealt(d.where(t == 1), spec))
-    m0 = _forest(learner, "_label", "_f", "_p", binary, weight).fit(dealt(d.where(t == 0), spec))
-    d = _score(m1, d, "_f", "_mu1", binary)
-    d = _score(m0, d, "_f", "_mu0", binary)
-    return d.withColumn(ITE, F.col("_mu1") - F.col("_mu0")).drop("_label", "_f", "_mu1", "_mu0")
+    w = _q(weight) if weight else None
+    m1, m0 = grow(df, _id_of(df, spec), feats, [Target(_q(spec.outcome), _q(spec.treatment) == arm, w, binary) for arm in (1, 0)], learner)
+    x = _columns_of(feats)
+    return df.withColumn(ITE, predictions(df.sparkSession, [m1], x) - predictions(df.sparkSession, [m0], x))
 
 
 def ate_from_ite(df: DataFrame, weight: str | None = None) -> float:
@@ -198,21 +158,11 @@ def dml_residuals(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest =
                  .withColumn("_t_res", t - F.coalesce(F.col("_mt"), fb_t)).drop("_my", "_mt"))
     feats = list(spec.confounders)
     _check_features(df, feats)
-    d = VectorAssembler(inputCols=feats, outputCol="_f", handleInvalid="error").transform(
-        d.withColumn("_ly", y).withColumn("_lt", t))
-    pred_y, pred_t = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for k in range(folds):
-        train = d.where(F.col("_fold") != k)
-        train = cached(dealt(train, spec).select("_f", "_ly", "_lt"))
-        my = _forest(learner, "_ly", "_f", "_p", False).fit(train)
-        mt = _forest(learner, "_lt", "_f", "_p", True).fit(train)
-        train.unpersist()
-        d = _score(my, d, "_f", f"_py{k}", False)
-        d = _score(mt, d, "_f", f"_pt{k}", True)
-        pred_y = F.when(F.col("_fold") == k, F.col(f"_py{k}")).otherwise(pred_y)
-        pred_t = F.when(F.col("_fold") == k, F.col(f"_pt{k}")).otherwise(pred_t)
-    d = d.withColumn("_y_res", y - pred_y).withColumn("_t_res", t - pred_t)
-    return d.drop("_f", "_ly", "_lt", *[f"_py{k}" for k in range(folds)], *[f"_pt{k}" for k in range(folds)])
+    others = [F.col("_fold") != k for k in range(folds)]
+    models = grow(d, spec.id_col, feats, [Target(y, o) for o in others] + [Target(t, o, classifier=True) for o in others], learner)
+    x, spark = _columns_of(feats), df.sparkSession
+    return (d.withColumn("_y_res", y - predictions(spark, models[:folds], x, F.col("_fold")))
+             .withColumn("_t_res", t - predictions(spark, models[folds:], x, F.col("_fold"))))
 
 
 def dml_final_stage(res: DataFrame, spec: CausalSpec, constant_effect: bool = False) -> dict:
@@ -305,67 +255,75 @@ def causal_forest(df: DataFrame, spec: CausalSpec, nuisance: CellMean | Forest =
     """tau(x) = sum_b mean_leaf(Y_res T_res) / sum_b mean_leaf(T_res^2) over the trees b.
 
     Honest: the trees grow on half A (label Y_res / T_res, weight T_res^2, which is the local
-    least-squares problem of the displayed formula); the leaf sums come from half B, one
-    ``groupBy(tree, leaf)`` over the exploded leaf vector. The leaf table is bounded by
-    trees * 2^depth rows and scored per Arrow batch with numpy lookups (no shuffle by row).
-    Returns (estimate row, table with ``Estimated_ITE``, fitted forest model, feature names).
+    least-squares problem of the displayed formula); the leaf sums come from half B: each task adds its rows up by
+    (tree, leaf), one row for each of those shuffles, and the sums by leaf (at most trees * 2^depth) are broadcast and
+    looked up by one function of the features, so no other column passes through Python.
+    Returns (estimate row, table with ``Estimated_ITE``, the forest, feature names).
     """
     feats = list(spec.confounders)
     _check_features(df, feats)
+    spark = df.sparkSession
     res = dml_residuals(df, spec, nuisance, folds, rng, missing)
-    res = materialize(res)  # read three times below; a reliable checkpoint, not a recompute of the nuisances
     half = uniform(spec.id_col, SALT_SPLIT, 0, rng) < F.lit(0.5)
-    res = res.withColumn("_half_a", half)
-    va = VectorAssembler(inputCols=feats, outputCol="_cf", handleInvalid="error")
-    res = va.transform(res)
-    grow = (res.where(F.col("_half_a") & (F.col("_t_res") != 0))
-               .withColumn("_lab", F.col("_y_res") / F.col("_t_res")).withColumn("_w", F.col("_t_res") * F.col("_t_res")))
-    rf = RandomForestRegressor(numTrees=forest.num_trees, maxDepth=forest.max_depth, seed=forest.seed,
-                               featuresCol="_cf", labelCol="_lab", weightCol="_w", predictionCol="_cfp",
-                               minInstancesPerNode=forest.min_instances_per_node, maxBins=forest.max_bins,
-                               featureSubsetStrategy="all")
-    model = rf.fit(dealt(grow, spec))
-    m = model.copy()
-    m.setLeafCol("_leaves")
-    leaves = m.transform(res).withColumn("_lv", vector_to_array(F.col("_leaves")))
-    est_half = leaves.where(~F.col("_half_a"))
-    leaf_tab = (est_half.select(F.posexplode("_lv").alias("tree", "leaf"), "_y_res", "_t_res")
-                .groupBy("tree", "leaf").agg(F.sum(F.col("_y_res") * F.col("_t_res")).alias("syt"),
-                                             F.sum(F.col("_t_res") * F.col("_t_res")).alias("stt"),
-                                             F.count(F.lit(1)).alias("n")).collect())
-    n_trees = forest.num_trees
-    width = max(int(r["leaf"]) for r in leaf_tab) + 1 if leaf_tab else 1
-    num = np.zeros((n_trees, width))
-    den = np.zeros((n_trees, width))
-    for r in leaf_tab:
-        num[int(r["tree"]), int(r["leaf"])] = r["syt"] / r["n"]
-        den[int(r["tree"]), int(r["leaf"])] = r["stt"] / r["n"]
-    sc = df.sparkSession.sparkContext
-    bnum, bden = sc.broadcast(num), sc.broadcast(den)
-    keep = [c for c in df.columns]
-    out_schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ITE, T.DoubleType())])
-
-    def score(batches):
-        nm, dn = bnum.value, bden.value
-        rows = np.arange(nm.shape[0])
-        for pdf in batches:
-            lv = np.stack(pdf["_lv"].to_numpy()).astype(int) if len(pdf) else np.zeros((0, nm.shape[0]), int)
-            lv = np.clip(lv, 0, nm.shape[1] - 1)
-            a = nm[rows[None, :], lv].sum(axis=1)
-            b = dn[rows[None, :], lv].sum(axis=1)
-            out = pdf[keep].copy()
-            out[ITE] = np.where(b > 0, a / np.where(b > 0, b, 1.0), np.nan)
-            yield out
-
-    ite = leaves.select(*keep, "_lv").mapInPandas(score, out_schema)
-    r = ite.agg(F.avg(ITE).alias("a"), F.count(F.lit(1)).alias("n")).collect()[0]
-    est = estimate_df(df.sparkSession, [("causal_forest", "ate", r["n"], r["a"], None, None, None, "none")])
+    # read several times below; a reliable checkpoint of the columns the forest needs, not a recompute of the nuisances
+    narrow = materialize(res.select(_q(spec.id_col).alias("_id"), *[_q(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)],
+                                    "_y_res", "_t_res", half.alias("_half_a")))
+    xs = [f"_x{i}" for i in range(len(feats))]
+    grows = narrow.where(F.col("_half_a") & (F.col("_t_res") != 0))
+    model = grow(grows, "_id", xs, [Target(F.col("_y_res") / F.col("_t_res"), None, F.col("_t_res") * F.col("_t_res"))], forest)[0]
+    num, den = _leaf_means(narrow.where(~F.col("_half_a")), xs, model)
+    held = spark.sparkContext.broadcast((model, num, den))
+
+    @F.arrow_udf(T.DoubleType())
+    def effect(*columns: pa.Array) -> pa.Array:
+        trees, nm, dn = held.value
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1).astype(float)
+        out = np.full(len(x), np.nan)
+        at = np.arange(len(nm))[None, :]
+        for k in range(0, len(x), 2048):
+            lv = trees.leaves(x[k:k + 2048])
+            a, b = nm[at, lv].sum(axis=1), dn[at, lv].sum(axis=1)
+            out[k:k + 2048] = np.where(b > 0, a / np.where(b > 0, b, 1.0), np.nan)
+        return pa.array(out, pa.float64(), from_pandas=True)
+
+    kept = usable_rows(df, spec, missing, (spec.id_col,))
+    ite = kept.withColumn(ITE, effect(*[_q(c).cast("double") for c in feats]))
+    r = narrow.agg(F.avg(effect(*[F.col(c) for c in xs])).alias("a"), F.count(F.lit(1)).alias("n")).first()
+    est = estimate_df(spark, [("causal_forest", "ate", r["n"], r["a"], None, None, None, "none")])
     return est, ite, model, feats
 
 
+def _leaf_means(rows: DataFrame, xs: list[str], model: Trees) -> tuple[np.ndarray, np.ndarray]:
+    """By tree and leaf the means of Y_res T_res and of T_res^2; 0 where a leaf has no row."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    shape = model.feature.shape
+
+    def run(batches):
+        sums = np.zeros((3, shape[0] * shape[1]))
+        base = (np.arange(shape[0]) * shape[1])[None, :]
+        for batch in batches:
+            c = [col.to_numpy(zero_copy_only=False) for col in batch.columns]
+            x = np.stack(c[2:], axis=1).astype(float)
+            for k in range(0, len(x), 2048):
+                lv = (base + held.value.leaves(x[k:k + 2048])).ravel()
+                y, t = (np.repeat(v[k:k + 2048], shape[0]) for v in c[:2])
+                for i, v in enumerate((y * t, t * t, None)):
+                    sums[i] += np.bincount(lv, v, sums.shape[1])
+        got = np.flatnonzero(sums[2])
+        yield pa.RecordBatch.from_arrays([pa.array(got), *(pa.array(v[got]) for v in sums)], names=["leaf", "syt", "stt", "n"])
+
+    parts = rows.select("_y_res", "_t_res", *xs).mapInArrow(run, "leaf long, syt double, stt double, n double")
+    found = parts.groupBy("leaf").agg(F.sum("syt").alias("syt"), F.sum("stt").alias("stt"), F.sum("n").alias("n")).toArrow()
+    held.destroy()
+    leaf, syt, stt, n = (found.column(k).to_numpy() for k in ("leaf", "syt", "stt", "n"))
+    num, den = np.zeros(shape[0] * shape[1]), np.zeros(shape[0] * shape[1])
+    num[leaf], den[leaf] = syt / n, stt / n
+    return num.reshape(shape), den.reshape(shape)
+
+
 def feature_importance(model, feats: list[str], spark) -> DataFrame:
     """The forest's impurity-based importances, one row per feature."""
-    imp = model.featureImportances.toArray()
+    imp = model.importances()
     return spark.createDataFrame([(f, float(imp[i])) for i, f in enumerate(feats)],
                                  "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
@@ -376,5 +334,3 @@ def ite_histogram(ite: DataFrame, bins: int = 30) -> DataFrame:
     ate = ite.agg(F.avg(ITE).alias("a")).collect()[0]["a"]
     return histogram(ite, ITE, bins).withColumn("ate", F.lit(ate))
 
-
-_ = pd  # pandas is the batch type inside mapInPandas

@@ -13,9 +13,9 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.complete import absent, dealt, join_cells, usable_rows
+from causeway.operators.complete import absent, join_cells, usable_rows
 from causeway.operators.regression import estimate_df
-from causeway.session import cached
+from causeway.session import cached, spread
 from causeway.spec import CausalSpec
 
 
@@ -46,7 +46,7 @@ def propensity_scores(df: DataFrame, spec: CausalSpec, provider: str = "logistic
         if weight_col:
             glr = glr.setWeightCol(weight_col)
         train = va.transform(df.withColumn("_ps_label", t.cast("double")))
-        fit_input = cached(dealt(train, spec).select("_ps_features", "_ps_label", *([weight_col] if weight_col else [])))
+        fit_input = cached(spread(train).select("_ps_features", "_ps_label", *([weight_col] if weight_col else [])))
         try:
             model = glr.fit(fit_input)
         finally:
