@@ -192,7 +192,7 @@ _REFINED_QS = (0.05, 0.5, 0.95)
 
 
 @register("c8_quantiles_refined", with_oc(" UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", {q} AS q, round(quantile_cont({c}, {q}), 6) AS value FROM oc" for c in _REFINED for q in _REFINED_QS)))
+    f"SELECT '{c}' AS \"column\", CAST({q} AS DOUBLE) AS q, round(quantile_cont({c}, {q}), 6) AS value FROM oc" for c in _REFINED for q in _REFINED_QS)))
 def c8_quantiles_refined(spark, sf_dir):
     """The quantiles behind C2, C8 and C12, all columns and ranks at once, every column beyond the limit."""
     got = exact_quantiles(orders_causal(spark, sf_dir), list(_REFINED), list(_REFINED_QS), quantile_limit=0)
