@@ -2,10 +2,10 @@
 
 Poisson bootstrap: every row gets an independent Poisson(1) count per replicate, drawn from a
 hash of (id, replicate), so a replicate is identical whatever the partitioning or retries. All
-replicates run in ONE job for moment estimators: rows are exploded by replicate inside the scan
-stage and fed straight into a grouped partial aggregate, so only B * p^2 numbers shuffle. The
+replicates run in ONE job for moment estimators: a matrix of counts for each Arrow batch times the
+rows' products (``replicates``), so no row is exploded and only B * p^2 numbers a partition shuffle. The
 logistic models run a Newton step for all replicates per job (start: the full-sample fit, so a
-few passes suffice). Estimators with learned nuisances refit per replicate with ``weightCol``.
+few passes suffice) over counts drawn once, a byte a replicate. Estimators with learned nuisances refit per replicate with ``weightCol``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from causeway.functions import stats
 from causeway.functions.hashing import (SALT_BOOTSTRAP, explode_draws, poisson1_thresholds, poisson1_weight,
                                         uniform)
 from causeway.operators import regression as R
-from causeway.operators.moments import complete_case, moments, solve_ols, weighted_moments_by
+from causeway.operators.moments import centred_moments, moments, solve_ols
+from causeway.operators.replicates import pairs, replicate_sums, symmetric, weighed, weighed_sums
+from causeway.session import cached
 from causeway.spec import CausalSpec
 
 DEFAULT_B = 50
@@ -49,14 +51,19 @@ def bootstrap_ols(df: DataFrame, spec: CausalSpec, B: int = DEFAULT_B, did: bool
     base = moments(df, cols)
     if base.n != base.n_total:
         raise ValueError("missing values in model columns")
-    names = list(cols)
-    proj = df.select(_q(spec.id_col).alias("_id"), *[e.cast("double").alias(f"_c{i}") for i, e in enumerate(cols.values())])
-    ex = with_replicates(proj, "_id", B, rng)
-    per_rep = weighted_moments_by(ex, {n: F.col(f"_c{i}") for i, n in enumerate(names)}, F.col("w"), "rep", base.mean)
+    names, mean = list(cols), base.mean
+    p = len(names)
+    i, j = pairs(p)
+
+    def sums(x, draws):
+        m = x - mean
+        return draws.poisson(SALT_BOOTSTRAP).T.astype(float) @ np.column_stack([np.ones(len(m)), m, m[:, i] * m[:, j]])
+
+    got = replicate_sums(df, spec.id_col, list(cols.values()), B, 1 + p + len(i), sums, rng, (SALT_BOOTSTRAP,))
     xs = [c for c in names if c != spec.outcome]
     rows = []
-    for rep in range(B):
-        m = per_rep.get(rep)
+    for rep, row in enumerate(got):
+        m = centred_moments(names, mean, row[0], row[1:1 + p], symmetric(row[1 + p:], p))
         est = None
         if m is not None:
             fit = solve_ols(m, spec.outcome, xs)
@@ -81,45 +88,39 @@ def bootstrap_logit(df: DataFrame, spec: CausalSpec, B: int = DEFAULT_B, did: bo
     full = R.logit_fit(df, spec.outcome, cols)
     p = len(names) + 1
     beta = {rep: np.array(full.coef, dtype=float) for rep in range(B)}
-    proj = df.select(_q(spec.id_col).alias("_id"), _q(spec.outcome).cast("double").alias("_y"),
-                     *[e.cast("double").alias(f"_x{i}") for i, e in enumerate(cols.values())])
-    ex = with_replicates(proj, "_id", B, rng)
-    spark = df.sparkSession
-    xcols = [F.lit(1.0)] + [F.col(f"_x{i}") for i in range(len(names))]
+    i, j = pairs(p)
+    # the counts are drawn once, a byte each, and read by every pass
+    drawn = cached(weighed(df, spec.id_col, [_q(spec.outcome), *cols.values()], B, SALT_BOOTSTRAP, rng))
     active = set(range(B))
     for _ in range(max_iter):
         if not active:
             break
-        bt = spark.createDataFrame([(r, *map(float, beta[r])) for r in sorted(active)],
-                                   ", ".join(["rep int"] + [f"b{k} double" for k in range(p)]))
-        j = ex.join(F.broadcast(bt), "rep")  # B rows at most: bounded by the replicate count
-        eta = sum((F.col(f"b{k}") * xcols[k] for k in range(1, p)), F.col("b0"))
-        mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-        j = j.select("rep", "w", "_y", *[x.alias(f"_z{k}") for k, x in enumerate(xcols)], mu.alias("mu"))
-        aggs = [F.sum(F.col("w") * (F.col("_y") - F.col("mu")) * F.col(f"_z{k}")).alias(f"g{k}") for k in range(p)]
-        aggs += [F.sum(F.col("w") * F.col("mu") * (F.lit(1.0) - F.col("mu")) * F.col(f"_z{a}") * F.col(f"_z{b}"))
-                 .alias(f"h{a}_{b}") for a in range(p) for b in range(a, p)]
-        done = set()
-        for row in j.groupBy("rep").agg(*aggs).collect():
-            r = row["rep"]
-            g = np.array([row[f"g{k}"] for k in range(p)])
-            H = np.zeros((p, p))
-            for a in range(p):
-                for b in range(a, p):
-                    H[a, b] = H[b, a] = row[f"h{a}_{b}"]
+        now = np.array(sorted(active))
+        start = np.array([beta[r] for r in now])
+
+        def sums(x, w, now=now, start=start):
+            ok = ~np.isnan(x).any(axis=1)
+            y, z, w = x[ok, :1], np.column_stack([np.ones(ok.sum()), x[ok, 1:]]), w[ok][:, now]
+            mu = _sigmoid(np.clip(z @ start.T, -700, 700))
+            out = np.zeros((B, p + len(i)))
+            out[now] = np.column_stack([(w * (y - mu)).T @ z, (w * mu * (1 - mu)).T @ (z[:, i] * z[:, j])])
+            return out
+
+        got = weighed_sums(drawn, B, p + len(i), sums)
+        for r in now:
             try:
-                step = np.linalg.solve(H, g)
+                step = np.linalg.solve(symmetric(got[r, p:], p), got[r, :p])
             except np.linalg.LinAlgError:
                 beta[r] = np.full(p, np.nan)
-                done.add(r)
+                active.discard(r)
                 continue
             beta[r] = beta[r] + step
             if np.max(np.abs(step)) < tol * (1.0 + np.max(np.abs(beta[r]))):
-                done.add(r)
-        active -= done
+                active.discard(r)
+    drawn.unpersist()
     k = 1 + names.index(term)
     rows = [(r, float(beta[r][k]) if np.isfinite(beta[r][k]) and r not in active else None) for r in range(B)]
-    return spark.createDataFrame(rows, S.BOOTSTRAP)
+    return df.sparkSession.createDataFrame(rows, S.BOOTSTRAP)
 
 
 def bootstrap_summary(boot: DataFrame) -> DataFrame:

@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from causeway.functions.hashing import SALT_SPLIT, fold, uniform
+from causeway.functions.hashing import SALT_BOOTSTRAP, SALT_SPLIT, fold, uniform
 from causeway.operators.complete import join_cells, usable_rows
 from causeway.operators.forest import Forest, Target, Trees, grow, predictions
 from causeway.operators.regression import check_binary, estimate_df
+from causeway.operators.replicates import pairs, replicate_sums, symmetric
 from causeway.session import materialize
 from causeway.spec import CausalSpec
 
@@ -196,30 +197,24 @@ def bootstrap_dml_final(res: DataFrame, spec: CausalSpec, B: int = 50, constant_
     """U1 for LinearDML: the final stage re-solved per Poisson replicate, all replicates in one
     grouped aggregate over the (checkpointed) residual table; nuisances are held fixed."""
     from causeway import spec as S
-    from causeway.operators.inference import with_replicates
-    yr, tr = F.col("_y_res"), F.col("_t_res")
     mods = [] if constant_effect else list(spec.confounders)
-    z = [tr] + [tr * _q(c).cast("double") for c in mods]
-    p = len(z)
-    ex = with_replicates(res, spec.id_col, B, rng)
-    w = F.col("w").cast("double")
-    aggs = [F.sum(w).alias("sw")] + [F.sum(w * _q(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(mods)]
-    aggs += [F.sum(w * z[a] * z[b]).alias(f"zz{a}_{b}") for a in range(p) for b in range(a, p)]
-    aggs += [F.sum(w * z[a] * yr).alias(f"zy{a}") for a in range(p)]
+    q, p = len(mods), len(mods) + 1
+    i, j = pairs(p)
+
+    def sums(x, draws):
+        ok = ~np.isnan(x).any(axis=1)
+        w, x = draws.poisson(SALT_BOOTSTRAP)[ok].T.astype(float), x[ok]
+        z = x[:, 1:2] * np.column_stack([np.ones(len(x)), x[:, 2:]])
+        return w @ np.column_stack([np.ones(len(x)), x[:, 2:], z * x[:, :1], z[:, i] * z[:, j]])
+
+    cols = [F.col("_y_res"), F.col("_t_res"), *[_q(c) for c in mods]]
     rows = []
-    got = {r["rep"]: r for r in ex.groupBy("rep").agg(*aggs).collect()}
-    for rep in range(B):
-        r = got.get(rep)
-        if r is None:
+    for rep, r in enumerate(replicate_sums(res, spec.id_col, cols, B, 1 + q + p + len(i), sums, rng, (SALT_BOOTSTRAP,))):
+        if r[0] <= 0:
             rows.append((rep, None))
             continue
-        ZZ = np.zeros((p, p))
-        for a in range(p):
-            for b in range(a, p):
-                ZZ[a, b] = ZZ[b, a] = r[f"zz{a}_{b}"]
-        theta = np.linalg.pinv(ZZ) @ np.array([r[f"zy{a}"] for a in range(p)])
-        g = np.array([1.0] + [r[f"mx{i}"] / r["sw"] for i in range(len(mods))])
-        rows.append((rep, float(g @ theta)))
+        theta = np.linalg.pinv(symmetric(r[1 + q + p:], p)) @ r[1 + q:1 + q + p]
+        rows.append((rep, float(np.append(1.0, r[1:1 + q] / r[0]) @ theta)))
     return res.sparkSession.createDataFrame(rows, S.BOOTSTRAP)
 
 

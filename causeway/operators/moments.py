@@ -137,14 +137,30 @@ def weighted_moments_by(df: DataFrame, cols: dict[str, Column], weight: Column,
         if sw <= 0:
             continue
         s = np.array([row[f"s{i}"] for i in range(p)], dtype=float)
-        C = np.zeros((p, p))
+        S = np.zeros((p, p))
         for i in range(p):
             for j in range(i, p):
-                C[i, j] = C[j, i] = row[f"s{i}_{j}"] - s[i] * s[j] / sw
-        out[int(row["g"])] = Moments(names, sw, center + s / sw, C, sw)
+                S[i, j] = S[j, i] = row[f"s{i}_{j}"]
+        out[int(row["g"])] = centred_moments(names, center, sw, s, S)
     return out
 
 
+def centred_moments(names: list[str], center: np.ndarray, sw: float, s: np.ndarray, S: np.ndarray) -> Moments | None:
+    """Moments from the sum of weights and the weighted sums of centred columns and of their products; None without
+    any weight."""
+    return Moments(names, sw, center + s / sw, S - np.outer(s, s) / sw, sw) if sw > 0 else None
+
+
+def with_drawn(base: Moments, name: str, s: float, ss: float, cross: np.ndarray) -> Moments:
+    """``base`` with one more column d: its sum, its sum of squares, its sums of products with the centred columns."""
+    p = len(base.cols)
+    C = np.zeros((p + 1, p + 1))
+    C[:p, :p] = base.C
+    C[p, :p] = C[:p, p] = cross
+    C[p, p] = ss - s * s / base.n
+    return Moments([*base.cols, name], base.n, np.append(base.mean, s / base.n), C, base.n_total)
+
+
 @dataclass
 class OLSFit:
     terms: list[str]

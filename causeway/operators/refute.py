@@ -1,8 +1,8 @@
 """Refutation tests.
 
 R1 adds an independent N(0, 1) common cause; R2 replaces the treatment with a random placebo: a draw of the same
-shares for a treatment of few values, a permutation of the column for any other. For the moment estimators every simulation runs in ONE job (rows
-exploded by simulation, one grouped Gram aggregate); other estimators refit per simulation.
+shares for a treatment of few values, a permutation of the column for any other. For the moment estimators every simulation runs in ONE job (a
+matrix of draws for each Arrow batch times the model columns); other estimators refit per simulation.
 Random draws are hashes of (id, simulation), so a rerun gives the same answer.
 
 p-value (ours; the library's is not visible): the simulated estimates are fitted by a normal
@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from causeway import spec as S
 from causeway.functions import stats
-from causeway.functions.hashing import SALT_PLACEBO, draw_key, explode_draws, standard_normal, uniform
+from causeway.functions.hashing import SALT_COMMON_CAUSE_A, SALT_COMMON_CAUSE_B, SALT_PLACEBO, draw_key, uniform
 from causeway.functions.ranks import ranked
 from causeway.operators import regression as R
 from causeway.operators.complete import absent
-from causeway.operators.moments import moments, solve_ols, weighted_moments_by
+from causeway.operators.moments import Moments, moments, solve_ols, weighted_moments_by, with_drawn
+from causeway.operators.replicates import replicate_sums
 from causeway.spec import CausalSpec
 
 MOMENT_METHODS = ("ols", "diff_in_means")
@@ -45,23 +46,44 @@ def guard(method: str, binary_outcome: bool = False) -> None:
 
 def random_common_cause_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, rng: str = "md5") -> DataFrame:
     """R1 simulations: (sim, estimate) of the OLS effect with one extra N(0,1) confounder."""
-    cols = R.model_columns(spec)
-    y = cols.pop(spec.outcome)
-    cols[W_COL] = F.col("_draw_w")
-    cols[spec.outcome] = y
-    # centre: the unweighted means, with 0 for the N(0,1) column
-    base = moments(df.select("*", F.lit(0.0).alias("_draw_w")), cols)
-    ex = explode_draws(df, spec.id_col, n_sims, "", rng, "sim", "_draw_w", normal=True)
-    per = weighted_moments_by(ex, cols, F.lit(1.0), "sim", base.mean)
-    names = list(cols)
-    rows = []
-    for s in range(n_sims):
-        m = per.get(s)
-        fit = solve_ols(m, spec.outcome, [c for c in names if c != spec.outcome]) if m else None
-        rows.append((s, float(fit.coef[fit.index(spec.treatment)]) if fit and fit.identified.get(spec.treatment) else None))
+    base, got = _drawn_sums(df, spec, R.model_columns(spec), n_sims, rng, causes=True)
+    xs = [c for c in base.cols if c != spec.outcome]
+    rows = [(s, _effect(_one(base, W_COL, got[s]), spec.outcome, [*xs, W_COL], spec.treatment)) for s in range(n_sims)]
     return df.sparkSession.createDataFrame(rows, "sim int, estimate double")
 
 
+def _drawn_sums(df: DataFrame, spec: CausalSpec, cols: dict[str, Column], n_sims: int, rng: str, causes: bool = False,
+                levels: list[tuple[float, float]] | None = None) -> tuple[Moments, np.ndarray]:
+    """The model columns' moments, shared by all simulations, and for each simulation the sums of what is drawn: itself,
+    its squares, its products with the centred columns. First the random cause, then the placebo of ``levels`` (value,
+    cumulative share)."""
+    base = moments(df, cols)
+    mean = base.mean
+    values, ends = (np.array(v, float) for v in zip(*levels, strict=True)) if levels else (None, None)
+
+    def sums(x, draws):
+        ok = ~np.isnan(x).any(axis=1)
+        drawn = [draws.normal()] if causes else []
+        if levels:
+            drawn.append(values[np.searchsorted(ends[:-1], draws.uniform(SALT_PLACEBO), "right")])
+        m = x[ok] - mean
+        return np.column_stack([np.column_stack([d.sum(axis=0), (d * d).sum(axis=0), d.T @ m]) for d in (d[ok] for d in drawn)])
+
+    width = (causes + bool(levels)) * (2 + len(mean))
+    return base, replicate_sums(df, spec.id_col, list(cols.values()), n_sims, width, sums, rng,
+                                (SALT_COMMON_CAUSE_A, SALT_COMMON_CAUSE_B, SALT_PLACEBO))
+
+
+def _one(base: Moments, name: str, sums: np.ndarray, nth: int = 0) -> Moments:
+    part = sums[nth * (2 + len(base.cols)):(nth + 1) * (2 + len(base.cols))]
+    return with_drawn(base, name, part[0], part[1], part[2:])
+
+
+def _effect(m: Moments | None, outcome: str, model: list[str], term: str) -> float | None:
+    fit = solve_ols(m, outcome, model) if m and m.n else None
+    return float(fit.coef[fit.index(term)]) if fit and fit.identified.get(term) else None
+
+
 def placebo_share(df: DataFrame, spec: CausalSpec) -> float:
     r = df.agg(F.sum(_q(spec.treatment)).alias("n1"), F.count(F.lit(1)).alias("n")).collect()[0]
     return float(r["n1"]) / float(r["n"])
@@ -144,6 +166,18 @@ def multilevel_placebo(levels: list[tuple[float, int]], u: Column) -> Column:
     return last if expr is None else expr.otherwise(last)
 
 
+def cumulative_shares(levels: list[tuple[float, int]]) -> list[tuple[float, float]]:
+    """(value, C / n) with C the cumulative counts: a uniform draw at C(j-1) / n or above and below C(j) / n is level j,
+    so each level keeps its share. Of 0 and 1, 1 comes first: treated with a draw below n1 / n."""
+    ordered = levels[::-1] if [v for v, _ in levels] == [0, 1] else levels
+    total = sum(c for _, c in ordered)
+    out, acc = [], 0
+    for v, c in ordered:
+        acc += c
+        out.append((float(v), acc / total))
+    return out
+
+
 def placebo_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, exact: bool = False, rng: str = "md5") -> DataFrame:
     """R2 simulations: (sim, estimate) with the treatment replaced by a random placebo.
 
@@ -154,60 +188,25 @@ def placebo_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, exact: bool
     levels = None if exact else treatment_levels(df, spec)
     if levels is None:
         return permutation_sims(df, spec, n_sims, rng)
-    multi = [v for v, _ in levels] not in ([0, 1], [0.0, 1.0])
-    u = F.col("_draw_u")
-    if multi:
-        placebo = multilevel_placebo(levels, u)
-    else:
-        placebo = (u < F.lit(placebo_share(df, spec))).cast("int")
-    cols = {spec.treatment: placebo}
-    for c in spec.confounders:
-        cols[c] = _q(c)
-    cols[spec.outcome] = _q(spec.outcome)
-    names = list(cols)
-    base = moments(df.select("*", uniform(spec.id_col, SALT_PLACEBO, 0, rng).alias("_draw_u"), F.lit(0).alias("sim")), cols)
-    ex = explode_draws(df, spec.id_col, n_sims, SALT_PLACEBO, rng, "sim", "_draw_u")
-    per = weighted_moments_by(ex, cols, F.lit(1.0), "sim", base.mean)
-    rows = []
-    for s in range(n_sims):
-        m = per.get(s)
-        fit = solve_ols(m, spec.outcome, [c for c in names if c != spec.outcome]) if m else None
-        rows.append((s, float(fit.coef[fit.index(spec.treatment)]) if fit and fit.identified.get(spec.treatment) else None))
+    cols = {c: _q(c) for c in [*spec.confounders, spec.outcome]}
+    base, got = _drawn_sums(df, spec, cols, n_sims, rng, levels=cumulative_shares(levels))
+    rows = [(s, _effect(_one(base, PLACEBO, got[s]), spec.outcome, [PLACEBO, *spec.confounders], PLACEBO))
+            for s in range(n_sims)]
     return df.sparkSession.createDataFrame(rows, "sim int, estimate double")
 
 
 def joint_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, rng: str = "md5") -> tuple[DataFrame, DataFrame]:
-    """R1 and R2 from ONE exploded pass: per (row, simulation) both draws (the N(0,1) common cause and
-    the placebo) are computed and a single Gram over [T, X, W, P, Y] is aggregated per simulation; the
-    R1 model (T, X, W) and the R2 model (P, X) are sub-matrices of it. Same draws, same estimates as
+    """R1 and R2 from ONE pass: both draws of a row (the N(0,1) common cause and the placebo) are multiplied with the
+    model columns, whose own moments all simulations share. Same draws, same estimates as
     ``random_common_cause_sims`` and ``placebo_sims``, half the passes."""
-    from causeway.session import spread
     levels = treatment_levels(df, spec)
     if levels is None:
         return random_common_cause_sims(df, spec, n_sims, rng), permutation_sims(df, spec, n_sims, rng)
-    multi = [v for v, _ in levels] not in ([0, 1], [0.0, 1.0])
-    n = sum(c for _, c in levels)
-    u = F.col("_draw_u")
-    placebo = multilevel_placebo(levels, u) if multi else (u < F.lit(float(levels[-1][1]) / float(n))).cast("int")
-    cols = R.model_columns(spec)
-    y = cols.pop(spec.outcome)
-    cols[W_COL] = F.col("_draw_w")
-    cols[PLACEBO] = placebo
-    cols[spec.outcome] = y
-    names = list(cols)
-    base = moments(df.select("*", F.lit(0.0).alias("_draw_w"), F.lit(0.5).alias("_draw_u")), cols)
-    ex = spread(df).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim"))
-    ex = ex.withColumn("_draw_w", standard_normal(spec.id_col, F.col("sim"), rng)) \
-           .withColumn("_draw_u", uniform(spec.id_col, SALT_PLACEBO, F.col("sim"), rng))
-    per = weighted_moments_by(ex, cols, F.lit(1.0), "sim", base.mean)
+    base, got = _drawn_sums(df, spec, R.model_columns(spec), n_sims, rng, causes=True, levels=cumulative_shares(levels))
     xs = list(spec.confounders)
-    r1, r2 = [], []
-    for s in range(n_sims):
-        m = per.get(s)
-        f1 = solve_ols(m, spec.outcome, [spec.treatment, *xs, W_COL]) if m else None
-        f2 = solve_ols(m, spec.outcome, [PLACEBO, *xs]) if m else None
-        r1.append((s, float(f1.coef[f1.index(spec.treatment)]) if f1 and f1.identified.get(spec.treatment) else None))
-        r2.append((s, float(f2.coef[f2.index(PLACEBO)]) if f2 and f2.identified.get(PLACEBO) else None))
+    r1 = [(s, _effect(_one(base, W_COL, got[s]), spec.outcome, [spec.treatment, *xs, W_COL], spec.treatment))
+          for s in range(n_sims)]
+    r2 = [(s, _effect(_one(base, PLACEBO, got[s], 1), spec.outcome, [PLACEBO, *xs], PLACEBO)) for s in range(n_sims)]
     sp = df.sparkSession
     return sp.createDataFrame(r1, "sim int, estimate double"), sp.createDataFrame(r2, "sim int, estimate double")
 
