@@ -1,32 +1,28 @@
 """Propensity score matching, one nearest neighbour on the score, without a cross join.
 
-1. Rows collapse to (score, arm) groups: counts and outcome sums. Ties disappear here, so a hot
-   score (a third of the table on one value) is one row.
-2. Distinct scores are cut into range buckets at approximate quantiles of the distinct scores,
-   so buckets hold similar numbers of distinct scores.
-3. Within a bucket, a window ordered by score finds the nearest opposite-arm score below and
-   above (``last`` / ``first`` with ``ignorenulls`` over range frames; equal scores are peers).
-4. A per-bucket edge table (one row per bucket, at most MAX_BUCKETS) carries the nearest
-   opposite-arm score across empty bucket ends; it is broadcast back.
-5. The nearer side wins; on an exact tie both sides are pooled (mean of all equally near
-   units). Matched outcome means come from an equi-join on the score.
-ATT matches treated to controls, ATC controls to treated; ATE = (n1 ATT + n0 ATC) / n.
+1. Rows collapse to (score, arm) groups, then to one row a score with the counts and outcome sums of both arms. Ties
+   disappear here, so a hot score (a third of the table on one value) is one row.
+2. The scores are sorted once (Spark's range partitions) and stored.
+3. Within a partition, windows ordered by score carry the nearest (score, n, sum) of each arm from below and above
+   (``last`` with ``ignorenulls``; both frames grow from the start of their order).
+4. A table of a row for each partition carries each arm's last and first score across the partitions' borders.
+5. The nearer side wins; on an exact tie both sides are pooled (mean of all equally near units). The outcomes travel with
+   the scores: nothing is joined back, and no number of buckets is set.
+ATT matches treated to controls, ATC controls to treated; ATE = (n1 ATT + n0 ATC) / n. Bootstrap replicates are matched
+together, with the replicate ahead of the score in every order.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.operators.complete import usable_rows
 from causeway.operators.propensity import propensity_scores
 from causeway.operators.regression import estimate_df
+from causeway.session import materialize
 from causeway.spec import CausalSpec
 
-MAX_BUCKETS = 100_000  # edge table <= 100k rows (a few MB): broadcastable, one small window
-SCORES_PER_BUCKET = 2048
-
 
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
@@ -39,64 +35,51 @@ def score_groups(df: DataFrame, spec: CausalSpec, ps: str = "ps", weight_col: st
               .agg(F.sum(w).alias("n"), F.sum(w * _q(spec.outcome).cast("double")).alias("sy")))
 
 
-def _buckets(groups: DataFrame) -> DataFrame:
-    n_distinct = groups.select("s").distinct().count()
-    k = max(1, min(MAX_BUCKETS, n_distinct // SCORES_PER_BUCKET))
-    if k == 1:
-        return groups.withColumn("b", F.lit(0.0))
-    qs = [i / k for i in range(1, k)]
-    accuracy = max(10000, 10 * k)
-    edges = groups.select("s").distinct().agg(F.percentile_approx("s", qs, accuracy).alias("e")).collect()[0]["e"]
-    splits = [float("-inf")] + sorted(set(float(e) for e in edges)) + [float("inf")]
-    return Bucketizer(splits=splits, inputCol="s", outputCol="b").transform(groups)
-
-
-def matched_effects(groups: DataFrame, bucketed: DataFrame | None = None) -> dict[int, tuple[float, float]]:
-    """Both directions in one pass: {1: (ATT, n1), 0: (ATC, n0)}.
-
-    Per unit of the from-arm: own outcome minus the mean outcome of the nearest opposite-arm
-    units. One window pass gives the nearest score of each arm below and above every row; one
-    edge table carries them across buckets; one join fetches the matched outcomes.
-    """
-    g = bucketed if bucketed is not None else _buckets(groups)
-    arm_s = {a: F.when(F.col("arm") == a, F.col("s")) for a in (0, 1)}
-    w = Window.partitionBy("b").orderBy("s")
-    # both frames grow from the start of their order, so a bucket costs one pass each way, however many scores it holds
-    down = Window.partitionBy("b").orderBy(F.desc("s"))
-    below, above = (x.rangeBetween(Window.unboundedPreceding, Window.currentRow) for x in (w, down))
-    g = g.select("*", *[F.last(arm_s[a], ignorenulls=True).over(below).alias(f"prev{a}") for a in (0, 1)],
-                 *[F.last(arm_s[a], ignorenulls=True).over(above).alias(f"next{a}") for a in (0, 1)])
-    edges = g.groupBy("b").agg(*[F.max(arm_s[a]).alias(f"hi{a}") for a in (0, 1)],
-                               *[F.min(arm_s[a]).alias(f"lo{a}") for a in (0, 1)])
-    we = Window.orderBy("b")  # one row per bucket: at most MAX_BUCKETS rows, so one partition is fine
-    edges = edges.select("b", *[F.max(f"hi{a}").over(we.rowsBetween(Window.unboundedPreceding, -1)).alias(f"cprev{a}")
-                                for a in (0, 1)],
-                         *[F.min(f"lo{a}").over(we.rowsBetween(1, Window.unboundedFollowing)).alias(f"cnext{a}")
-                           for a in (0, 1)])
-    src = g.join(F.broadcast(edges), "b")
-    from_treated = F.col("arm") == 1  # treated rows look for controls (arm 0), controls for treated
-    prev = F.when(from_treated, F.coalesce("prev0", "cprev0")).otherwise(F.coalesce("prev1", "cprev1"))
-    nxt = F.when(from_treated, F.coalesce("next0", "cnext0")).otherwise(F.coalesce("next1", "cnext1"))
-    dp, dn = F.col("s") - prev, nxt - F.col("s")
-    use_prev = prev.isNotNull() & (nxt.isNull() | (dp <= dn))
-    use_next = nxt.isNotNull() & (prev.isNull() | (dn <= dp))
-    matched = F.array_distinct(F.array_compact(F.array(F.when(use_prev, prev), F.when(use_next, nxt))))
-    src = src.select(F.col("arm"), F.col("s").alias("fs"), F.col("n").alias("fn"), F.col("sy").alias("fsy"),
-                     (F.lit(1) - F.col("arm")).alias("to_arm"), F.explode(matched).alias("ms"))
-    to = groups.select(F.col("arm").alias("to_arm"), F.col("s").alias("ms"), F.col("n").alias("mn"),
-                       F.col("sy").alias("msy"))
-    per = (src.join(to, ["to_arm", "ms"]).groupBy("arm", "fs", "fn", "fsy")
-              .agg((F.sum("msy") / F.sum("mn")).alias("ym")))
-    res = {r["arm"]: r for r in per.groupBy("arm").agg(F.sum(F.col("fsy") - F.col("fn") * F.col("ym")).alias("num"),
-                                                       F.sum("fn").alias("cnt")).collect()}
-    if set(res) != {0, 1}:
+def _placed(groups: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each score: ``a0`` and ``a1`` are (s, n, sy) of an arm, null without units; ``part`` numbers the
+    range partitions of the order (by, s)."""
+    scores = groups.groupBy(*by, "s").agg(
+        *[F.sum(F.when(F.col("arm") == a, F.col(c))).alias(f"{c}{a}") for a in (0, 1) for c in ("n", "sy")])
+    arm = [F.when(F.col(f"n{a}") > 0, F.struct("s", F.col(f"n{a}").alias("n"), F.col(f"sy{a}").alias("sy"))).alias(f"a{a}")
+           for a in (0, 1)]
+    return materialize(scores.select(*by, "s", *arm).orderBy(*by, "s").withColumn("part", F.spark_partition_id()))
+
+
+def matched_sums(groups: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """For each ``by`` (all groups together without): ``cnt1``, ``num1`` (units of the treated arm, sum of own minus
+    matched outcomes), ``cnt0``, ``num0`` (of the controls); a sum is null where the other arm is empty."""
+    by = list(by)
+    g = _placed(groups, by)
+    arms = ("a0", "a1")
+    edges = g.groupBy(*by, "part").agg(*[F.max(a).alias(f"last_{a}") for a in arms], *[F.min(a).alias(f"first_{a}") for a in arms])
+    over = Window.partitionBy(*by).orderBy("part")  # a row for each partition of the sort (and replicate)
+    edges = edges.select(
+        *[F.col(k).alias(f"_{k}") for k in [*by, "part"]],
+        *[F.last(f"last_{a}", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias(f"before_{a}") for a in arms],
+        *[F.first(f"first_{a}", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias(f"after_{a}") for a in arms])
+    up, down = (Window.partitionBy("part", *by).orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                for o in (F.asc("s"), F.desc("s")))
+    g = g.select("*", *[F.last(a, ignorenulls=True).over(w).alias(f"{side}_{a}") for a in arms for side, w in (("lo", up), ("hi", down))])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*by, "part"]]
+    g = g.join(F.broadcast(edges), same)
+    out = []
+    for own, other in (("a1", "a0"), ("a0", "a1")):
+        lo, hi = F.coalesce(f"lo_{other}", f"before_{other}"), F.coalesce(f"hi_{other}", f"after_{other}")
+        below, above = F.col("s") - lo["s"], hi["s"] - F.col("s")
+        mean = (F.when(hi.isNull() | (below < above) | (lo["s"] == hi["s"]), lo["sy"] / lo["n"])
+                 .when(lo.isNull() | (above < below), hi["sy"] / hi["n"])
+                 .otherwise((lo["sy"] + hi["sy"]) / (lo["n"] + hi["n"])))
+        k = own[1]
+        out += [F.sum(F.col(own)["n"]).alias(f"cnt{k}"), F.sum(F.col(own)["sy"] - F.col(own)["n"] * mean).alias(f"num{k}")]
+    return g.groupBy(*by).agg(*out)
+
+
+def matched_effects(groups: DataFrame) -> dict[int, tuple[float, float]]:
+    """Both directions in one pass: {1: (ATT, n1), 0: (ATC, n0)}."""
+    r = matched_sums(groups).first()
+    if r is None or not r["cnt1"] or not r["cnt0"]:
         raise ValueError("no units to match (one arm is empty)")
-    return {a: ((1.0 if a == 1 else -1.0) * res[a]["num"] / res[a]["cnt"], float(res[a]["cnt"])) for a in (0, 1)}
-
-
-def matched_effect(groups: DataFrame, from_arm: int, bucketed: DataFrame | None = None) -> tuple[float, float]:
-    """One direction: ATT for ``from_arm=1``, ATC for 0 (see ``matched_effects``)."""
-    return matched_effects(groups, bucketed)[from_arm]
+    return {a: ((1.0 if a == 1 else -1.0) * r[f"num{a}"] / r[f"cnt{a}"], float(r[f"cnt{a}"])) for a in (0, 1)}
 
 
 def psm_effects(df: DataFrame, spec: CausalSpec, provider: str = "stratified", cells: list[str] | None = None,
@@ -104,14 +87,8 @@ def psm_effects(df: DataFrame, spec: CausalSpec, provider: str = "stratified", c
     df = usable_rows(df, spec, missing)
     scored = (propensity_scores(df, spec, provider, cells, out=ps, weight_col=weight_col)
               if ps not in df.columns else df)
-    groups = score_groups(scored, spec, ps, weight_col).cache()
-    bucketed = _buckets(groups).cache()
-    try:
-        both = matched_effects(groups, bucketed)
-        (att, n1), (atc, n0) = both[1], both[0]
-    finally:
-        bucketed.unpersist()
-        groups.unpersist()
+    both = matched_effects(score_groups(scored, spec, ps, weight_col))
+    (att, n1), (atc, n0) = both[1], both[0]
     return dict(att=att, atc=atc, ate=(n1 * att + n0 * atc) / (n1 + n0), n1=n1, n0=n0)
 
 

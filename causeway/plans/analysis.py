@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.operators import cell_bootstrap as CB
 from causeway.operators import hte as G
 from causeway.operators import inference as U
 from causeway.operators import learners as L
@@ -106,7 +107,12 @@ def analyze(df: DataFrame, spec: CausalSpec, method: str | Method = "ols", *, st
         se = lo = hi = None
         src = "none"
         if bootstrap:
-            boot = U.generic_bootstrap(d, spec, lambda x, w: est(x, w), bootstrap, rng)
+            if provider == "stratified":
+                keys = cells or list(spec.confounders)
+                boot = (CB.bootstrap_psm(d, spec, keys, bootstrap, rng=rng) if method is Method.PSM
+                        else CB.bootstrap_iptw(d, spec, keys, bootstrap, weighting, rng=rng))
+            else:
+                boot = U.generic_bootstrap(d, spec, lambda x, w: est(x, w), bootstrap, rng)
             out["bootstrap"] = boot
             _, se, lo, hi = U.summarize(boot)
             src = "bootstrap"
@@ -147,7 +153,8 @@ def analyze(df: DataFrame, spec: CausalSpec, method: str | Method = "ols", *, st
             se = lo = hi = None
             src = "none"
             if bootstrap:
-                boot = U.generic_bootstrap(d, spec, lambda x, w: L.ate_from_ite(fn(x, spec, lrn, w), w), bootstrap, rng)
+                boot = (CB.bootstrap_cell_mean(d, spec, list(lrn.cells), bootstrap, rng) if isinstance(lrn, L.CellMean)
+                        else U.generic_bootstrap(d, spec, lambda x, w: L.ate_from_ite(fn(x, spec, lrn, w), w), bootstrap, rng))
                 out["bootstrap"] = boot
                 _, se, lo, hi = U.summarize(boot)
                 src = "bootstrap"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from causeway.functions.hashing import SALT_BOOTSTRAP, poisson1_weight_sql, uniform_sql
+from causeway.operators import cell_bootstrap as CB
 from causeway.operators import hte as G
 from causeway.operators import matching as M
 from causeway.operators import propensity as P
@@ -139,3 +141,52 @@ def e11_iptw_missing(spark, sf_dir):
 @register("e11_iptw_logistic")
 def e11_iptw_logistic(spark, sf_dir):
     return P.estimate_iptw(orders_causal(spark, sf_dir), SPEC_PS, "logistic", weighting="hajek")
+
+
+# ---- U1 for E10-E13 on confounder cells -----------------------------------------------------------
+
+B_CELLS = 50
+_CELL_REPS_SQL = f"""
+bw AS (SELECT oc.*, CAST(r.range AS INTEGER) AS rep, {poisson1_weight_sql(uniform_sql('id', SALT_BOOTSTRAP, 'rep'))} AS w
+       FROM oc CROSS JOIN range({B_CELLS}) r),
+cw AS (SELECT rep, seg, x1_band, sum(w * (1 - tc))::DOUBLE AS n0, sum(w * (1 - tc) * y_planted) AS y0, sum(w * tc)::DOUBLE AS n1,
+              sum(w * tc * y_planted) AS y1 FROM bw GROUP BY rep, seg, x1_band HAVING sum(w) > 0),
+ce AS (SELECT *, n1 / (n0 + n1) AS e FROM cw)"""
+
+
+@register("u1_bootstrap_iptw", with_oc("""
+SELECT CAST(r.range AS INTEGER) AS rep, round(ht, 6) AS ate_ht, round(hajek, 6) AS ate_hajek FROM range(50) r LEFT JOIN (
+  SELECT rep, (sum(y1 / e) - sum(y0 / (1 - e))) / sum(n0 + n1) AS ht,
+         sum(y1 / e) / sum(n1 / e) - sum(y0 / (1 - e)) / sum(n0 / (1 - e)) AS hajek
+  FROM ce GROUP BY rep HAVING bool_and(n0 > 0 AND n1 > 0)) x ON x.rep = r.range""", _CELL_REPS_SQL))
+def u1_bootstrap_iptw(spark, sf_dir):
+    oc = orders_causal(spark, sf_dir)
+    ht, hajek = (CB.bootstrap_iptw(oc, SPEC_PS, CELLS, B_CELLS, w).withColumnRenamed("estimate", f"ate_{w}") for w in ("ht", "hajek"))
+    return rnd(ht.join(hajek, "rep"), 6)
+
+
+_PSM_REPS_SQL = """
+sc AS (SELECT rep, e, sum(n0) AS n0, sum(y0) AS y0, sum(n1) AS n1, sum(y1) AS y1 FROM ce GROUP BY rep, e),
+p1 AS (SELECT a.rep, a.e, min(abs(a.e - b.e)) AS d FROM sc a JOIN sc b ON a.rep = b.rep AND a.n1 > 0 AND b.n0 > 0 GROUP BY a.rep, a.e),
+p0 AS (SELECT a.rep, a.e, min(abs(a.e - b.e)) AS d FROM sc a JOIN sc b ON a.rep = b.rep AND a.n0 > 0 AND b.n1 > 0 GROUP BY a.rep, a.e),
+q1 AS (SELECT a.rep, a.e, any_value(a.n1) AS n, any_value(a.y1) AS y, sum(b.y0) / sum(b.n0) AS m FROM sc a JOIN p1 USING (rep, e)
+       JOIN sc b ON a.rep = b.rep AND b.n0 > 0 AND abs(a.e - b.e) = p1.d GROUP BY a.rep, a.e),
+q0 AS (SELECT a.rep, a.e, any_value(a.n0) AS n, any_value(a.y0) AS y, sum(b.y1) / sum(b.n1) AS m FROM sc a JOIN p0 USING (rep, e)
+       JOIN sc b ON a.rep = b.rep AND b.n1 > 0 AND abs(a.e - b.e) = p0.d GROUP BY a.rep, a.e),
+s1 AS (SELECT rep, sum(y - n * m) AS num, sum(n) AS cnt FROM q1 GROUP BY rep),
+s0 AS (SELECT rep, sum(y - n * m) AS num, sum(n) AS cnt FROM q0 GROUP BY rep)"""
+
+
+@register("u1_bootstrap_psm", with_oc("""
+SELECT CAST(r.range AS INTEGER) AS rep, round((s1.num - s0.num) / (s1.cnt + s0.cnt), 6) AS estimate
+FROM range(50) r LEFT JOIN s1 ON s1.rep = r.range LEFT JOIN s0 ON s0.rep = r.range""", _CELL_REPS_SQL, _PSM_REPS_SQL))
+def u1_bootstrap_psm(spark, sf_dir):
+    return rnd(CB.bootstrap_psm(orders_causal(spark, sf_dir), SPEC_PS, CELLS, B_CELLS), 6)
+
+
+@register("u1_bootstrap_cell_mean", with_oc("""
+SELECT rep, round(sum((n0 + n1) * (CASE WHEN n1 > 0 THEN y1 / n1 ELSE g1 END - CASE WHEN n0 > 0 THEN y0 / n0 ELSE g0 END))
+                  / sum(n0 + n1), 6) AS estimate
+FROM cw JOIN (SELECT rep, sum(y1) / sum(n1) AS g1, sum(y0) / sum(n0) AS g0 FROM cw GROUP BY rep) USING (rep) GROUP BY rep""", _CELL_REPS_SQL))
+def u1_bootstrap_cell_mean(spark, sf_dir):
+    return rnd(CB.bootstrap_cell_mean(orders_causal(spark, sf_dir), SPEC_PS, CELLS, B_CELLS), 6)

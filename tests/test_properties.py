@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions.quantiles import exact_quantiles
@@ -89,15 +90,24 @@ def _brute_force(groups: pd.DataFrame, from_arm: int) -> float:
     return (1 if from_arm == 1 else -1) * num / cnt
 
 
-def test_matching_many_buckets_equals_brute_force(oc_small, monkeypatch):
+@pytest.mark.parametrize("parts", [1, 40])
+def test_matching_over_range_partitions_equals_brute_force(oc_small, parts):
     spec = CausalSpec("tc", "y_planted", ("x1", "x2"))
     scored = P.propensity_scores(oc_small, spec, "logistic")
     groups = M.score_groups(scored, spec)
-    monkeypatch.setattr(M, "SCORES_PER_BUCKET", 16)
     pg = groups.toPandas()
+    conf = oc_small.sparkSession.conf
+    before = {k: conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        conf.set("spark.sql.shuffle.partitions", str(parts))
+        conf.set("spark.sql.adaptive.enabled", "false")
+        assert M._placed(groups, []).agg(F.count_distinct("part")).first()[0] == parts
+        both = M.matched_effects(groups)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
     for arm in (1, 0):
-        got, _ = M.matched_effect(groups, arm)
-        assert np.isclose(got, _brute_force(pg, arm), rtol=1e-9)
+        assert np.isclose(both[arm][0], _brute_force(pg, arm), rtol=1e-9)
 
 
 def test_matching_all_scores_tied(oc_small):

@@ -65,3 +65,28 @@ def test_no_row_is_exploded_and_counts_are_drawn_once(spark):
             mu = 1 / (1 + np.exp(-z @ beta))
             beta = beta + np.linalg.solve((z * (w * mu * (1 - mu))[:, None]).T @ z, z.T @ (w * (y - mu)))
         assert abs(beta[1] - logit[rep]) < 1e-7
+
+
+def test_cell_bootstraps_equal_refits_on_reweighted_rows(spark):
+    from causeway.operators import cell_bootstrap as CB
+    from causeway.operators import learners as L
+    from causeway.operators import matching as M
+    from causeway.operators import propensity as P
+    rows = [(i, int(i * 7919 % 10 < 4), float(i % 5) if i % 11 else None, float(i * 31 % 97)) for i in range(160)]
+    rows += [(500, 1, 77.0, 3.0), (501, 0, 78.0, 4.0)]  # cells of one arm
+    df = spark.createDataFrame(rows, "id long, t int, c double, y double")
+    spec, cells = CausalSpec("t", "y", ("c",), id_col="id"), ["c"]
+    got = {"psm": CB.bootstrap_psm(df, spec, cells, 6), "iptw": CB.bootstrap_iptw(df.where("id < 500"), spec, cells, 6, "hajek"),
+           "none": CB.bootstrap_iptw(df.where("id > 499"), spec, cells, 6), "clip": CB.bootstrap_iptw(df, spec, cells, 6, clip=(0.05, 0.95)),
+           "cells": CB.bootstrap_cell_mean(df, spec, cells, 6)}
+    fits = {"psm": (df, lambda x, w: M.psm_effects(x, spec, "stratified", cells, weight_col=w)["ate"]),
+            "iptw": (df.where("id < 500"), lambda x, w: P.iptw_effect(x, spec, "stratified", cells, "hajek", weight_col=w)),
+            "clip": (df, lambda x, w: P.iptw_effect(x, spec, "stratified", cells, "ht", (0.05, 0.95), weight_col=w)),
+            "cells": (df, lambda x, w: L.ate_from_ite(L.t_learner(x, spec, L.CellMean(("c",)), w), w))}
+    for name, (rows_, fit) in fits.items():
+        want = {r["rep"]: r["estimate"] for r in U.generic_bootstrap(rows_, spec, fit, 6).collect()}
+        have = {r["rep"]: r["estimate"] for r in got[name].collect()}
+        assert set(have) == set(want)
+        for rep, w in want.items():
+            assert (have[rep] is None) == (w is None) and (w is None or abs(have[rep] - w) < 1e-9), (name, rep, have[rep], w)
+    assert [r["estimate"] for r in got["none"].collect()] == [None] * 6
