@@ -6,20 +6,23 @@ JSON, XML, code, query strings, flags) is a part of its own, providers' keys are
 part. Behind a credential's name a value may be of any length and, if it is quoted, hold any marks; a URL's password needs
 no digit either. Short or plain values are masked only behind such a name. Each candidate gets features: length, shares of digits and capitals, runs of one character class for each character, mean log probability
 of its character transitions, coverage by dictionary words, its marks of a path, address or URL, and whether the words
-beside it (or the name before ``=`` or ``:``) speak of credentials or of checksums and examples. A forest trained on
-labelled findings rejects false positives; what it takes for a secret is replaced by MASK in the text.
+beside it (or the name before ``=`` or ``:``) speak of credentials or of checksums and examples, whether it has a provider's
+format, a credential's name assigns it, or it is an address or a number. Forests trained on labelled findings reject false
+positives; what they take for a secret is replaced by MASK in the text.
 
 Transitions and the dictionary are counted over all documents: a word is in the dictionary if it occurs DICTIONARY
-times or more. The forest is fitted on at most about SAMPLE labelled findings, half of them of each label (all of a label
-with fewer), drawn by hash and dealt by a fixed rule. It judges the others: a labelled finding keeps its label.
-Labelled findings are a parameter (columns value and label). Without them, ``format_labels`` labels the candidates
-whose format settles the matter (known providers' keys, and random strings assigned to a credential's name, against
-mail and network addresses, plain numbers and URLs); the forest then judges all others too. DataFrame and ML functions
-only, no Python on the executors.
+times or more. Forests are fitted on at most about SAMPLE labelled findings, half of them of each label (all of a label
+with fewer), drawn by hash and dealt by a fixed rule into two folds, value by value. The forest of each fold judges the
+other fold's findings, so no finding is judged by its own label; both judge, on average, what neither was fitted on.
+Labelled findings are a parameter (columns value and label); a caller's labels stand whatever the forests say. Without
+them, ``format_labels`` labels the candidates whose format settles the matter (known providers' keys, and random strings
+assigned to a credential's name, against mail and network addresses, plain numbers and URLs) to train on, and every
+candidate, those included, gets the forests' verdict. DataFrame and ML functions only, no Python on the executors.
 
 Edge cases: null and empty texts have no candidates and null stays null; rows that share an id share the findings of
 all of them; candidates of one text are distinct values; where only one label occurs there is no forest, and what is
-labelled 1 is a secret and nothing else; an empty table gives an empty result; further columns are ignored by ``scan``
+labelled 1 is a secret and nothing else; a finding whose judge would be fitted on fewer than FEWEST values of a label
+keeps its own label; an empty table gives an empty result; further columns are ignored by ``scan``
 and kept by ``masked``.
 """
 
@@ -28,7 +31,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.common import WORD, read, register, same, saved, text_or_empty
@@ -36,6 +39,7 @@ from causeway.llm.common import WORD, read, register, same, saved, text_or_empty
 LEAST = 12
 MASK = "[SECRET]"
 SAMPLE = 20_000
+FEWEST = 4
 DICTIONARY = 20
 DRAWS = 1 << 50
 TREES, DEPTH, PARTS, SEED = 20, 6, 8, 4
@@ -66,7 +70,8 @@ MARKS = "[\\s\"'`,;(){}\\[\\]<>?&|#]+"
 #: What stands before a value that is masked only in its place.
 LEAD = f"(?:{NAME}[\"'`\\]]*\\s*(?:=>|:=|[=:>])\\s*|{NAME}\\s+|://[^/?#@:\\s\"'`]*:)[^A-Za-z0-9+/\\s]{{0,8}}?"
 PLACEHOLDER = "^([$<{%*]|[xX]+$)"
-FEATURES = ("length", "digits", "capitals", "runs", "transitions", "coverage", "path", "credential", "harmless")
+FEATURES = ("length", "digits", "capitals", "runs", "transitions", "coverage", "path", "credential", "harmless", "provider",
+            "assigned", "address")
 
 
 def _random_like(value: Column) -> Column:
@@ -105,7 +110,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                              .when(F.col("core").rlike(first), F.regexp_extract("core", first, k)).otherwise(other))
     parts = parts.select("doc_id", part(2, F.col("core")).alias("value"), part(1, F.lit("")).alias("name"), "before")
     value, name = F.col("value"), F.col("name")
-    return (exact.unionByName(parts).where(_random_like(value) | (value.rlike(MIXED) & name.rlike(f"{NAME}$"))
+    return (exact.unionByName(parts).where(~(value.rlike(PLACEHOLDER) & (name.rlike(f"{NAME}$") | (name == URL_PASSWORD))))
+            .where(_random_like(value) | (value.rlike(MIXED) & name.rlike(f"{NAME}$"))
                                            | ((name == URL_PASSWORD) & (value != "")))
             .dropDuplicates(["doc_id", "value", "name", "before"]))
 
@@ -147,7 +153,9 @@ def featurise(found: DataFrame, words: DataFrame, chain: DataFrame) -> DataFrame
         (count("[A-Z]") / size).alias("capitals"), (count("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+") / size).alias("runs"),
         F.coalesce("transitions", F.lit(-9.0)).alias("transitions"),
         (F.coalesce("covered", F.lit(0)) / size).alias("coverage"), count("[/@:.]|%[0-9A-F]{2}").alias("path"),
-        says(CREDENTIAL).alias("credential"), says(HARMLESS).alias("harmless")))
+        says(CREDENTIAL).alias("credential"), says(HARMLESS).alias("harmless"), value.rlike(PROVIDERS).cast("double").alias("provider"),
+        (F.col("name").rlike(f"{NAME}$") | (F.col("name") == URL_PASSWORD)).cast("double").alias("assigned"),
+        value.rlike(ADDRESS).cast("double").alias("address")))
 
 
 def format_labels(features: DataFrame) -> DataFrame:
@@ -162,28 +170,38 @@ def format_labels(features: DataFrame) -> DataFrame:
     return features.select("value", label.alias("label")).where("label IS NOT NULL").distinct()
 
 
-def classify(features: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(value, name, before, probability, secret): the label of labelled findings (value, label), a forest fitted on
-    them for all others. Each label is drawn up to half of ``sample``, so all rows of a rare one are."""
+def classify(features: DataFrame, labelled: DataFrame, sample: int = SAMPLE, trusted: bool = True) -> DataFrame:
+    """(value, name, before, label, probability, secret): two forests fitted on labelled findings (value, label), each on
+    one fold of the values, judge each other's folds and, on average, all else; ``trusted`` labels stand. Each label is
+    drawn up to half of ``sample``, so all rows of a rare one are."""
     marked = labelled.where("label IN (0, 1)").groupBy("value").agg(F.max("label").cast("double").alias("label"))
-    known = features.join(marked, "value", "left")
+    known = features.join(marked, "value", "left").withColumn("of", F.xxhash64("value"))
     train = known.where("label IS NOT NULL")
     counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bound = lambda label: int(DRAWS * min(1.0, sample / 2 / counts.get(label, 1)))
+    # a bounded sample: its values are numbered by label, so that each fold gets half of a rare label
+    fold = F.dense_rank().over(Window.partitionBy("label").orderBy("of")) % 2
     drawn = saved(train.where(F.pmod("key", F.lit(DRAWS)) < F.when(F.col("label") == 1, bound(1.0)).otherwise(bound(0.0)))
-                  .select("key", "label", *FEATURES))
-    n = {r["label"]: r["n"] for r in drawn.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        p = F.coalesce("label", F.lit(0.0))
-        return known.select("value", "name", "before", p.alias("probability"), (p >= 0.5).alias("secret"))
+                  .select("key", "of", "label", fold.alias("fold"), *FEATURES))
+    n = {(r["fold"], r["label"]): r["n"] for r in drawn.groupBy("fold", "label").agg(F.count_distinct("of").alias("n")).collect()}
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    balance = F.when(F.col("label") == 1, n[0.0] / n[1.0]).otherwise(1.0)
-    # forests draw their samples by partition: deal the rows by a fixed rule
-    dealt = drawn.withColumn("weight", balance).repartition(PARTS, "key").sortWithinPartitions("key")
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight").fit(gather.transform(dealt))
-    judged = forest.transform(gather.transform(known))
-    p = F.coalesce("label", vector_to_array("probability")[1])
-    return judged.select("value", "name", "before", p.alias("probability"), (p >= 0.5).alias("secret"))
+    judged = gather.transform(known.join(F.broadcast(drawn.select("of", "fold").distinct()), "of", "left"))
+    p = []
+    for judge in (0, 1):
+        if min(n.get((judge, 0.0), 0), n.get((judge, 1.0), 0)) < FEWEST:
+            p.append(F.lit(None).cast("double"))
+            continue
+        balance = F.when(F.col("label") == 1, n[judge, 0.0] / n[judge, 1.0]).otherwise(1.0)
+        # forests draw their samples by partition: deal the rows by a fixed rule
+        dealt = drawn.where(F.col("fold") == judge).withColumn("weight", balance).repartition(PARTS, "key").sortWithinPartitions("key")
+        forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED + judge, weightCol="weight",
+                                        probabilityCol=f"p{judge}", rawPredictionCol=f"r{judge}", predictionCol=f"c{judge}")
+        judged = forest.fit(gather.transform(dealt)).transform(judged)
+        p.append(vector_to_array(f"p{judge}")[1])
+    both = F.coalesce((p[0] + p[1]) / 2, p[0], p[1])
+    verdict = F.when(F.col("fold") == 0, F.coalesce(p[1], "label")).when(F.col("fold") == 1, F.coalesce(p[0], "label")).otherwise(both)
+    verdict = F.coalesce("label" if trusted else verdict, verdict, "label", F.lit(0.0))
+    return judged.select("value", "name", "before", "label", verdict.alias("probability"), (verdict >= 0.5).alias("secret"))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +209,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     found = saved(candidates(docs, id_col, text_col))
     words = saved(dictionary(docs, text_col))
     features = saved(featurise(found, words, saved(transitions(words))))
-    judged = saved(classify(features, format_labels(features) if labelled is None else labelled))
+    judged = saved(classify(features, format_labels(features), trusted=False) if labelled is None else classify(features, labelled))
     taken = found.join(judged.where("secret").select("value", "name", "before", F.lit(True).alias("secret")),
                        ["value", "name", "before"], "left")
     longest = F.sort_array(F.collect_set(F.when(F.col("secret"), F.struct(F.length("value").alias("n"), "value"))), asc=False)
