@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,17 +97,34 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(_q(col)).distinct()
 
 
-def is_binary(df: DataFrame, col: str) -> bool:
-    """Exactly two distinct non-null values. min/max, then any row outside {min, max}; no distinct shuffle."""
-    r = df.agg(F.min(_q(col)).alias("lo"), F.max(_q(col)).alias("hi")).collect()[0]
-    if r["lo"] is None or r["lo"] == r["hi"]:
-        return False
-    return not df.where(_q(col).isNotNull() & ~_q(col).isin(r["lo"], r["hi"])).limit(1).collect()
+def binary_columns(df: DataFrame, cols: list[str]) -> dict[str, bool]:
+    """B7 for any number of columns in one job: which hold exactly two distinct values. A task keeps at most three
+    values of a column, so no column's distinct values are shuffled. Null and NaN are missing; -0.0 is 0.0."""
+    def value(c: str) -> Column:
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            return F.when(~F.isnan(_q(c)), _q(c) + F.lit(0.0)).cast("string")
+        return _q(c).cast("string")
+
+    def run(batches):
+        kept = [set() for _ in cols]
+        for b in batches:
+            for i, seen in enumerate(kept):
+                if len(seen) < 3:
+                    seen.update(pc.unique(b.column(i)).slice(0, 4).to_pylist())
+                    seen.discard(None)
+        pairs = [(i, v) for i, seen in enumerate(kept) for v in sorted(seen)[:3]]
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int32()),
+                                              pa.array([v for _, v in pairs], pa.string())], names=["i", "v"])
 
+    few = df.select(*[value(c).alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, "i int, v string")
+    n = {r["i"]: r["n"] for r in few.groupBy("i").agg(F.count_distinct("v").alias("n")).collect()}
+    return {c: n.get(i, 0) == 2 for i, c in enumerate(cols)}
 
-def is_binary_df(df: DataFrame, col: str) -> DataFrame:
-    """B7 as a one-row frame (column, is_binary); same two light jobs, answer as a frame."""
-    return df.sparkSession.createDataFrame([(col, is_binary(df, col))], "column string, is_binary boolean")
+
+def is_binary(df: DataFrame, col: str) -> bool:
+    """Exactly two distinct values."""
+    return binary_columns(df, [col])[col]
 
 
 def add_interactions(df: DataFrame, pairs: list[tuple[str, ...]]) -> DataFrame:

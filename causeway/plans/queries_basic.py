@@ -43,6 +43,19 @@ def a1_read_csv_infer(spark, sf_dir):
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in src.schema.fields])
 
 
+_WHOLE = "SELECT '{c}' AS \"column\", CASE WHEN max(abs({c})) < 2147483648 THEN 'int' ELSE 'bigint' END AS type FROM customer"
+
+
+@register("a1_csv_inferred_types", " UNION ALL ".join([
+    *[_WHOLE.format(c=c) for c in ("c_custkey", "c_nationkey")],
+    *[f"SELECT '{c}', '{t}'" for c, t in (("c_name", "string"), ("c_acctbal", "double"), ("c_mktsegment", "string"))]]))
+def a1_csv_inferred_types(spark, sf_dir):
+    path = scratch_path(spark, "a1-customer-types")
+    A.write_csv(A.read_table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", "c_name", "c_acctbal", "c_mktsegment"), path)
+    return spark.createDataFrame(A.read_csv(spark, path).dtypes, "column string, type string")
+
+
 @register("a2_write_csv_roundtrip", with_oc(f"SELECT {OC_COLS}, round(y_planted, 4) AS y_planted FROM oc"))
 def a2_write_csv_roundtrip(spark, sf_dir):
     oc = orders_causal(spark, sf_dir).select(*[c.strip() for c in OC_COLS.split(",")], "y_planted")
@@ -115,7 +128,7 @@ _B7_COLS = ("yb", "t", "x2", "post", "prio", "seg", "x1")
     f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) = 2 AS is_binary FROM oc" for c in _B7_COLS)))
 def b7_is_binary(spark, sf_dir):
     oc = orders_causal(spark, sf_dir)
-    rows = [(c, B.is_binary(oc, c)) for c in _B7_COLS]
+    rows = list(B.binary_columns(oc, _B7_COLS).items())
     return spark.createDataFrame(rows, "column string, is_binary boolean")
 
 

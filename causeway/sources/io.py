@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from causeway.sources.records import records
+
 # Text tokens pandas' CSV reader treats as missing by default.
 MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                   "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -24,15 +26,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              normalize: bool = True) -> DataFrame:
-    """A1: header row; quotes are doubled inside quoted fields, which may hold line feeds. Without a schema the types
-    are inferred in one extra pass, after missing tokens have become null, so a number column with ``NA`` stays one."""
-    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').option("multiLine", True)
-    if schema is not None:
-        df = reader.schema(schema).csv(path)
-        return normalize_missing(df) if normalize else df
-    text = reader.option("inferSchema", False).csv(path)
-    text = normalize_missing(text) if normalize else text
-    return normalize_missing(cast_inferred(text)) if normalize else cast_inferred(text)
+    """A1: header row in every file; quotes are doubled inside quoted fields, which may hold line feeds, and files are
+    read by many tasks all the same (``records``). Without a schema the types are inferred in one extra pass, after
+    missing tokens have become null, so a number column with ``NA`` stays one."""
+    if schema is None:
+        header = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        text = _parsed(spark, path, schema)
+        text = normalize_missing(text) if normalize else text
+        return normalize_missing(cast_inferred(text)) if normalize else cast_inferred(text)
+    df = _parsed(spark, path, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    return normalize_missing(df) if normalize else df
+
+
+def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+    row = F.from_csv("record", ddl, {"escape": '"', "mode": "FAILFAST", "multiLine": "true"})
+    return records(spark, path).select(row.alias("r")).select("r.*")
 
 
 # Types tried for a text column, narrowest first.
