@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from causeway import spec as S
 from causeway.functions import stats
-from causeway.functions.hashing import (SALT_BOOTSTRAP, explode_draws, poisson1_thresholds, poisson1_weight,
+from causeway.functions.hashing import (SALT_BOOTSTRAP, explode_draws, poisson1_weight,
                                         uniform)
 from causeway.operators import regression as R
 from causeway.operators.moments import centred_moments, moments, solve_ols

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from causeway import spec as S
 from causeway.functions import stats
-from causeway.functions.hashing import SALT_COMMON_CAUSE_A, SALT_COMMON_CAUSE_B, SALT_PLACEBO, draw_key, uniform
+from causeway.functions.hashing import (SALT_COMMON_CAUSE_A, SALT_COMMON_CAUSE_B, SALT_PLACEBO, draw_key, standard_normal,
+                                         uniform)
 from causeway.functions.ranks import ranked
 from causeway.operators import regression as R
 from causeway.operators.complete import absent
