@@ -99,7 +99,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     start = F.col("start") + F.col("ahead")
     whole = lambda at: F.floor(F.col("rate") * at + F.lit(0.5))
     dealt = saved(dealt.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("p"), "n",
-                             "source_size", "target", (whole(start + F.col("n")) - whole(start)).alias("copies_of_cell")))
+                             "source_size", "target", # a rate a hair above a cap never deals a document one copy more than it
+                             F.least(whole(start + F.col("n")) - whole(start), F.floor(F.lit(most)) * F.col("n")).alias("copies_of_cell")))
     turn = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("draw", "doc_id"))
     each = sizes.withColumn("turn", turn).join(
         dealt, same(F.col("source"), F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("p")))
@@ -112,11 +113,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents of the mix with all their columns: each as often as its copies. Rows that share an id are each
     taken as often as the most taken of them."""
-    copies = (mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id"))
-              .agg(F.max("copies").alias("_copies")))
-    joined = docs.join(copies.where("_copies > 0"), same(docs[id_col], F.col("_id")))
-    return (joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-            .drop("_id", "_copies", "_copy"))
+    copies = (mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_mix_id"))
+              .agg(F.max("copies").alias("_mix_copies")))
+    joined = docs.join(copies.where("_mix_copies > 0"), same(docs[id_col], F.col("_mix_id")))
+    each = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_copy")
+    return joined.select(*[docs[c] for c in docs.columns], each).drop("_mix_copy")
 
 
 @register("op8_source_mix")

@@ -70,3 +70,13 @@ def test_applied_mix_repeats_documents(spark):
     for r in out.collect():
         got[r.doc_id] += 1
     assert dict(got) == {k: v for k, v in copies.items() if v}
+
+
+def test_a_callers_columns_stay_and_no_copy_exceeds_the_cap(spark):
+    rows = [(i, f"s{i % 2}", "word " * (1 + i % 3), i, i, i) for i in range(400)] + [(1000 + i, "t", "a b", 0, 0, 0) for i in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _id long, _copies long, _copy long")
+    out = M.apply_mix(docs)
+    assert out.columns == docs.columns
+    assert all(r._id == r._copies == r._copy == (r.doc_id if r.doc_id < 1000 else 0) for r in out.collect())
+    got = M.mix(docs, weights=(1.0, 1.0, 1000.0)).collect()
+    assert max(r.copies for r in got) == 3 and all(r.copies == 3 for r in got if r.source == "t")
