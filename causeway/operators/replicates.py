@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions.digests import digest_words
 from causeway.functions.hashing import (SALT_COMMON_CAUSE_A, SALT_COMMON_CAUSE_B, TWO_32, TWO_53, poisson1_thresholds)
 from causeway.session import spread
 
@@ -37,16 +37,14 @@ def key_columns(id_col: str, rng: str, salts: tuple[str, ...]) -> list[Column]:
     raise ValueError(f"unknown rng {rng!r}")
 
 
-def _digests(ids: list[str | None], salt: str, n: int) -> np.ndarray:
-    """(rows, n, 4): the digests' 32-bit words. A missing id leaves only salt and replicate, as concat_ws does."""
-    tails = [f"{salt}-{r}".encode() for r in range(n)]
-    keys = [b"" if i is None else i.encode() + b"-" for i in ids]
-    return np.frombuffer(b"".join([md5(k + t).digest() for k in keys for t in tails]), ">u4").reshape(len(keys), n, 4)
+def _digests(ids: list[str | None], salt: str, sims: range, words: int) -> np.ndarray:
+    """(words, rows, n): the digests' first 32-bit words. A missing id leaves only salt and replicate, as concat_ws does."""
+    return digest_words([b"" if i is None else i.encode() + b"-" for i in ids], [f"{salt}-{r}".encode() for r in sims], words)
 
 
-def _hashed(seed: np.ndarray, n: int) -> np.ndarray:
-    """(rows, n): 64-bit xxHash of the 32-bit number 0..n-1 after ``seed``."""
-    h = (seed.view(np.uint64) + _P5 + np.uint64(4))[:, None] ^ (np.arange(n, dtype=np.uint64) * _P1)[None, :]
+def _hashed(seed: np.ndarray, sims: range) -> np.ndarray:
+    """(rows, n): 64-bit xxHash of the 32-bit numbers ``sims`` after ``seed``."""
+    h = (seed.view(np.uint64) + _P5 + np.uint64(4))[:, None] ^ (np.arange(sims.start, sims.stop, dtype=np.uint64) * _P1)[None, :]
     h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * _P2 + _P3
     h = (h ^ (h >> np.uint64(33))) * _P2
     h = (h ^ (h >> np.uint64(29))) * _P3
@@ -54,21 +52,27 @@ def _hashed(seed: np.ndarray, n: int) -> np.ndarray:
 
 
 class Drawn:
-    """The draws of a slice of rows: matrices (rows, n)."""
+    """The draws of a slice of rows: matrices (rows, n), of the replicates 0..n-1 or of a range of them."""
 
-    def __init__(self, keys: list[pa.Array], n: int, rng: str, salts: tuple[str, ...]):
-        self.n, self.rng, self.salts = n, rng, salts
+    def __init__(self, keys: list[pa.Array], n: int | range, rng: str, salts: tuple[str, ...]):
+        self.sims, self.rng, self.salts = range(n) if isinstance(n, int) else n, rng, salts
         self.keys = keys[0].to_pylist() if rng == "md5" else [k.to_numpy(zero_copy_only=False) for k in keys]
 
     def uniform(self, salt: str) -> np.ndarray:
         if self.rng == "md5":
-            return _digests(self.keys, salt, self.n)[:, :, 0] / TWO_32
-        return (_hashed(self.keys[self.salts.index(salt)], self.n) & np.uint64((1 << 53) - 1)) / TWO_53
+            return _digests(self.keys, salt, self.sims, 1)[0] / TWO_32
+        return (_hashed(self.keys[self.salts.index(salt)], self.sims) & np.uint64((1 << 53) - 1)) / TWO_53
+
+    def order(self, salt: str) -> np.ndarray:
+        """64 bits whose order as unsigned numbers is that of ``hashing.draw_key`` (md5: of the digests themselves)."""
+        if self.rng == "md5":
+            words = _digests(self.keys, salt, self.sims, 2).astype(np.uint64)
+            return (words[0] << np.uint64(32)) | words[1]
+        return _hashed(self.keys[self.salts.index(salt)], self.sims) ^ np.uint64(1 << 63)
 
     def normal(self) -> np.ndarray:
         if self.rng == "md5":
-            words = _digests(self.keys, SALT_COMMON_CAUSE_A, self.n)
-            u1, u2 = words[:, :, 0] / TWO_32, words[:, :, 1] / TWO_32
+            u1, u2 = _digests(self.keys, SALT_COMMON_CAUSE_A, self.sims, 2) / TWO_32
         else:
             u1, u2 = self.uniform(SALT_COMMON_CAUSE_A), self.uniform(SALT_COMMON_CAUSE_B)
         return np.sqrt(-2.0 * np.log(1.0 - u1)) * np.cos(2 * math.pi * u2)
