@@ -14,6 +14,7 @@ Passed = p > 0.05.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,8 @@ from causeway.functions.hashing import (SALT_COMMON_CAUSE_A, SALT_COMMON_CAUSE_B
 from causeway.functions.ranks import ranked
 from causeway.operators import regression as R
 from causeway.operators.complete import absent
-from causeway.operators.moments import Moments, moments, solve_ols, weighted_moments_by, with_drawn
+from causeway.operators.moments import Moments, moments, solve_ols, with_drawn
+from causeway.operators.permutation import permuted_products
 from causeway.operators.replicates import replicate_sums
 from causeway.spec import CausalSpec
 
@@ -92,8 +94,6 @@ def placebo_share(df: DataFrame, spec: CausalSpec) -> float:
 
 #: A treatment of at most so many values is drawn by their shares; any other is permuted.
 MAX_PLACEBO_LEVELS = 1000
-#: Simulations of a permutation that are sorted and stored together.
-PERMUTED_AT_ONCE = 25
 
 
 def treatment_levels(df: DataFrame, spec: CausalSpec) -> list[tuple[float, int]] | None:
@@ -103,6 +103,10 @@ def treatment_levels(df: DataFrame, spec: CausalSpec) -> list[tuple[float, int]]
     return sorted((r["v"], r["n"]) for r in rows) if len(rows) <= MAX_PLACEBO_LEVELS else None
 
 
+def _many(df: DataFrame, spec: CausalSpec) -> None:
+    """Levels of a treatment that is known to have too many."""
+
+
 def permuted(df: DataFrame, spec: CausalSpec, sims: range, keep: tuple[str, ...] = (), rng: str = "md5",
              values: DataFrame | None = None) -> DataFrame:
     """(sim, PLACEBO, ``keep``): for each simulation the treatment column permuted over the rows that have one.
@@ -132,27 +136,32 @@ def treatment_values(df: DataFrame, spec: CausalSpec) -> DataFrame:
     return ranked(d, [F.desc(PLACEBO), F.asc("_id")], "_place").drop("_id")
 
 
-def permutation_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, rng: str = "md5") -> DataFrame:
-    """R2 simulations by permutation: (sim, estimate) of the OLS effect of the permuted treatment."""
+def permutation_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, rng: str = "md5",
+                     levels_of: Callable[[DataFrame, CausalSpec], list[tuple[float, int]] | None] = treatment_levels) -> DataFrame:
+    """R2 simulations by permutation: (sim, estimate) of the OLS effect of the permuted treatment. Its own moments and
+    those of the other columns are the same in all simulations; only their products are summed anew
+    (``permuted_products``)."""
+    if spec.id_col is None:
+        raise ValueError("a permutation needs an id column")
     xs = list(spec.confounders)
     model = [spec.treatment, *xs, spec.outcome]
-    d = df
+    d = df.where(_q(spec.id_col).isNotNull())
     for c in model:
         d = d.where(~absent(df, c))
-    values = treatment_values(d, spec)
-    cols = {spec.treatment: F.col(PLACEBO)} | {c: _q(c) for c in [*xs, spec.outcome]}
-    base = moments(d, model)  # the means, the treatment's among them, are those of every permutation
-    rows = []
-    for first in range(0, n_sims, PERMUTED_AT_ONCE):
-        sims = range(first, min(n_sims, first + PERMUTED_AT_ONCE))
-        per = weighted_moments_by(permuted(d, spec, sims, (*xs, spec.outcome), rng, values), cols, F.lit(1.0), "sim", base.mean)
-        rows += [(s, _slope(per.get(s), spec, model)) for s in sims]
+    base = moments(d, model)
+    levels = levels_of(d, spec)
+    values = treatment_values(d, spec).select("_place", PLACEBO) if levels is None else None
+    others = [_q(c).cast("double") - F.lit(float(m)) for c, m in zip(model[1:], base.mean[1:])]
+    got = permuted_products(d, spec.id_col, others, float(base.mean[0]), int(base.n), n_sims, rng, levels, values)
+    rows = [(s, _effect(_with_products(base, got[s]), spec.outcome, model[:-1], spec.treatment)) for s in range(n_sims)]
     return df.sparkSession.createDataFrame(rows, "sim int, estimate double")
 
 
-def _slope(m, spec: CausalSpec, model: list[str]) -> float | None:
-    fit = solve_ols(m, spec.outcome, model[:-1]) if m else None
-    return float(fit.coef[fit.index(spec.treatment)]) if fit and fit.identified.get(spec.treatment) else None
+def _with_products(base: Moments, products: np.ndarray) -> Moments:
+    """``base`` with other products of its first column with the others."""
+    C = base.C.copy()
+    C[0, 1:] = C[1:, 0] = products
+    return Moments(base.cols, base.n, base.mean, C, base.n_total)
 
 
 def multilevel_placebo(levels: list[tuple[float, int]], u: Column) -> Column:
@@ -188,7 +197,7 @@ def placebo_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, exact: bool
     """
     levels = None if exact else treatment_levels(df, spec)
     if levels is None:
-        return permutation_sims(df, spec, n_sims, rng)
+        return permutation_sims(df, spec, n_sims, rng, treatment_levels if exact else _many)
     cols = {c: _q(c) for c in [*spec.confounders, spec.outcome]}
     base, got = _drawn_sums(df, spec, cols, n_sims, rng, levels=cumulative_shares(levels))
     rows = [(s, _effect(_one(base, PLACEBO, got[s]), spec.outcome, [PLACEBO, *spec.confounders], PLACEBO))
@@ -202,7 +211,7 @@ def joint_sims(df: DataFrame, spec: CausalSpec, n_sims: int = 100, rng: str = "m
     ``random_common_cause_sims`` and ``placebo_sims``, half the passes."""
     levels = treatment_levels(df, spec)
     if levels is None:
-        return random_common_cause_sims(df, spec, n_sims, rng), permutation_sims(df, spec, n_sims, rng)
+        return random_common_cause_sims(df, spec, n_sims, rng), permutation_sims(df, spec, n_sims, rng, _many)
     base, got = _drawn_sums(df, spec, R.model_columns(spec), n_sims, rng, causes=True, levels=cumulative_shares(levels))
     xs = list(spec.confounders)
     r1 = [(s, _effect(_one(base, W_COL, got[s]), spec.outcome, [spec.treatment, *xs, W_COL], spec.treatment))
