@@ -5,6 +5,10 @@ every task walks its rows down the trees so far, whose nodes are a broadcast tab
 node, feature, bin); the counts are merged by tree, each node's best split is found where its counts lie, and one row for
 each split node reaches the driver. So there are as many jobs as levels, whatever the number of models and trees.
 
+Where the features' bins have few combinations (two or three features), rows are first added up by combination: one pass over
+the table counts each model's and tree's drawn rows, and a tree grows to its leaves where its counts lie, with the same
+sums and so the same splits. Predictions look up a row's combination of the trees' intervals, likewise.
+
 * Features are cut into at most ``max_bins`` bins at exact quantiles; a split is "at most the bin's upper edge".
 * A row's bootstrap weight in a tree is a Poisson(1) draw from its id, shared by the models: no draw depends on how rows
   are partitioned.
@@ -24,7 +28,7 @@ predicts null.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +46,11 @@ NODES = 50_000_000
 #: Rows of a task that are walked down the trees at once, and cells of its counts that are held at once.
 ROWS = 4096
 CELLS = 4_000_000
+#: Bytes of a task's counts by combination of bins, and combinations that predictions are looked up by.
+JOINT = 64 << 20
+LOOKED_UP = 1 << 14
+#: Rows multiplied at once: their sums stay below 2^53.
+BLOCK = 1 << 15
 #: Bytes of counts that a task searches for splits.
 SEARCHED = 64 << 20
 _GRAIN = 33
@@ -78,12 +87,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _POISSON = np.array([int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2 ** 53) for k in range(17)], np.int64)
 
 
+#: Thresholds by a draw's upper 12 bits: how many lie at or below the least such draw, and the next one.
+_SHIFT = 41
+_BELOW = np.searchsorted(_POISSON, np.arange(1 << 12) << _SHIFT, side="right").astype(np.uint8)
+_NEXT = np.append(_POISSON, 1 << 53)[_BELOW]
+_SEVERAL = np.append(_BELOW[1:], len(_POISSON)) - _BELOW > 1
+
+
 def bootstrap_counts(ids: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarray:
     """How often each row (hash of its id) is drawn for each tree: rows x trees."""
     with np.errstate(over="ignore"):
         salt = _mix((trees.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(seed))
         draw = (_mix(ids.view(_U)[:, None] ^ salt[None, :]) >> _U(11)).view(np.int64)
-    return np.searchsorted(_POISSON, draw, side="right")
+    top = draw >> _SHIFT
+    out = _BELOW[top].astype(np.int64)
+    out += draw >= _NEXT[top]
+    several = _SEVERAL[top]
+    out[several] = np.searchsorted(_POISSON, draw[several], side="right")
+    return out
 
 
 class Trees:
@@ -131,6 +152,37 @@ class Trees:
         return total / total.sum() if total.sum() > 0 else total
 
 
+class Cells:
+    """The combinations of the intervals that trees tell apart: each tree takes all rows of one the same way."""
+
+    def __init__(self, model: Trees):
+        self.edges = [np.unique(model.edge[model.feature == f]) for f in range(model.n_features)]
+        self.shape = tuple(len(e) + 1 for e in self.edges)
+        self.size = math.prod(self.shape)
+
+    def points(self) -> np.ndarray:
+        """A row of each."""
+        grid = np.meshgrid(*[np.append(e, np.inf) for e in self.edges], indexing="ij")
+        return np.stack([g.ravel() for g in grid], axis=1)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        # a missing value is above no edge
+        places = [np.where(np.isnan(v), 0, np.searchsorted(e, v, "left")) for e, v in zip(self.edges, x.T)]
+        return np.ravel_multi_index(places, self.shape)
+
+
+class Lookup:
+    """``values`` of rows, a function of the leaves a model's trees give them, computed once for each of its cells."""
+
+    def __init__(self, model: Trees, values: Callable[[np.ndarray], np.ndarray]):
+        cells = Cells(model)
+        self.cells = cells if cells.size <= LOOKED_UP else None
+        self.known = values(cells.points()) if self.cells else values
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.known[self.cells.of(x)] if self.cells else self.known(x)
+
+
 def _edges(df: DataFrame, feats: list[str], bins: int) -> list[np.ndarray]:
     """Upper edges of each feature's bins: distinct values at or between the quantiles k / bins. The last bin has none."""
     got = exact_quantiles(df, feats, [k / bins for k in range(1, bins)] + [1.0])
@@ -146,7 +198,7 @@ def _bin(column: Column, edges: np.ndarray) -> Column:
 
 
 def _table(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Target], edges: list[np.ndarray]):
-    """The stored rows of a growth (hash of the id, bins, a weight and a weighted label of whole numbers for each target)
+    """The rows of a growth (hash of the id, bins, a weight and a weighted label of whole numbers for each target)
     and each target's (mean, grain of the labels, grain of the weights); None for a target without rows."""
     label = [t.label.cast("double") for t in targets]
     weight = [F.lit(1.0) if t.weight is None else t.weight.cast("double") for t in targets]
@@ -183,7 +235,7 @@ def _table(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Ta
     key = F.xxhash64(F.col(f"`{id_col}`")) if id_col else F.xxhash64(*[F.col(f"`{c}`") for c in feats], *[y for y in label])
     rows = spread(df).select(key.alias("key"), *[_bin(F.col(f"`{f}`"), e).cast("short").alias(f"b{i}") for i, (f, e) in enumerate(zip(feats, edges))],
                              *columns)
-    return materialize(rows), scales
+    return rows, scales
 
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -219,11 +271,7 @@ def _count_level(rows: DataFrame, state, level: int, n_models: int, n_trees: int
                     if held > CELLS or at + ROWS >= len(mine):
                         _add(total, [np.concatenate(x) for x in zip(*waiting)], n_features, bins)
                         waiting, held = [], 0
-                packed = []
-                for t in range(len(trees)):
-                    w, s, n = total[:, t * cells:(t + 1) * cells]
-                    got = np.flatnonzero(n)
-                    packed.append(got.astype(np.int32).tobytes() + n[got].tobytes() + w[got].tobytes() + s[got].tobytes())
+                packed = [_packed(total[:, t * cells:(t + 1) * cells]) for t in range(len(trees))]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(packed, pa.binary())], names=["key", "counts"])
 
     return rows.mapInArrow(run, "key int, counts binary")
@@ -262,51 +310,155 @@ def _best_splits(counts: DataFrame, keys: int, cells: int, n_features: int, bins
                  n_trees: int, seed: int) -> DataFrame:
     """One row for each open node: its totals and its best split (feature -1: none). A tree's counts meet in one task as a
     stream of packed rows; the task holds nodes x features x bins numbers for each of its trees."""
-    per_node = n_features * bins
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = packed.as_buffer()
-                n = data.size // 28
-                cell = np.frombuffer(data, np.int32, n)
-                if key not in held:
-                    held[key] = np.zeros((3, cells), np.int64)
-                for i, at in ((2, 4), (0, 12), (1, 20)):
-                    held[key][i, cell] += np.frombuffer(data, np.uint8)[at * n:(at + 8) * n].view(np.int64)
+        held = _held(batches, cells)
         for key in list(held):
-            yield search(key, held.pop(key))
-
-    def search(key: int, total: np.ndarray) -> pa.RecordBatch:
-        nodes = int(np.flatnonzero(total[2])[-1]) // per_node + 1
-        w, s, c = (x[:nodes * per_node].reshape(nodes, n_features, bins) for x in total)
-        wl, sl, cl = (np.cumsum(x, axis=2) for x in (w, s, c))
-        wt, st, ct = (x[:, :, -1:] for x in (wl, sl, cl))
-        ok = (wl > 0) & (wt - wl > 0) & (cl >= least) & (ct - cl >= least)
-        if subset[key // n_trees] < n_features:  # the features of the least draws, a draw for each node
-            with np.errstate(over="ignore"):
-                at = np.arange(nodes)[:, None] * n_features + np.arange(n_features)[None, :]
-                draw = _mix(_mix(_U(key * 64 + level + 1) * _U(0x9E3779B97F4A7C15) + _U(seed)) ^ at.astype(_U))
-            ok &= (np.argsort(np.argsort(draw, axis=1), axis=1) < subset[key // n_trees])[:, :, None]
-        left, right, whole = (sl.astype(float) ** 2 / np.maximum(wl, 1), (st - sl).astype(float) ** 2 / np.maximum(wt - wl, 1),
-                              st.astype(float) ** 2 / np.maximum(wt, 1))
-        gain = np.where(ok, left + right - whole, -1.0)
-        gain = np.where(gain > 1e-12 * (left + right), gain, -1.0).reshape(nodes, per_node)
-        best = gain.argmax(axis=1)
-        at = np.arange(nodes)
-        split = gain[at, best] > 0
-        pick = lambda x: x.reshape(nodes, per_node)[at, best]
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.full(nodes, key, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.where(split, best // bins, -1).astype(np.int32)),
-            pa.array((best % bins).astype(np.int32)), pa.array(gain[at, best]), pa.array(wt[:, 0, 0]), pa.array(st[:, 0, 0]),
-            pa.array(pick(wl)), pa.array(pick(sl))], names=_SPLIT)
+            total = held.pop(key)
+            nodes = int(np.flatnonzero(total[2])[-1]) // (n_features * bins) + 1
+            total = total[:, :nodes * n_features * bins].reshape(3, nodes, n_features, bins)
+            found = _search(key, total, least, subset[key // n_trees], level, seed)
+            yield _split_rows(key, [np.arange(nodes), *found])
+
+    return _by_tree(counts, keys, cells).mapInArrow(run, _SPLIT_TYPES)
 
+
+def _by_tree(counts: DataFrame, keys: int, cells: int) -> DataFrame:
     parts = max(1, min(keys, -(-keys * cells * 24 // SEARCHED)), min(keys, counts.sparkSession.sparkContext.defaultParallelism))
-    return counts.where(F.length("counts") > 0).repartition(parts, "key").mapInArrow(
-        run, "key int, node int, feature int, split int, gain double, w long, s long, wl long, sl long")
+    return counts.where(F.length("counts") > 0).repartition(parts, "key")
+
+
+def _held(batches: Iterator[pa.RecordBatch], cells: int) -> dict[int, np.ndarray]:
+    """By tree the weights, labels and counts of its cells, from packed rows."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for key, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data = packed.as_buffer()
+            n = data.size // 28
+            cell = np.frombuffer(data, np.int32, n)
+            if key not in held:
+                held[key] = np.zeros((3, cells), np.int64)
+            for i, at in ((2, 4), (0, 12), (1, 20)):
+                held[key][i, cell] += np.frombuffer(data, np.uint8)[at * n:(at + 8) * n].view(np.int64)
+    return held
+
+
+def _packed(total: np.ndarray) -> bytes:
+    w, s, n = total
+    got = np.flatnonzero(n)
+    return got.astype(np.int32).tobytes() + n[got].tobytes() + w[got].tobytes() + s[got].tobytes()
+
+
+def _search(key: int, total: np.ndarray, least: int, considered: int, level: int, seed: int) -> list[np.ndarray]:
+    """The best splits of a tree's open nodes from their (weights, labels, counts) x nodes x features x bins: feature (-1:
+    none), bin, gain, the node's weight and label, and those of its left side."""
+    _, nodes, n_features, bins = total.shape
+    per_node = n_features * bins
+    w, s, c = total
+    wl, sl, cl = (np.cumsum(x, axis=2) for x in (w, s, c))
+    wt, st, ct = (x[:, :, -1:] for x in (wl, sl, cl))
+    ok = (wl > 0) & (wt - wl > 0) & (cl >= least) & (ct - cl >= least)
+    if considered < n_features:  # the features of the least draws, a draw for each node
+        with np.errstate(over="ignore"):
+            at = np.arange(nodes)[:, None] * n_features + np.arange(n_features)[None, :]
+            draw = _mix(_mix(_U(key * 64 + level + 1) * _U(0x9E3779B97F4A7C15) + _U(seed)) ^ at.astype(_U))
+        ok &= (np.argsort(np.argsort(draw, axis=1), axis=1) < considered)[:, :, None]
+    left, right, whole = (sl.astype(float) ** 2 / np.maximum(wl, 1), (st - sl).astype(float) ** 2 / np.maximum(wt - wl, 1),
+                          st.astype(float) ** 2 / np.maximum(wt, 1))
+    gain = np.where(ok, left + right - whole, -1.0)
+    gain = np.where(gain > 1e-12 * (left + right), gain, -1.0).reshape(nodes, per_node)
+    best = gain.argmax(axis=1)
+    at = np.arange(nodes)
+    split = gain[at, best] > 0
+    pick = lambda x: x.reshape(nodes, per_node)[at, best]
+    return [np.where(split, best // bins, -1), best % bins, gain[at, best], wt[:, 0, 0], st[:, 0, 0], pick(wl), pick(sl)]
+
+
+def _split_rows(key: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+    types = [np.int32, np.int32, np.int32, float, *[np.int64] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), key, np.int32)),
+                                       *[pa.array(c.astype(t)) for c, t in zip(columns, types)]], names=_SPLIT)
+
+
+def _count_cells(rows: DataFrame, n_models: int, n_trees: int, shape: tuple[int, ...], seed: int) -> DataFrame:
+    """(key, counts): one row for each task and tree, its counts by combination of bins packed. A slice's rows are put in the
+    order of their combinations, and the draws of each multiplied with its weights, labels and counts."""
+    size, trees = math.prod(shape), np.arange(n_trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, n_trees, n_models, 3), np.int64)
+        for batch in _blocks(batches):
+            c = _columns(batch)
+            cell = np.ravel_multi_index([c[f"b{f}"].astype(np.int64) for f in range(len(shape))], shape)
+            w = np.stack([c[f"w{m}"] for m in range(n_models)], axis=1)
+            used = np.flatnonzero((w > 0).any(axis=1))
+            if not len(used):
+                continue
+            used = used[np.argsort(cell[used], kind="stable")]
+            cell, w = cell[used], w[used]
+            s = np.stack([c[f"s{m}"] for m in range(n_models)], axis=1)[used]
+            columns = np.stack([w, np.where(w > 0, s, 0), w > 0], axis=2).astype(float).reshape(len(used), -1)
+            drawn = np.empty((len(used), n_trees))
+            for at in range(0, len(used), 512):
+                drawn[at:at + 512] = bootstrap_counts(c["key"][used[at:at + 512]], trees, seed)
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            for lo, hi in zip(first, [*first[1:], len(cell)]):
+                total[cell[lo]] += (drawn[lo:hi].T @ columns[lo:hi]).astype(np.int64).reshape(n_trees, n_models, 3)
+        if total.any():
+            total = total.transpose(2, 1, 3, 0).reshape(n_models * n_trees, 3, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)),
+                                              pa.array([_packed(t) for t in total], pa.binary())], names=["key", "counts"])
+
+    return rows.mapInArrow(run, "key int, counts binary")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined and cut to BLOCK rows at most."""
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            if held and n + part.num_rows > BLOCK:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+            held.append(part)
+            n += part.num_rows
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _whole_trees(counts: DataFrame, keys: int, shape: tuple[int, ...], bins: int, depth: int, least: int, subset: np.ndarray,
+                 n_trees: int, seed: int) -> DataFrame:
+    """One row for each node that was open at a level, by its place in the tree: as ``_best_splits``, for all levels."""
+    size, p = math.prod(shape), len(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _held(batches, size)
+        for key in list(held):
+            total = held.pop(key)
+            cell = np.flatnonzero(total[2])
+            total, b = total[:, cell], np.stack(np.unravel_index(cell, shape))
+            node, places = np.zeros(len(cell), np.int64), np.zeros(1, np.int64)
+            for level in range(depth):
+                by_bin = np.zeros((3, len(places), p, bins), np.int64)
+                for f in range(p):
+                    for i in range(3):
+                        np.add.at(by_bin[i, :, f], (node, b[f]), total[i])
+                found = _search(key, by_bin, least, subset[key // n_trees], level, seed)
+                yield _split_rows(key, [places, *found])
+                feature, split = found[:2]
+                inner = feature >= 0
+                if not inner.any():
+                    break
+                kept = inner[node]
+                total, b, node = total[:, kept], b[:, kept], node[kept]
+                right = b[feature[node], np.arange(len(node))] > split[node]
+                node = 2 * (np.cumsum(inner) - 1)[node] + right
+                places = (2 * places[inner][:, None] + np.array([1, 2])).ravel()
+
+    return _by_tree(counts, keys, size).mapInArrow(run, _SPLIT_TYPES)
+
+
+_SPLIT_TYPES = "key int, node int, feature int, split int, gain double, w long, s long, wl long, sl long"
 _SPLIT = ["key", "node", "feature", "split", "gain", "w", "s", "wl", "sl"]
 
 
@@ -324,10 +476,32 @@ def grow(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Targ
     subset = np.array([math.ceil(math.sqrt(p)) if t.classifier else p for t in targets])
     feature, split = np.full((keys, size), -1, np.int16), np.zeros((keys, size), np.int16)
     gain, w, s = np.zeros((keys, size)), np.zeros((keys, size), np.int64), np.zeros((keys, size), np.int64)
+    shape = tuple(len(e) + 1 for e in edges)
+
+    def put(key, node, got):
+        """Open nodes and their splits into the trees."""
+        root = node == 0
+        w[key[root], 0], s[key[root], 0] = got["w"][root], got["s"][root]
+        inner = got["feature"] >= 0
+        key, node = key[inner], node[inner]
+        feature[key, node], split[key, node], gain[key, node] = got["feature"][inner], got["split"][inner], got["gain"][inner]
+        left, right = 2 * node + 1, 2 * node + 2
+        w[key, left], s[key, left] = got["wl"][inner], got["sl"][inner]
+        w[key, right], s[key, right] = got["w"][inner] - got["wl"][inner], got["s"][inner] - got["sl"][inner]
+        return key, node, left
+
+    joint = math.prod(shape) * keys * 24 <= JOINT
+    if joint:
+        counts = _count_cells(rows, n_models, n_trees, shape, settings.seed)
+        found = _whole_trees(counts, keys, shape, bins, depth, settings.min_instances_per_node, subset, n_trees, settings.seed).toArrow()
+        got = {name: found.column(name).to_numpy() for name in _SPLIT}
+        put(got["key"], got["node"].astype(np.int64), got)
+    else:
+        rows = materialize(rows)
     number = np.full((keys, size), -1, np.int32)
     number[[m * n_trees + t for m in range(n_models) if scales[m] for t in range(n_trees)], 0] = 0
     sc = df.sparkSession.sparkContext
-    for level in range(depth):
+    for level in range(0 if joint else depth):
         open_ = number.max(axis=1) + 1
         if not open_.any():
             break
@@ -341,15 +515,8 @@ def grow(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Targ
         where = np.full((keys, int(open_.max())), -1, np.int64)
         where[k, number[k, place]] = place
         key, node = got["key"], where[got["key"], got["node"]]
-        if level == 0:
-            w[key, 0], s[key, 0] = got["w"], got["s"]
         number[:] = -1
-        inner = got["feature"] >= 0
-        key, node = key[inner], node[inner]
-        feature[key, node], split[key, node], gain[key, node] = got["feature"][inner], got["split"][inner], got["gain"][inner]
-        left, right = 2 * node + 1, 2 * node + 2
-        w[key, left], s[key, left] = got["wl"][inner], got["sl"][inner]
-        w[key, right], s[key, right] = got["w"][inner] - got["wl"][inner], got["s"][inner] - got["sl"][inner]
+        key, node, left = put(key, node, got)
         order = np.argsort(key * size + node, kind="stable")
         key, left = key[order], left[order]
         first = np.searchsorted(key, key)
@@ -374,7 +541,7 @@ def grow(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Targ
 
 def predictions(spark, models: list[Trees], feats: list[Column], which: Column | None = None) -> Column:
     """A column of predictions: of the only model, or of the model with the number ``which`` (0, 1, ...) of the row."""
-    held = spark.sparkContext.broadcast(models)
+    held = spark.sparkContext.broadcast([Lookup(m, m.predict) for m in models])
 
     @F.arrow_udf(T.DoubleType())
     def predict(number: pa.Array, *columns: pa.Array) -> pa.Array:

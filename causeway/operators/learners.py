@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from causeway.functions.hashing import SALT_BOOTSTRAP, SALT_SPLIT, fold, uniform
 from causeway.operators.complete import join_cells, usable_rows
-from causeway.operators.forest import Forest, Target, Trees, grow, predictions
+from causeway.operators.forest import LOOKED_UP, Cells, Forest, Lookup, Target, Trees, grow, predictions
 from causeway.operators.regression import check_binary, estimate_df
 from causeway.operators.replicates import pairs, replicate_sums, symmetric
 from causeway.session import materialize
@@ -267,19 +267,12 @@ def causal_forest(df: DataFrame, spec: CausalSpec, nuisance: CellMean | Forest =
     grows = narrow.where(F.col("_half_a") & (F.col("_t_res") != 0))
     model = grow(grows, "_id", xs, [Target(F.col("_y_res") / F.col("_t_res"), None, F.col("_t_res") * F.col("_t_res"))], forest)[0]
     num, den = _leaf_means(narrow.where(~F.col("_half_a")), xs, model)
-    held = spark.sparkContext.broadcast((model, num, den))
+    held = spark.sparkContext.broadcast(Lookup(model, _Effects(model, num, den)))
 
     @F.arrow_udf(T.DoubleType())
     def effect(*columns: pa.Array) -> pa.Array:
-        trees, nm, dn = held.value
         x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1).astype(float)
-        out = np.full(len(x), np.nan)
-        at = np.arange(len(nm))[None, :]
-        for k in range(0, len(x), 2048):
-            lv = trees.leaves(x[k:k + 2048])
-            a, b = nm[at, lv].sum(axis=1), dn[at, lv].sum(axis=1)
-            out[k:k + 2048] = np.where(b > 0, a / np.where(b > 0, b, 1.0), np.nan)
-        return pa.array(out, pa.float64(), from_pandas=True)
+        return pa.array(held.value.predict(x), pa.float64(), from_pandas=True)
 
     kept = usable_rows(df, spec, missing, (spec.id_col,))
     ite = kept.withColumn(ITE, effect(*[_q(c).cast("double") for c in feats]))
@@ -288,22 +281,51 @@ def causal_forest(df: DataFrame, spec: CausalSpec, nuisance: CellMean | Forest =
     return est, ite, model, feats
 
 
+@dataclass(frozen=True)
+class _Effects:
+    """tau(x) from the leaves' means."""
+    model: Trees
+    num: np.ndarray
+    den: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), np.nan)
+        at = np.arange(len(self.num))[None, :]
+        for k in range(0, len(x), 2048):
+            lv = self.model.leaves(x[k:k + 2048])
+            a, b = self.num[at, lv].sum(axis=1), self.den[at, lv].sum(axis=1)
+            out[k:k + 2048] = np.where(b > 0, a / np.where(b > 0, b, 1.0), np.nan)
+        return out
+
+
 def _leaf_means(rows: DataFrame, xs: list[str], model: Trees) -> tuple[np.ndarray, np.ndarray]:
     """By tree and leaf the means of Y_res T_res and of T_res^2; 0 where a leaf has no row."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
+    cells = Cells(model)
+    by_cell = cells.size <= LOOKED_UP
+    held = rows.sparkSession.sparkContext.broadcast((model, cells))
     shape = model.feature.shape
 
     def run(batches):
+        model, cells = held.value
         sums = np.zeros((3, shape[0] * shape[1]))
         base = (np.arange(shape[0]) * shape[1])[None, :]
+        added = np.zeros((3, cells.size if by_cell else 0))
         for batch in batches:
             c = [col.to_numpy(zero_copy_only=False) for col in batch.columns]
             x = np.stack(c[2:], axis=1).astype(float)
+            if by_cell:
+                at, (y, t) = cells.of(x), c[:2]
+                for i, v in enumerate((y * t, t * t, None)):
+                    added[i] += np.bincount(at, v, cells.size)
+                continue
             for k in range(0, len(x), 2048):
-                lv = (base + held.value.leaves(x[k:k + 2048])).ravel()
+                lv = (base + model.leaves(x[k:k + 2048])).ravel()
                 y, t = (np.repeat(v[k:k + 2048], shape[0]) for v in c[:2])
                 for i, v in enumerate((y * t, t * t, None)):
                     sums[i] += np.bincount(lv, v, sums.shape[1])
+        if by_cell:
+            lv = (base + model.leaves(cells.points())).ravel()
+            sums = np.stack([np.bincount(lv, np.repeat(v, shape[0]), sums.shape[1]) for v in added])
         got = np.flatnonzero(sums[2])
         yield pa.RecordBatch.from_arrays([pa.array(got), *(pa.array(v[got]) for v in sums)], names=["leaf", "syt", "stt", "n"])
 
