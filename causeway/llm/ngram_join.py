@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm import textbytes as T
-from causeway.llm.common import read, register, same, saved, text_or_empty
+from causeway.llm.common import forgotten, read, register, same, saved, text_or_empty
 from causeway.llm.graph import components
 
 SLOTS = 1 << 20
@@ -154,11 +154,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, part: int, whole: int)
     sets = saved(near.join(paired, "doc_id", "left_semi").dropDuplicates(["doc_id"])
                  .mapInArrow(_sets(n), "doc long, grams array<long>"))
     # counted pairs of ids (two numbers each) go to the sets; beyond the bound both sides are shuffled
-    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a")
+    small = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    with_a = small.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a")
     both = with_a.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
-    return saved(both.select("a", "b", (shared * whole >= (F.size("ga") + F.size("gb") - shared) * part).alias("similar")))
+    out = saved(both.select("a", "b", (shared * whole >= (F.size("ga") + F.size("gb") - shared) * part).alias("similar")))
+    forgotten(sets)
+    forgotten(pairs)
+    return out
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id",
@@ -206,6 +209,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     by_component = open_.groupBy("gram", "component").agg(F.count("*").alias("n"))
     main = by_component.groupBy("gram").agg(F.max(F.struct("n", "component")).alias("m")).select("gram", F.col("m.component").alias("main"))
     open_ = saved(open_.join(main, "gram"))
+    forgotten(entries)
     x = open_.where("component <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("doc", "size", "at", "parts", "component")])
     y = open_.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("doc", "size", "at", "parts", "component", "main")])
     rest = x.join(y, "gram").where((F.col("x_component") != F.col("y_component"))
@@ -214,6 +218,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     rest = rest.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
     rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(rest, texts, n, part, whole).where("similar").select("a", "b")
+    forgotten(open_)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     labels = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(

@@ -1,6 +1,10 @@
+import os
 import random
 
+import pytest
+
 from causeway.llm import ngram_join as J
+from causeway.llm.common import forgotten
 from causeway.llm.graph import components
 
 
@@ -62,3 +66,25 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(200).selectExpr("id AS a", "id + 1 AS b").where("id % 50 <> 49")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {i: i // 50 * 50 for i in range(200)}
+
+
+def test_tables_go_when_they_have_been_used(spark, monkeypatch):
+    made, save = [], J.saved
+
+    def saved(df):
+        out = save(df)
+        made.append((out.columns, [f.rsplit("/", 1)[0].removeprefix("file:") for f in out.inputFiles()][:1]))
+        return out
+
+    monkeypatch.setattr(J, "saved", saved)
+    df = spark.createDataFrame(planted(), "doc_id long, text string")
+    J.jaccard_components(df, 3, 90, 100).collect()
+    used = [folder for columns, folders in made for folder in folders if {"grams", "low", "main"} & set(columns)]
+    assert len(used) >= 4 and not any(os.path.exists(f.replace("//", "/")) for f in used)
+
+
+def test_only_saved_tables_are_deleted(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/given")
+    with pytest.raises(ValueError, match="not a saved table"):
+        forgotten(spark.read.parquet(f"{tmp_path}/given"))
+    assert spark.read.parquet(f"{tmp_path}/given").count() == 3
