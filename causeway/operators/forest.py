@@ -98,7 +98,13 @@ def bootstrap_counts(ids: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarra
     """How often each row (hash of its id) is drawn for each tree: rows x trees."""
     with np.errstate(over="ignore"):
         salt = _mix((trees.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(seed))
-        draw = (_mix(ids.view(_U)[:, None] ^ salt[None, :]) >> _U(11)).view(np.int64)
+        draw = ids.view(_U)[:, None] ^ salt[None, :]
+        spare = np.empty_like(draw)
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # _mix, in place
+            draw ^= np.right_shift(draw, _U(shift), out=spare)
+            draw *= _U(times)
+        draw ^= np.right_shift(draw, _U(31), out=spare)
+        draw = np.right_shift(draw, _U(11), out=draw).view(np.int64)
     top = draw >> _SHIFT
     out = _BELOW[top].astype(np.int64)
     out += draw >= _NEXT[top]
@@ -190,14 +196,17 @@ def _edges(df: DataFrame, feats: list[str], bins: int) -> list[np.ndarray]:
 
 
 def _bin(column: Column, edges: np.ndarray) -> Column:
-    """Number of edges below the value."""
-    x = column.cast("double")
-    if not len(edges):
-        return F.lit(0)
-    return F.array_size(F.filter(F.lit(edges.tolist()), lambda e: e < x))
+    """Number of edges below the value: halved at an edge at a time, which is compiled code."""
+    x, at = column.cast("double"), edges.tolist()
 
+    def between(low: int, high: int) -> Column:
+        mid = (low + high) // 2
+        return F.lit(low) if low == high else F.when(x <= F.lit(at[mid]), between(low, mid)).otherwise(between(mid + 1, high))
 
-def _table(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Target], edges: list[np.ndarray]):
+    return F.when(x.isNull(), F.lit(0)).otherwise(between(0, len(at)))
+
+
+def _table(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Target], edges: list[np.ndarray], dealt: bool):
     """The rows of a growth (hash of the id, bins, a weight and a weighted label of whole numbers for each target)
     and each target's (mean, grain of the labels, grain of the weights); None for a target without rows."""
     label = [t.label.cast("double") for t in targets]
@@ -233,7 +242,7 @@ def _table(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Ta
         columns += [F.round(w * F.lit(grain_w)).cast("long").alias(f"w{m}"),
                     F.when(w > 0, F.round(w * (y - F.lit(mid)) * F.lit(grain_s))).otherwise(0).cast("long").alias(f"s{m}")]
     key = F.xxhash64(F.col(f"`{id_col}`")) if id_col else F.xxhash64(*[F.col(f"`{c}`") for c in feats], *[y for y in label])
-    rows = spread(df).select(key.alias("key"), *[_bin(F.col(f"`{f}`"), e).cast("short").alias(f"b{i}") for i, (f, e) in enumerate(zip(feats, edges))],
+    rows = (df if dealt else spread(df)).select(key.alias("key"), *[_bin(F.col(f"`{f}`"), e).cast("short").alias(f"b{i}") for i, (f, e) in enumerate(zip(feats, edges))],
                              *columns)
     return rows, scales
 
@@ -462,8 +471,8 @@ _SPLIT_TYPES = "key int, node int, feature int, split int, gain double, w long,
 _SPLIT = ["key", "node", "feature", "split", "gain", "w", "s", "wl", "sl"]
 
 
-def grow(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Target], settings: Forest) -> list[Trees]:
-    """The forests of all targets, grown together."""
+def grow(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Target], settings: Forest, dealt: bool = False) -> list[Trees]:
+    """The forests of all targets, grown together. ``dealt``: the rows are over the cores already (``session.held_rows``)."""
     if not feats or not all(isinstance(df.schema[f].dataType, T.NumericType) for f in feats):
         raise ValueError("features must be numeric, and there must be one")
     n_models, n_trees, depth, p = len(targets), settings.num_trees, settings.max_depth, len(feats)
@@ -472,7 +481,7 @@ def grow(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Targ
         raise ValueError(f"{n_models} models of {n_trees} trees of depth {depth} could have more than {NODES} nodes")
     edges = _edges(df, feats, settings.max_bins)
     bins = max(len(e) for e in edges) + 1
-    rows, scales = _table(df, id_col, feats, targets, edges)
+    rows, scales = _table(df, id_col, feats, targets, edges, dealt)
     subset = np.array([math.ceil(math.sqrt(p)) if t.classifier else p for t in targets])
     feature, split = np.full((keys, size), -1, np.int16), np.zeros((keys, size), np.int16)
     gain, w, s = np.zeros((keys, size)), np.zeros((keys, size), np.int64), np.zeros((keys, size), np.int64)

@@ -27,7 +27,7 @@ from causeway.operators.complete import join_cells, usable_rows
 from causeway.operators.forest import LOOKED_UP, Cells, Forest, Lookup, Target, Trees, grow, predictions
 from causeway.operators.regression import check_binary, estimate_df
 from causeway.operators.replicates import pairs, replicate_sums, symmetric
-from causeway.session import materialize
+from causeway.session import held_rows, materialize
 from causeway.spec import CausalSpec
 
 ITE = "Estimated_ITE"
@@ -121,6 +121,12 @@ def ate_from_ite(df: DataFrame, weight: str | None = None) -> float:
     return r["a"]
 
 
+def _model_columns(df: DataFrame, spec: CausalSpec) -> DataFrame:
+    """What a forest's estimate reads of the table."""
+    names = [*spec.confounders, spec.treatment, spec.outcome, *([spec.id_col] if _id_of(df, spec) else [])]
+    return df.select(*[_q(c) for c in dict.fromkeys(names)])
+
+
 def learner_estimate(df: DataFrame, spec: CausalSpec, method: str, learner) -> DataFrame:
     fn = {"s_learner": s_learner, "t_learner": t_learner}[method]
     scored = fn(df, spec, learner)
@@ -131,9 +137,9 @@ def learner_estimate(df: DataFrame, spec: CausalSpec, method: str, learner) -> D
 # ---- double machine learning (E14, E15) ---------------------------------------------------------
 
 def dml_residuals(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Forest(), folds: int = 3,
-                  rng: str = "md5", missing: str = "raise") -> DataFrame:
+                  rng: str = "md5", missing: str = "raise", dealt: bool = False) -> DataFrame:
     """Cross-fitted residuals ``_y_res`` = Y - E[Y|X], ``_t_res`` = T - P(T=1|X); each row is
-    scored by a model that did not see it. The outcome model is a regressor even for a binary Y."""
+    scored by a model that did not see it. The outcome model is a regressor even for a binary Y. ``dealt``: as of ``grow``."""
     df = usable_rows(df, spec, missing, (spec.id_col,))
     d = df.withColumn("_fold", fold(spec.id_col, folds, rng))
     y, t = _q(spec.outcome).cast("double"), _q(spec.treatment).cast("double")
@@ -160,7 +166,8 @@ def dml_residuals(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest =
     feats = list(spec.confounders)
     _check_features(df, feats)
     others = [F.col("_fold") != k for k in range(folds)]
-    models = grow(d, spec.id_col, feats, [Target(y, o) for o in others] + [Target(t, o, classifier=True) for o in others], learner)
+    targets = [Target(y, o) for o in others] + [Target(t, o, classifier=True) for o in others]
+    models = grow(d, spec.id_col, feats, targets, learner, dealt)
     x, spark = _columns_of(feats), df.sparkSession
     return (d.withColumn("_y_res", y - predictions(spark, models[:folds], x, F.col("_fold")))
              .withColumn("_t_res", t - predictions(spark, models[folds:], x, F.col("_fold"))))
@@ -258,14 +265,22 @@ def causal_forest(df: DataFrame, spec: CausalSpec, nuisance: CellMean | Forest =
     feats = list(spec.confounders)
     _check_features(df, feats)
     spark = df.sparkSession
-    res = dml_residuals(df, spec, nuisance, folds, rng, missing)
     half = uniform(spec.id_col, SALT_SPLIT, 0, rng) < F.lit(0.5)
-    # read several times below; a reliable checkpoint of the columns the forest needs, not a recompute of the nuisances
-    narrow = materialize(res.select(_q(spec.id_col).alias("_id"), *[_q(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)],
-                                    "_y_res", "_t_res", half.alias("_half_a")))
+
+    def stored(res: DataFrame) -> DataFrame:
+        # read several times below; a reliable checkpoint of the columns the forest needs, not a recompute of the nuisances
+        return materialize(res.select(_q(spec.id_col).alias("_id"), *[_q(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)],
+                                      "_y_res", "_t_res", half.alias("_half_a")))
+
+    dealt = not isinstance(nuisance, CellMean)
+    if not dealt:
+        narrow = stored(dml_residuals(df, spec, nuisance, folds, rng, missing))
+    else:
+        with held_rows(_model_columns(df, spec)) as rows:
+            narrow = stored(dml_residuals(rows, spec, nuisance, folds, rng, missing, dealt=True))
     xs = [f"_x{i}" for i in range(len(feats))]
     grows = narrow.where(F.col("_half_a") & (F.col("_t_res") != 0))
-    model = grow(grows, "_id", xs, [Target(F.col("_y_res") / F.col("_t_res"), None, F.col("_t_res") * F.col("_t_res"))], forest)[0]
+    model = grow(grows, "_id", xs, [Target(F.col("_y_res") / F.col("_t_res"), None, F.col("_t_res") * F.col("_t_res"))], forest, dealt)[0]
     num, den = _leaf_means(narrow.where(~F.col("_half_a")), xs, model)
     held = spark.sparkContext.broadcast(Lookup(model, _Effects(model, num, den)))
 
@@ -274,7 +289,7 @@ def causal_forest(df: DataFrame, spec: CausalSpec, nuisance: CellMean | Forest =
         x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1).astype(float)
         return pa.array(held.value.predict(x), pa.float64(), from_pandas=True)
 
-    kept = usable_rows(df, spec, missing, (spec.id_col,))
+    kept = usable_rows(df, spec, "drop", (spec.id_col,))  # if missing is an error, there are none
     ite = kept.withColumn(ITE, effect(*[_q(c).cast("double") for c in feats]))
     r = narrow.agg(F.avg(effect(*[F.col(c) for c in xs])).alias("a"), F.count(F.lit(1)).alias("n")).first()
     est = estimate_df(spark, [("causal_forest", "ate", r["n"], r["a"], None, None, None, "none")])
