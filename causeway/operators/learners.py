@@ -242,8 +242,13 @@ def cate_column(spec_terms: list[str], theta: np.ndarray) -> Column:
 def linear_dml(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Forest(), folds: int = 3,
                constant_effect: bool = False, rng: str = "md5", missing: str = "raise") -> tuple[DataFrame, DataFrame]:
     """E14 + E15 + E18: (estimate row, table with ``Estimated_ITE`` = theta(x))."""
-    res = dml_residuals(df, spec, learner, folds, rng, missing)
-    fs = dml_final_stage(res, spec, constant_effect)
+    if isinstance(learner, CellMean):
+        res = dml_residuals(df, spec, learner, folds, rng, missing)
+        fs = dml_final_stage(res, spec, constant_effect)
+    else:
+        with held_rows(_model_columns(df, spec)) as rows:
+            fs = dml_final_stage(dml_residuals(rows, spec, learner, folds, rng, missing, dealt=True), spec, constant_effect)
+        res = usable_rows(df, spec, "drop", (spec.id_col,))
     ite = res.withColumn(ITE, cate_column(fs["terms"], fs["theta"])).drop("_fold", "_y_res", "_t_res")
     lo, hi = fs["ate"] - 1.959963984540054 * fs["se"], fs["ate"] + 1.959963984540054 * fs["se"]
     est = estimate_df(df.sparkSession, [("linear_dml", "ate", fs["n"], fs["ate"], fs["se"], lo, hi, "analytic")])

@@ -34,6 +34,25 @@ def test_causal_forest_reads_its_table_once(spark):
     _read_once(spark, lambda d: L.causal_forest(d, SPEC, SMALL, SMALL)[0])
 
 
+def test_linear_dml_reads_its_table_once(spark):
+    _read_once(spark, lambda d: L.linear_dml(d, SPEC, SMALL)[0])
+
+
+def test_rows_are_let_go(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    _read_once(spark, lambda d: L.linear_dml(d, SPEC, SMALL)[0])
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_scored_tables_keep_rows_and_columns(spark):
+    rows = [(i, float(i % 7), i % 3, float(i), i % 2 if i % 5 else None, "a") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, z int, y double, t int, other string")
+    for ite in (L.linear_dml(df, SPEC, SMALL, missing="drop")[1], L.causal_forest(df, SPEC, SMALL, SMALL, missing="drop")[1]):
+        assert ite.columns == [*df.columns, L.ITE] and ite.count() == 160
+    with pytest.raises(ValueError, match="missing"):
+        L.linear_dml(df, SPEC, SMALL)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 63])
 def test_bins_count_the_edges_below(spark, n):
     edges = np.sort(np.random.default_rng(n).normal(size=n))
