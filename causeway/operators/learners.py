@@ -79,8 +79,8 @@ def _cell_mean_ite(df: DataFrame, spec: CausalSpec, cells: list[str], weight: st
 
 
 def s_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Forest(), weight: str | None = None,
-              missing: str = "raise") -> DataFrame:
-    """E12 + E18: one model f(X, T); ITE = f(X, 1) - f(X, 0), added as ``Estimated_ITE``."""
+              missing: str = "raise", dealt: bool = False) -> DataFrame:
+    """E12 + E18: one model f(X, T); ITE = f(X, 1) - f(X, 0), added as ``Estimated_ITE``. ``dealt``: as of ``grow``."""
     df = usable_rows(df, spec, missing)
     if isinstance(learner, CellMean):
         return _cell_mean_ite(df, spec, list(learner.cells), weight)
@@ -88,7 +88,7 @@ def s_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Fore
     _check_features(df, feats)
     binary = _is_binary_outcome(df, spec.outcome)
     target = Target(_q(spec.outcome), None, _q(weight) if weight else None, binary)
-    model = grow(df, _id_of(df, spec), [*feats, spec.treatment], [target], learner)
+    model = grow(df, _id_of(df, spec), [*feats, spec.treatment], [target], learner, dealt)
     x = _columns_of(feats)
     mu1, mu0 = (predictions(df.sparkSession, model, [*x, F.lit(arm)]) for arm in (1.0, 0.0))
     return df.withColumn(ITE, mu1 - mu0)
@@ -99,8 +99,8 @@ def _id_of(df: DataFrame, spec: CausalSpec) -> str | None:
 
 
 def t_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Forest(), weight: str | None = None,
-              missing: str = "raise") -> DataFrame:
-    """E13 + E18: separate models for treated and controls, both scored on every row."""
+              missing: str = "raise", dealt: bool = False) -> DataFrame:
+    """E13 + E18: separate models for treated and controls, both scored on every row. ``dealt``: as of ``grow``."""
     df = usable_rows(df, spec, missing)
     if isinstance(learner, CellMean):
         return _cell_mean_ite(df, spec, list(learner.cells), weight)
@@ -108,7 +108,8 @@ def t_learner(df: DataFrame, spec: CausalSpec, learner: CellMean | Forest = Fore
     _check_features(df, feats)
     binary = _is_binary_outcome(df, spec.outcome)
     w = _q(weight) if weight else None
-    m1, m0 = grow(df, _id_of(df, spec), feats, [Target(_q(spec.outcome), _q(spec.treatment) == arm, w, binary) for arm in (1, 0)], learner)
+    m1, m0 = grow(df, _id_of(df, spec), feats, [Target(_q(spec.outcome), _q(spec.treatment) == arm, w, binary) for arm in (1, 0)],
+                  learner, dealt)
     x = _columns_of(feats)
     return df.withColumn(ITE, predictions(df.sparkSession, [m1], x) - predictions(df.sparkSession, [m0], x))
 
@@ -121,6 +122,10 @@ def ate_from_ite(df: DataFrame, weight: str | None = None) -> float:
     return r["a"]
 
 
+def _average(ite: DataFrame):
+    return ite.agg(F.avg(ITE).alias("a"), F.count(F.lit(1)).alias("n")).collect()[0]
+
+
 def _model_columns(df: DataFrame, spec: CausalSpec) -> DataFrame:
     """What a forest's estimate reads of the table."""
     names = [*spec.confounders, spec.treatment, spec.outcome, *([spec.id_col] if _id_of(df, spec) else [])]
@@ -129,8 +134,11 @@ def _model_columns(df: DataFrame, spec: CausalSpec) -> DataFrame:
 
 def learner_estimate(df: DataFrame, spec: CausalSpec, method: str, learner) -> DataFrame:
     fn = {"s_learner": s_learner, "t_learner": t_learner}[method]
-    scored = fn(df, spec, learner)
-    r = scored.agg(F.avg(ITE).alias("a"), F.count(F.lit(1)).alias("n")).collect()[0]
+    if isinstance(learner, CellMean):
+        r = _average(fn(df, spec, learner))
+    else:
+        with held_rows(_model_columns(df, spec)) as rows:
+            r = _average(fn(rows, spec, learner, dealt=True))
     return estimate_df(df.sparkSession, [(method, "ate", r["n"], r["a"], None, None, None, "none")])
 
 

@@ -38,6 +38,11 @@ def test_linear_dml_reads_its_table_once(spark):
     _read_once(spark, lambda d: L.linear_dml(d, SPEC, SMALL)[0])
 
 
+@pytest.mark.parametrize("method", ["s_learner"])
+def test_learners_read_their_table_once(spark, method):
+    _read_once(spark, lambda d: L.learner_estimate(d, SPEC, method, SMALL))
+
+
 def test_rows_are_let_go(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     _read_once(spark, lambda d: L.linear_dml(d, SPEC, SMALL)[0])
