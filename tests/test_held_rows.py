@@ -38,7 +38,7 @@ def test_linear_dml_reads_its_table_once(spark):
     _read_once(spark, lambda d: L.linear_dml(d, SPEC, SMALL)[0])
 
 
-@pytest.mark.parametrize("method", ["s_learner"])
+@pytest.mark.parametrize("method", ["s_learner", "t_learner"])
 def test_learners_read_their_table_once(spark, method):
     _read_once(spark, lambda d: L.learner_estimate(d, SPEC, method, SMALL))
 
