@@ -26,6 +26,7 @@ an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,9 @@ from causeway.llm.common import forgotten, read, register, same, saved, text_or_
 from causeway.llm.graph import components
 
 SLOTS = 1 << 20
+#: Shares of the prefix n-grams, and of the pairs to be verified, that are worked off one after the other, so that the
+#: disk holds the shuffles of one share at a time.
+SHARES = 4
 #: Pairs of ids that may be broadcast to their sets: 16 bytes each.
 BROADCAST_PAIRS = 500_000
 #: Hash parts of a set whose parities make its sketch, and the 64-bit words that hold them.
@@ -127,6 +131,18 @@ def _in_slots(taken):
     return run
 
 
+def _bucketed(entries: DataFrame) -> list[DataFrame]:
+    """The entries (gram, doc, size, at) of n-grams with two entries or more, with each n-gram's pivots: a table for each
+    share of the n-grams."""
+    out = []
+    for k in range(SHARES):
+        own = entries.where(F.pmod("gram", F.lit(SHARES)) == k).select("gram", "doc", "size", "at")
+        buckets = own.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("doc", "size", "at")).alias("low"),
+                                          F.max(F.struct("doc", "size", "at")).alias("high")).where("n > 1").drop("n")
+        out.append(saved(own.join(buckets, "gram")))
+    return out
+
+
 def _overlap(a: str, b: str, part: int, whole: int) -> Column:
     """Least intersection of a similar pair: ceil(t / (1 + t) (|x| + |y|))."""
     return F.ceil((F.col(a) + F.col(b)) * part / (part + whole))
@@ -154,16 +170,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, part: int, whole: int)
     sets = saved(near.join(paired, "doc_id", "left_semi").dropDuplicates(["doc_id"])
                  .mapInArrow(_sets(n), "doc long, grams array<long>"))
     # counted pairs of ids (two numbers each) go to the sets; beyond the bound both sides are shuffled
-    small = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    with_a = small.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a")
-    both = with_a.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    out = saved(both.select("a", "b", (shared * whole >= (F.size("ga") + F.size("gb") - shared) * part).alias("similar")))
+    few = pairs.count() <= BROADCAST_PAIRS
+    out = None
+    for k in range(SHARES):  # whole sets are shuffled a share of the larger ids at a time
+        own = lambda c: F.pmod(F.xxhash64(c), F.lit(SHARES)) == k  # noqa: B023, E731
+        mine = pairs.where(own("b"))
+        with_a = (F.broadcast(mine) if few else mine).join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a")
+        both = with_a.join(sets.where(own("doc")).select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
+        shared = F.size(F.array_intersect("ga", "gb"))
+        checked = saved(both.select("a", "b", (shared * whole >= (F.size("ga") + F.size("gb") - shared) * part).alias("similar")))
+        out = checked if out is None else out.unionByName(checked)
     forgotten(sets)
     forgotten(pairs)
     return out
 
 
+def _open_entries(entries: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The entries of buckets that lie in several components, with their component, their bucket's most common one
+    (which meets the others, never itself) and their set's sketch."""
+    placed = entries.drop("low", "high").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
+        "component", F.coalesce("component", "doc"))
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    open_ = placed.join(mixed.select("gram"), "gram", "left_semi").join(sizes, "doc")
+    by_component = open_.groupBy("gram", "component").agg(F.count("*").alias("n"))
+    main = by_component.groupBy("gram").agg(F.max(F.struct("n", "component")).alias("m")).select("gram", F.col("m.component").alias("main"))
+    return open_.join(main, "gram")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity
@@ -177,10 +210,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     # of a class only the smallest id goes on
     cards = saved(cards.join(classes.select("doc").distinct(), "doc", "left_semi"))
 
-    entries = cards.select("doc", "size", F.posexplode("prefix").alias("at", "gram")).select("gram", "doc", "size", "at")
-    buckets = entries.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("doc", "size", "at")).alias("low"),
-                                          F.max(F.struct("doc", "size", "at")).alias("high")).where("n > 1").drop("n")
-    entries = saved(entries.join(buckets, "gram"))
+    shares = _bucketed(cards.select("doc", "size", F.posexplode("prefix").alias("at", "gram")))
+    entries = reduce(DataFrame.unionByName, shares)
     sizes = cards.select("doc", "parts")
 
     def with_parts(pairs: DataFrame, of: str) -> DataFrame:
@@ -201,24 +232,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     found = saved(components(linked))
 
     # what is left: pairs of a bucket from different components
-    placed = entries.drop("low", "high").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-        "component", F.coalesce("component", "doc"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = placed.join(mixed.select("gram"), "gram", "left_semi").join(sizes, "doc")
-    # a bucket's most common component meets the others, never itself
-    by_component = open_.groupBy("gram", "component").agg(F.count("*").alias("n"))
-    main = by_component.groupBy("gram").agg(F.max(F.struct("n", "component")).alias("m")).select("gram", F.col("m.component").alias("main"))
-    open_ = saved(open_.join(main, "gram"))
-    forgotten(entries)
-    x = open_.where("component <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("doc", "size", "at", "parts", "component")])
-    y = open_.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("doc", "size", "at", "parts", "component", "main")])
-    rest = x.join(y, "gram").where((F.col("x_component") != F.col("y_component"))
-                                   & ((F.col("y_component") == F.col("y_main")) | (F.col("x_doc") < F.col("y_doc")))
-                                   & _may_be_similar("x", "y", part, whole))
-    rest = rest.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(rest, texts, n, part, whole).where("similar").select("a", "b")
-    forgotten(open_)
+    rest = []
+    for share in shares:
+        open_ = saved(_open_entries(share, found, sizes))
+        forgotten(share)
+        x = open_.where("component <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("doc", "size", "at", "parts", "component")])
+        y = open_.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("doc", "size", "at", "parts", "component", "main")])
+        pairs = x.join(y, "gram").where((F.col("x_component") != F.col("y_component"))
+                                        & ((F.col("y_component") == F.col("y_main")) | (F.col("x_doc") < F.col("y_doc")))
+                                        & _may_be_similar("x", "y", part, whole))
+        rest.append(saved(pairs.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()))
+        forgotten(open_)
+    left = reduce(DataFrame.unionByName, rest).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    more = _verified(left, texts, n, part, whole).where("similar").select("a", "b")
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     labels = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(

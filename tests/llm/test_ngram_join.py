@@ -88,3 +88,23 @@ def test_only_saved_tables_are_deleted(spark, tmp_path):
     with pytest.raises(ValueError, match="not a saved table"):
         forgotten(spark.read.parquet(f"{tmp_path}/given"))
     assert spark.read.parquet(f"{tmp_path}/given").count() == 3
+
+
+def test_buckets_pairs_and_sets_are_worked_off_in_shares(spark, monkeypatch):
+    docs, made, save = planted(), [], J.saved
+
+    def saved(df):
+        out = save(df)
+        made.append((set(out.columns), out.count(), [r.gram for r in out.select("gram").distinct().collect()] if "gram" in out.columns else []))
+        return out
+
+    monkeypatch.setattr(J, "saved", saved)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df, 3, 90, 100).collect()}
+    assert got == brute(docs, 3, 90, 100)
+    for column in ("low", "main"):  # each n-gram in one share, and no share with most of them
+        shares = [grams for columns, _, grams in made if column in columns]
+        assert len(shares) == J.SHARES and sum(map(len, shares)) == len({g for s in shares for g in s})
+    sizes = [n for columns, n, _ in made if "low" in columns]
+    assert max(sizes) < sum(sizes) / 2
+    assert len([1 for columns, *_ in made if "similar" in columns]) == 2 * J.SHARES
