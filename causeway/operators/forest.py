@@ -92,6 +92,19 @@ _SHIFT = 41
 _BELOW = np.searchsorted(_POISSON, np.arange(1 << 12) << _SHIFT, side="right").astype(np.uint8)
 _NEXT = np.append(_POISSON, 1 << 53)[_BELOW]
 _SEVERAL = np.append(_BELOW[1:], len(_POISSON)) - _BELOW > 1
+#: Counts by a draw's upper 16 bits; _UNSURE where a threshold lies among the draws that share them.
+_UNSURE = 255
+_COUNT = np.searchsorted(_POISSON, np.arange(1 << 16) << 37, side="right").astype(np.uint8)
+_COUNT[_POISSON[_POISSON < 1 << 53] >> 37] = _UNSURE
+
+
+def _counts(draw: np.ndarray) -> np.ndarray:
+    """Counts of 53-bit draws."""
+    top = draw >> _SHIFT
+    out = _BELOW[top] + (draw >= _NEXT[top])
+    several = _SEVERAL[top]
+    out[several] = np.searchsorted(_POISSON, draw[several], side="right")
+    return out
 
 
 def bootstrap_counts(ids: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarray:
@@ -104,12 +117,9 @@ def bootstrap_counts(ids: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarra
             draw ^= np.right_shift(draw, _U(shift), out=spare)
             draw *= _U(times)
         draw ^= np.right_shift(draw, _U(31), out=spare)
-        draw = np.right_shift(draw, _U(11), out=draw).view(np.int64)
-    top = draw >> _SHIFT
-    out = _BELOW[top].astype(np.int64)
-    out += draw >= _NEXT[top]
-    several = _SEVERAL[top]
-    out[several] = np.searchsorted(_POISSON, draw[several], side="right")
+    out = _COUNT[np.right_shift(draw, _U(48), out=spare).view(np.int64)]
+    unsure = np.flatnonzero(out == _UNSURE)
+    out.ravel()[unsure] = _counts((draw.ravel()[unsure] >> _U(11)).view(np.int64))
     return out
 
 
@@ -206,9 +216,18 @@ def _bin(column: Column, edges: np.ndarray) -> Column:
     return F.when(x.isNull(), F.lit(0)).otherwise(between(0, len(at)))
 
 
-def _table(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Target], edges: list[np.ndarray], dealt: bool):
-    """The rows of a growth (hash of the id, bins, a weight and a weighted label of whole numbers for each target)
-    and each target's (mean, grain of the labels, grain of the weights); None for a target without rows."""
+def _whole(x: Column) -> Column:
+    """The nearest whole number, halves away from zero, as ``round`` gives it, which goes through decimal text."""
+    size = F.abs(x)
+    low = F.floor(size)
+    near = low + F.when(size - low >= 0.5, F.lit(1)).otherwise(F.lit(0))
+    return F.when(x < 0, -near).otherwise(near).cast("long")
+
+
+def _table(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Target], edges: list[np.ndarray], dealt: bool,
+           raw: bool = False):
+    """The rows of a growth (hash of the id, bins, or with ``raw`` the values, of the features, a weight and a weighted
+    label of whole numbers for each target) and each target's (mean, grain of the labels, grain of the weights); None for a target without rows."""
     label = [t.label.cast("double") for t in targets]
     weight = [F.lit(1.0) if t.weight is None else t.weight.cast("double") for t in targets]
     weight = [w if t.rows is None else F.when(t.rows, w).otherwise(0.0) for t, w in zip(targets, weight)]
@@ -239,11 +258,11 @@ def _table(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Ta
         grain_w = 1.0 if plain else 2.0 ** (room - math.ceil(math.log2(r[f"wm{m}"])))
         grain_s = 2.0 ** (room - math.ceil(math.log2(reach))) if reach > 0 else 1.0
         scales.append((mid, grain_s, grain_w))
-        columns += [F.round(w * F.lit(grain_w)).cast("long").alias(f"w{m}"),
-                    F.when(w > 0, F.round(w * (y - F.lit(mid)) * F.lit(grain_s))).otherwise(0).cast("long").alias(f"s{m}")]
+        columns += [_whole(w * F.lit(grain_w)).alias(f"w{m}"),
+                    F.when(w > 0, _whole(w * (y - F.lit(mid)) * F.lit(grain_s))).otherwise(0).cast("long").alias(f"s{m}")]
     key = F.xxhash64(F.col(f"`{id_col}`")) if id_col else F.xxhash64(*[F.col(f"`{c}`") for c in feats], *[y for y in label])
-    rows = (df if dealt else spread(df)).select(key.alias("key"), *[_bin(F.col(f"`{f}`"), e).cast("short").alias(f"b{i}") for i, (f, e) in enumerate(zip(feats, edges))],
-                             *columns)
+    rows = (df if dealt else spread(df)).select(key.alias("key"), *[(F.col(f"`{f}`").cast("double") if raw else _bin(F.col(f"`{f}`"), e).cast("short")).alias(f"b{i}")
+                                                               for i, (f, e) in enumerate(zip(feats, edges))], *columns)
     return rows, scales
 
 
@@ -388,16 +407,17 @@ def _split_rows(key: int, columns: list[np.ndarray]) -> pa.RecordBatch:
                                        *[pa.array(c.astype(t)) for c, t in zip(columns, types)]], names=_SPLIT)
 
 
-def _count_cells(rows: DataFrame, n_models: int, n_trees: int, shape: tuple[int, ...], seed: int) -> DataFrame:
+def _count_cells(rows: DataFrame, n_models: int, n_trees: int, edges: list[np.ndarray], seed: int) -> DataFrame:
     """(key, counts): one row for each task and tree, its counts by combination of bins packed. A slice's rows are put in the
     order of their combinations, and the draws of each multiplied with its weights, labels and counts."""
-    size, trees = math.prod(shape), np.arange(n_trees)
+    shape, trees = tuple(len(e) + 1 for e in edges), np.arange(n_trees)
+    size = math.prod(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, n_trees, n_models, 3), np.int64)
         for batch in _blocks(batches):
             c = _columns(batch)
-            cell = np.ravel_multi_index([c[f"b{f}"].astype(np.int64) for f in range(len(shape))], shape)
+            cell = np.ravel_multi_index([np.searchsorted(e, c[f"b{f}"], "left") for f, e in enumerate(edges)], shape)
             w = np.stack([c[f"w{m}"] for m in range(n_models)], axis=1)
             used = np.flatnonzero((w > 0).any(axis=1))
             if not len(used):
@@ -481,11 +501,12 @@ def grow(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Targ
         raise ValueError(f"{n_models} models of {n_trees} trees of depth {depth} could have more than {NODES} nodes")
     edges = _edges(df, feats, settings.max_bins)
     bins = max(len(e) for e in edges) + 1
-    rows, scales = _table(df, id_col, feats, targets, edges, dealt)
+    shape = tuple(len(e) + 1 for e in edges)
+    joint = math.prod(shape) * keys * 24 <= JOINT
+    rows, scales = _table(df, id_col, feats, targets, edges, dealt, raw=joint)
     subset = np.array([math.ceil(math.sqrt(p)) if t.classifier else p for t in targets])
     feature, split = np.full((keys, size), -1, np.int16), np.zeros((keys, size), np.int16)
     gain, w, s = np.zeros((keys, size)), np.zeros((keys, size), np.int64), np.zeros((keys, size), np.int64)
-    shape = tuple(len(e) + 1 for e in edges)
 
     def put(key, node, got):
         """Open nodes and their splits into the trees."""
@@ -499,9 +520,8 @@ def grow(df: DataFrame, id_col: str | None, feats: list[str], targets: list[Targ
         w[key, right], s[key, right] = got["w"][inner] - got["wl"][inner], got["s"][inner] - got["sl"][inner]
         return key, node, left
 
-    joint = math.prod(shape) * keys * 24 <= JOINT
     if joint:
-        counts = _count_cells(rows, n_models, n_trees, shape, settings.seed)
+        counts = _count_cells(rows, n_models, n_trees, edges, settings.seed)
         found = _whole_trees(counts, keys, shape, bins, depth, settings.min_instances_per_node, subset, n_trees, settings.seed).toArrow()
         got = {name: found.column(name).to_numpy() for name in _SPLIT}
         put(got["key"], got["node"].astype(np.int64), got)

@@ -69,3 +69,23 @@ def test_estimates_are_those_of_the_general_way(spark, monkeypatch, estimate):
     for module in (G, L):
         monkeypatch.setattr(module, "LOOKED_UP", 0)
     assert abs(few - estimate(df, spec).first()["value"]) < 1e-9
+
+
+def test_upper_bits_of_a_draw_give_its_count_or_call_for_the_rest():
+    draw = np.concatenate([G._POISSON, G._POISSON - 1, [0, 2 ** 53 - 1], np.random.default_rng(3).integers(0, 2 ** 53, 20000)])
+    draw = draw[draw < 2 ** 53]
+    want, got = np.searchsorted(G._POISSON, draw, side="right"), G._COUNT[draw >> 37]
+    sure = got != G._UNSURE
+    assert (got[sure] == want[sure]).all() and (G._counts(draw) == want).all()
+    assert (~sure).any() and (G._COUNT == G._UNSURE).sum() <= len(G._POISSON)
+
+
+def test_labels_are_rounded_as_round_does_without_decimals(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([[0.0, -0.0, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 2.0 ** 33 - 0.5, 2.0 ** 52 + 1, 3.0e18],
+                        rng.normal(size=2000) * 2.0 ** rng.integers(-3, 60, 2000), rng.integers(-10 ** 6, 10 ** 6, 500) / 2])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    got = df.select(G._whole(F.col("x")).alias("got"), F.round("x").cast("long").alias("want"))
+    assert got.where(~F.col("got").eqNullSafe(F.col("want"))).count() == 0
+    rows, _ = G._table(df.where("abs(x) < 1000"), None, ["x"], [G.Target(F.col("x"))], [np.array([0.0])], True)
+    assert "round(" not in rows._jdf.queryExecution().optimizedPlan().toString()
