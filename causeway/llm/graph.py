@@ -15,12 +15,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = saved(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = _state(edges)
     while state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # each table stands in the plan as seldom as it can: what a round costs the driver grows with its plan
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(small.unionByName(lowest.withColumnRenamed("m", "v")).distinct())
+        hung = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(
+            F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = saved(hung.where("u <> v").distinct())
         before, state = state, _state(edges)
         if before == state:
             break

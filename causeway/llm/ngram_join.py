@@ -190,11 +190,11 @@ def _open_entries(entries: DataFrame, found: DataFrame, sizes: DataFrame) -> Dat
     (which meets the others, never itself) and their set's sketch."""
     placed = entries.drop("low", "high").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
         "component", F.coalesce("component", "doc"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = placed.join(mixed.select("gram"), "gram", "left_semi").join(sizes, "doc")
-    by_component = open_.groupBy("gram", "component").agg(F.count("*").alias("n"))
-    main = by_component.groupBy("gram").agg(F.max(F.struct("n", "component")).alias("m")).select("gram", F.col("m.component").alias("main"))
-    return open_.join(main, "gram")
+    # the plan holds the placed entries twice only: every further use would be planned, and listed in the driver, again
+    by_component = placed.groupBy("gram", "component").agg(F.count("*").alias("n"))
+    mixed = by_component.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                             F.max(F.struct("n", "component")).alias("m")).where("lo <> hi")
+    return placed.join(mixed.select("gram", F.col("m.component").alias("main")), "gram").join(sizes, "doc")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id",
@@ -217,12 +217,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     def with_parts(pairs: DataFrame, of: str) -> DataFrame:
         return pairs.join(sizes.select(F.col("doc").alias(of), F.col("parts").alias(f"{of}_parts")), of)
 
-    met = None
-    for pivot in ("low", "high"):
-        p = entries.where(F.col("doc") != F.col(pivot)["doc"]).select(
-            F.col("doc").alias("x"), F.col("size").alias("x_size"), F.col("at").alias("x_at"),
-            F.col(pivot)["doc"].alias("y"), F.col(pivot)["size"].alias("y_size"), F.col(pivot)["at"].alias("y_at"))
-        met = p if met is None else met.unionByName(p)
+    p = F.col("p")
+    met = (entries.select("doc", "size", "at", F.explode(F.array("low", "high")).alias("p")).where(F.col("doc") != p["doc"])
+           .select(F.col("doc").alias("x"), F.col("size").alias("x_size"), F.col("at").alias("x_at"),
+                   p["doc"].alias("y"), p["size"].alias("y_size"), p["at"].alias("y_at")))
     short = (F.col("x_size") * part <= F.col("y_size") * whole) & (F.col("y_size") * part <= F.col("x_size") * whole)
     met = met.where(short).groupBy("x", "y", "x_size", "y_size").agg(F.min("x_at").alias("x_at"), F.min("y_at").alias("y_at"))
     pairs = with_parts(with_parts(met, "x"), "y").where(_may_be_similar("x", "y", part, whole)).select(
@@ -243,7 +241,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
                                         & _may_be_similar("x", "y", part, whole))
         rest.append(saved(pairs.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()))
         forgotten(open_)
-    left = reduce(DataFrame.unionByName, rest).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    # pairs that were verified before drop out by a flag: an anti join would be planned once for each share
+    both = reduce(DataFrame.unionByName, rest).withColumn("old", F.lit(False)).unionByName(first.select("a", "b", F.lit(True).alias("old")))
+    left = both.groupBy("a", "b").agg(F.max("old").alias("old")).where(~F.col("old")).select("a", "b")
     more = _verified(left, texts, n, part, whole).where("similar").select("a", "b")
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 

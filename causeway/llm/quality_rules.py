@@ -182,7 +182,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     groups = saved(pooled_groups(stats, least).withColumnsRenamed({"g0": "h0", "g1": "h1"}))
     rows = saved(stats.where("NOT base_failed").join(groups, same(F.col("g0"), F.col("h0")) & same(F.col("g1"), F.col("h1")))
                  .select("row", "g", *[c.alias(f"x{i}") for i, c in enumerate(_vector())]))
-    large = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("g")
+    # counted once: every step of the estimate reads the rows through it
+    large = saved(rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("g"))
     rows = rows.join(large, "g", "left_semi")
     far = _distance(rows, robust_fits(rows)).select("row", F.col("d2").alias("distance"))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
